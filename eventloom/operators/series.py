@@ -90,20 +90,25 @@ def complete_series(records: DataFrame, group: list[str]) -> DataFrame:
     return editions.select(*group, year.alias("year"), "ordinal")
 
 
-def event_sheet(completed: DataFrame) -> DataFrame:
-    """Blank event sheet with the year and ordinal of every edition."""
-    filled = {"Year": F.col("year"), "Ordinal": F.col("ordinal")}
-    return completed.select(*[filled.get(c, F.lit(None).cast("string")).alias(c) for c in EVENT_SHEET])
+def _editions_or_blank(records: DataFrame, group: list[str]) -> DataFrame:
+    """Completed editions of every group, and one blank row where there are none."""
+    return records.select(*group).distinct().join(complete_series(records, group), group, "left")
 
 
-def proceedings_sheet(completed: DataFrame) -> DataFrame:
-    """Blank proceedings sheet with the ordinal of every edition.
+def _sheet(editions: DataFrame, headers: list[str], filled: dict[str, str]) -> DataFrame:
+    empty = F.lit(None).cast("string")
+    return editions.select(*[(F.col(filled[h]) if h in filled else empty).alias(h) for h in headers])
 
-    Spark column names ignore case, so the sheet is keyed by its published headers only.
-    """
-    return completed.select(
-        *[(F.col("ordinal") if c == "ordinal" else F.lit(None).cast("string")).alias(c) for c in PROCEEDINGS_SHEET]
-    )
+
+def event_sheet(records: DataFrame, group: list[str]) -> DataFrame:
+    """Blank event sheet with the series, year and ordinal of every edition."""
+    filled = {"Year": "year", "Ordinal": "ordinal", "Series": group[0]}
+    return _sheet(_editions_or_blank(records, group), EVENT_SHEET, filled)
+
+
+def proceedings_sheet(records: DataFrame, group: list[str]) -> DataFrame:
+    """Blank proceedings sheet with the ordinal of every edition."""
+    return _sheet(_editions_or_blank(records, group), PROCEEDINGS_SHEET, {"ordinal": "ordinal"})
 
 
 def source_sheet(records: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.plans.proxies import Tables
 
-FAMILIES = ["lookup"]
+FAMILIES = ["lookup", "statistics", "windows", "series"]
 
 
 class Family:
