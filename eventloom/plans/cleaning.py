@@ -20,9 +20,9 @@ def text(column):
     return (F.col(column) if isinstance(column, str) else column).cast("string")
 
 
-def day_span(start, end):
+def day_span(start, end, suffix=""):
     """``3-5 May 1995``: the days of both dates in the month of the first."""
-    return F.concat(text(F.dayofmonth(start)), F.lit("-"), text(F.dayofmonth(end)), F.date_format(start, " MMMM yyyy"))
+    return F.concat(text(F.dayofmonth(start)), F.lit("-"), text(F.dayofmonth(end)), F.lit(suffix), F.date_format(start, " MMMM yyyy"))
 
 
 def raw_dblp(t: Tables):
