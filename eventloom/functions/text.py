@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,8 +44,30 @@ def _unescape(values: pd.Series) -> pd.Series:
 
 
 def html_unescape(value: Column) -> Column:
-    """HTML entities to characters; text without ``&`` never leaves the JVM unchanged."""
-    return F.when(value.contains("&"), _unescape(value)).otherwise(value)
+    """HTML entities to characters; only text with an ``&`` is sent to Python."""
+    return F.coalesce(_unescape(F.when(value.contains("&"), value)), value)
+
+
+_XML_ENTITIES = {"amp", "lt", "gt", "quot", "apos"}
+
+
+@F.pandas_udf("string")
+def _resolve(values: pd.Series) -> pd.Series:
+    def resolve(text: str) -> str:
+        return re.sub(
+            "&([A-Za-z][A-Za-z0-9]*);", lambda m: m.group(0) if m.group(1) in _XML_ENTITIES else html.unescape(m.group(0)), text
+        )
+
+    return values.map(resolve, na_action="ignore")
+
+
+def resolve_entities(value: Column) -> Column:
+    """Named entities to characters, the five of XML itself kept.
+
+    Only text with other entities is sent to Python.
+    """
+    foreign = "&(?!(?:amp|lt|gt|quot|apos);|#)[A-Za-z][A-Za-z0-9]*;"
+    return F.coalesce(_resolve(F.when(value.rlike(foreign), value)), value)
 
 
 def leading_int(value: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.plans.proxies import Tables
 
-FAMILIES = ["lookup", "statistics", "windows", "series", "cleaning", "texts", "locations", "matching", "graph"]
+FAMILIES = ["lookup", "statistics", "windows", "series", "cleaning", "texts", "locations", "matching", "graph", "quality", "files"]
 
 
 class Family:
