@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from eventloom.fixed_values import (
     ENCODING_FIXES,
@@ -38,7 +39,7 @@ def fix_encodings(value: Column) -> Column:
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
@@ -51,7 +52,7 @@ def html_unescape(value: Column) -> Column:
 _XML_ENTITIES = {"amp", "lt", "gt", "quot", "apos"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _resolve(values: pd.Series) -> pd.Series:
     def resolve(text: str) -> str:
         return re.sub(

@@ -18,13 +18,19 @@ from eventloom.fixed_values import (
     VOLUME_ROMAN,
     MONTHS,
 )
-from eventloom.functions.dates import extract_or_null, text_range
+from eventloom.functions.dates import bind, extract_or_null, group, regex_groups, text_range
 
 
 def _literal_map(pairs: dict[str, int]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
+# digits with a suffix, or a word ending like an ordinal, as a whole word
+_ORDINAL_TOKEN = (
+    r"(?<![\p{L}0-9-])([0-9]{1,9}(?:st|nd|rd|th)|(?:[a-z]+-)?(?:first|second|third|[a-z]+th))(?![\p{L}0-9-])"
+)
+
+
 def ordinal_word_values() -> dict[str, int]:
     """``first`` … ``ninety-ninth`` with their numbers."""
     words = dict(zip(ORDINAL_WORDS, range(1, 20)))
@@ -50,13 +56,13 @@ def title_dictionary() -> list[tuple[str, str, int | None]]:
 def ordinals(title: Column) -> Column:
     """All ordinals of a title in order: ``12th`` forms and ordinal words."""
     words = _literal_map(ordinal_word_values())
-    tokens = F.split(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}0-9-]+")
+    candidates = F.regexp_extract_all(F.lower(title), F.lit(_ORDINAL_TOKEN), F.lit(1))
 
     def number(token: Column) -> Column:
-        digits = F.nullif(F.regexp_extract(token, "^([0-9]{1,9})(?:st|nd|rd|th)$", 1), F.lit(""))
-        return F.coalesce(digits.cast("int"), F.try_element_at(words, token))
+        digits = F.regexp_extract(token, "^[0-9]+", 0).try_cast("int")
+        return F.coalesce(digits, F.try_element_at(words, token))
 
-    return F.filter(F.transform(tokens, number), lambda n: n.isNotNull())
+    return F.filter(F.transform(candidates, number), lambda n: n.isNotNull())
 
 
 def first_ordinal(title: Column) -> Column:
@@ -65,11 +71,10 @@ def first_ordinal(title: Column) -> Column:
 
 def volume_number(title: Column) -> Column:
     """Number of a volume or part; letters count from A, roman numbers from I."""
-    text = extract_or_null(title, VOLUME_PATTERN, 3)
     letters = {c: i for i, c in enumerate(VOLUME_LETTERS, start=1)}
     roman = {c: i for i, c in enumerate(VOLUME_ROMAN, start=1)}
-    digits = F.when(text.rlike("^[0-9]+$"), text).cast("int")
-    return F.nullif(F.coalesce(digits, F.try_element_at(_literal_map({**letters, **roman}), text)), F.lit(0))
+    digits = {f"{i:0{width}}": i for width in (1, 2) for i in range(1, 100)}
+    return F.try_element_at(_literal_map({**letters, **roman, **digits}), F.regexp_extract(title, VOLUME_PATTERN, 3))
 
 
 def volume_text(title: Column) -> Column:
@@ -113,23 +118,33 @@ def description(text: Column) -> Column:
 
     Without ``;`` or with an ordinal above 1000 every field is null.
     """
-    parts = F.split(text, ";")
-    head, tail = parts[0], F.get(parts, F.lit(1))
-    bracket = r"\(([^)]*)\)"
-    acronym = F.when(head.rlike(bracket), F.regexp_extract(head, bracket, 1)).otherwise(F.trim(head))
-    number = extract_or_null(tail, _PLACE_TIME, 1)
-    usable = (F.size(parts) > 1) & (number.isNull() | ((F.length(number) < 5) & (number.try_cast("int") <= 1000)))
-    matched = usable & number.isNotNull()
-    dates = text_range(extract_or_null(tail, _PLACE_TIME, 3))
-    return F.struct(
-        F.when(usable, acronym).alias("acronym"),
-        F.when(matched, number.try_cast("int")).alias("ordinal"),
-        F.when(matched, F.regexp_extract(tail, _PLACE_TIME, 2)).alias("location"),
-        *[F.when(matched, dates[f]).alias(f) for f in ("year", "startDate", "endDate")],
-    )
 
+    def read(p: Column) -> Column:
+        return F.struct(
+            (F.size(p) > 1).alias("parted"),
+            regex_groups(p[0], r"\(([^)]*)\)", 1).alias("bracket"),
+            p[0].alias("head"),
+            regex_groups(F.get(p, F.lit(1)), _PLACE_TIME, 3).alias("g"),
+        )
+
+    def fields(r: Column) -> Column:
+        ordinal = group(r["g"], 1).try_cast("int")
+        usable = r["parted"] & (group(r["g"], 1).isNull() | F.coalesce(ordinal <= 1000, F.lit(False)))
+        return F.struct(
+            F.when(usable, F.coalesce(F.get(r["bracket"], F.lit(1)), F.trim(r["head"]))).alias("acronym"),
+            F.when(usable, ordinal).alias("ordinal"),
+            F.when(usable, F.get(r["g"], F.lit(2))).alias("location"),
+            F.when(usable, text_range(group(r["g"], 3))).alias("span"),
+        )
 
-_FULLTITLE = r"^(.*?)\((.*?)\)"
+    def flat(f: Column) -> Column:
+        span = [f["span"][name].alias(name) for name in ("year", "startDate", "endDate")]
+        return F.struct(f["acronym"].alias("acronym"), f["ordinal"].alias("ordinal"), f["location"].alias("location"), *span)
+
+    return bind(bind(bind(F.split(text, ";"), read), fields), flat)
+
+
+_FULLTITLE = r"^(.*?)\((.*?)\).*$"
 
 
 def fulltitle(text: Column) -> Column:
@@ -138,27 +153,44 @@ def fulltitle(text: Column) -> Column:
     The bracket holds year / year : place / ordinal : year : place /
     organisation : ordinal : year : place.
     """
-    matched = text.rlike(_FULLTITLE)
-    parts = F.split(F.regexp_extract(text, _FULLTITLE, 2), ":")
-    n = F.when(matched, F.size(parts))
-
-    def part(from_end: int) -> Column:
-        return F.get(parts, n - from_end)
-
-    year_text = F.trim(F.when(n == 1, part(1)).when(n.isin(2, 3, 4), part(2)))
-    ordinal_text = F.trim(F.when(n.isin(3, 4), part(3)))
-    span = r"^([0-9]+)\s*-\s*([0-9]+)$"
-    year = F.coalesce(extract_or_null(year_text, "^([0-9]+)$"), extract_or_null(year_text, span))
-    ordinal = extract_or_null(ordinal_text, r"^([0-9]+)\.?$")
-    return F.struct(
-        F.when(matched, F.trim(F.regexp_extract(text, _FULLTITLE, 1))).alias("title"),
-        F.when(n == 4, part(4)).alias("organization"),
-        ordinal.try_cast("int").alias("ordinal"),
-        year.try_cast("int").alias("year"),
-        F.when(n.isin(2, 3, 4), F.trim(part(1))).alias("location"),
-        n.alias("partCount"),
-        (text.isNotNull() & ~matched).alias("invalidTitle"),
-        F.coalesce(ordinal_text.isNotNull() & ordinal.isNull(), F.lit(False)).alias("invalidOrdinal"),
-        F.coalesce(year_text.isNotNull() & year.isNull(), F.lit(False)).alias("invalidYear"),
-        F.coalesce(year_text.rlike(span), F.lit(False)).alias("yearRange"),
-    )
+
+    def parts_of(g: Column) -> Column:
+        inner = F.get(g, F.lit(2))
+        parts = F.split(inner, ":")
+        return F.struct(
+            F.trim(F.get(g, F.lit(1))).alias("title"), parts.alias("parts"), F.when(inner.isNotNull(), F.size(parts)).alias("n")
+        )
+
+    def texts(t: Column) -> Column:
+        n = t["n"]
+
+        def part(from_end: int) -> Column:
+            return F.get(t["parts"], n - from_end)
+
+        return F.struct(
+            t["title"].alias("title"),
+            n.alias("n"),
+            F.when(n == 4, part(4)).alias("organization"),
+            F.trim(F.when(n.isin(3, 4), part(3))).alias("ordinal"),
+            F.trim(F.when(n == 1, part(1)).when(n.isin(2, 3, 4), part(2))).alias("year"),
+            F.when(n.isin(2, 3, 4), F.trim(part(1))).alias("location"),
+        )
+
+    def fields(f: Column) -> Column:
+        span = r"^([0-9]+)\s*-\s*([0-9]+)$"
+        year = F.regexp_extract(f["year"], r"^([0-9]+)(?:\s*-\s*[0-9]+)?$", 1)
+        ordinal = F.regexp_extract(f["ordinal"], r"^([0-9]+)\.?$", 1)
+        return F.struct(
+            f["title"].alias("title"),
+            f["organization"].alias("organization"),
+            ordinal.try_cast("int").alias("ordinal"),
+            year.try_cast("int").alias("year"),
+            f["location"].alias("location"),
+            f["n"].alias("partCount"),
+            f["n"].isNull().alias("invalidTitle"),
+            F.coalesce(ordinal == "", F.lit(False)).alias("invalidOrdinal"),
+            F.coalesce(year == "", F.lit(False)).alias("invalidYear"),
+            F.coalesce(f["year"].rlike(span), F.lit(False)).alias("yearRange"),
+        )
+
+    return bind(bind(bind(regex_groups(text, _FULLTITLE, 2), parts_of), texts), fields)

@@ -115,9 +115,9 @@ def source_sheet(t: Tables):
     count(*) OVER (PARTITION BY series, ordinal) AS same FROM sc)
 SELECT series, count(*) AS records, count(DISTINCT ordinal) AS ordinals,
   count(DISTINCT CASE WHEN same > 1 THEN ordinal END) AS "repeatedOrdinals", count(DISTINCT year) AS years,
-  CAST(count_if(lower(title) LIKE '%proceeding%') AS BIGINT) AS "proceedingsCount",
-  CAST(count_if(title LIKE '%volume 1%' OR title LIKE '%vol. 2%') AS BIGINT) AS "volumeCount",
-  CAST(count_if(score = top) AS BIGINT) AS "afterDedup" FROM b GROUP BY 1""",
+  count(*) FILTER (WHERE lower(title) LIKE '%proceeding%') AS "proceedingsCount",
+  count(*) FILTER (WHERE title LIKE '%volume 1%' OR title LIKE '%vol. 2%') AS "volumeCount",
+  count(*) FILTER (WHERE score = top) AS "afterDedup" FROM b GROUP BY 1""",
     ),
 )
 def dup_profile(t: Tables):
