@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.text import split_list
 from eventloom.operators.joins import match_candidates
 from eventloom.operators.series import dedup_by_title
+from eventloom.session import stage
 
 # Label of each outcome, and the one the original evaluation stores for it.
 REFERENCE_LABELS = {"TP": "TP", "FP": "TN", "FN": "FN", "TN": "FP"}
@@ -44,6 +45,17 @@ def truth_lookup(truth: DataFrame) -> DataFrame:
     return truth.groupBy("name", "id").agg(F.max_by("label", "pos").alias("label"))
 
 
+def prepare_truth(truth: DataFrame) -> DataFrame:
+    """Distinct (name, id, label) rows with ``last`` 1 on the record an id stands for.
+
+    Written to the staging folder, as every step of an evaluation joins it.
+    """
+    members = truth.select("name", "id", "label").distinct()
+    lookup = truth_lookup(truth).withColumn("_last", F.lit(1))
+    marked = members.join(lookup, ["name", "id", "label"], "left")
+    return stage(marked.select("name", "id", "label", F.coalesce("_last", F.lit(0)).alias("last")), "truth")
+
+
 def _name_pairs(names: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
 
@@ -71,36 +83,35 @@ def check_matches(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def present_pairs(records: DataFrame, names: list[str]) -> DataFrame:
-    """Every pair of ids of different names within a record: the positive predictions."""
+    """Every pair of ids of different names within a record: the positive predictions.
+
+    Further columns of the records are carried along, numbered like the ids.
+    """
     order = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
     placed = records.where(F.col("name").isin(names)).withColumn("_at", order[F.col("name")])
-    left = placed.select("record", *[F.col(c).alias(f"{c}1") for c in ("name", "id", "_at")])
-    right = placed.select("record", *[F.col(c).alias(f"{c}2") for c in ("name", "id", "_at")])
-    return left.join(right, "record").where("_at1 < _at2").select("record", "name1", "id1", "name2", "id2")
+    carried = [c for c in placed.columns if c != "record"]
+    left = placed.select("record", *[F.col(c).alias(f"{c}1") for c in carried])
+    right = placed.select("record", *[F.col(c).alias(f"{c}2") for c in carried])
+    return left.join(right, "record").where("_at1 < _at2").drop("_at1", "_at2")
 
 
-def missed_pairs(records: DataFrame, truth: DataFrame, names: list[str]) -> DataFrame:
+def missed_pairs(records: DataFrame, prepared: DataFrame, names: list[str]) -> DataFrame:
     """Related truth ids that a record lacks: the negative predictions that are wrong.
 
     Found by joining labels, so only related ids are ever paired.
     """
-    first_names = [n for n in names if "series" not in n.lower()]
-    pairs = [(a, b) for a, b in _name_pairs(names) if a in first_names]
-    allowed = F.array(*[F.lit(f"{a}>{b}") for a, b in pairs])
-    lookup = truth_lookup(truth)
-    members = truth.select("label", "name", "id").distinct()
-    ids = records.where(F.col("name").isin(first_names)).select("record", F.col("name").alias("name1"), F.col("id").alias("id1"))
-
-    def side(left: DataFrame, right: DataFrame) -> DataFrame:
-        own = left.select(F.col("name").alias("name1"), F.col("id").alias("id1"), "label")
-        other = right.select(F.col("name").alias("name2"), F.col("id").alias("id2"), "label")
-        return ids.join(own, ["name1", "id1"]).join(other, "label").select("record", "name1", "id1", "name2", "id2")
-
-    related = side(lookup, members).unionByName(side(members, lookup)).where(
-        F.array_contains(allowed, F.concat("name1", F.lit(">"), "name2"))
+    pairs = [(a, b) for a, b in _name_pairs(names) if "series" not in a.lower()]
+    allowed = F.concat("name1", F.lit(">"), "name2").isin([f"{a}>{b}" for a, b in pairs])
+    own = prepared.select(F.col("name").alias("name1"), F.col("id").alias("id1"), "label", F.col("last").alias("last1"))
+    other = prepared.select(F.col("name").alias("name2"), F.col("id").alias("id2"), "label", F.col("last").alias("last2"))
+    ids = records.where(F.col("name").isin([a for a, _ in pairs])).select(
+        "record", F.col("name").alias("name1"), F.col("id").alias("id1")
     )
+    # related: the label is the last one of either id
+    related = ids.join(own, ["name1", "id1"]).join(other, "label").where(allowed & ((F.col("last1") == 1) | (F.col("last2") == 1)))
     present = records.select("record", F.col("name").alias("name2"), F.col("id").alias("id2"))
-    return related.distinct().join(present, ["record", "name2", "id2"], "left_anti")
+    missing = related.select("record", "name1", "id1", "name2", "id2").join(present, ["record", "name2", "id2"], "left_anti")
+    return missing.distinct()
 
 
 def evaluate(records: DataFrame, truth: DataFrame, names: list[str]) -> DataFrame:
@@ -109,9 +120,21 @@ def evaluate(records: DataFrame, truth: DataFrame, names: list[str]) -> DataFram
     Holds all positive predictions and the wrong negative ones; the right negative ones
     (``TN``) only exist as counts, see :func:`confusion`.
     """
-    positive = check_matches(present_pairs(records, names), truth).withColumn("label", F.when(F.col("actual"), "TP").otherwise("FP"))
-    missed = missed_pairs(records, truth, names).withColumn("label", F.lit("FN"))
-    rows = positive.drop("actual").unionByName(missed.select(*positive.drop("actual").columns))
+    prepared = prepare_truth(truth)
+    lookup = prepared.where("last = 1").select("name", "id", "label")
+    pairs = present_pairs(records.join(lookup, ["name", "id"], "left"), names)
+    for own, other in ((1, 2), (2, 1)):
+        hit = prepared.select(
+            F.col("label").alias(f"label{own}"),
+            F.col("name").alias(f"name{other}"),
+            F.col("id").alias(f"id{other}"),
+            F.lit(True).alias(f"_hit{own}"),
+        )
+        pairs = pairs.join(hit, [f"label{own}", f"name{other}", f"id{other}"], "left")
+    outcome = F.when(F.coalesce("_hit1", "_hit2", F.lit(False)), "TP").otherwise("FP")
+    positive = pairs.select("record", "name1", "id1", "name2", "id2", outcome.alias("label"))
+    missed = missed_pairs(records, prepared, names).withColumn("label", F.lit("FN"))
+    rows = positive.unionByName(missed.select(*positive.columns))
     labels = F.create_map(*[F.lit(x) for pair in REFERENCE_LABELS.items() for x in pair])
     return rows.withColumn("refLabel", labels[F.col("label")])
 
@@ -120,64 +143,63 @@ def confusion(records: DataFrame, truth: DataFrame, names: list[str]) -> DataFra
     """TP, FP, FN and TN per pair of id names without writing any pair.
 
     Ids are related if the label of one (the last record naming it) also holds the other.
-    With S the labels of an id and L the last of them, pairs with L1 in S2, with L2 in S1
-    and with L1 = L2 are counted per record and label; related pairs are the first two sums
-    without the third. The same sums against all truth ids give the negatives.
+    With S the labels of an id and L the last of them, pairs with L1 in S2 and with L2 in S1
+    are counted, and those with L1 = L2, which are both, taken off once.
+
+    Within a record only the last labels of its own ids matter. Over the whole truth the sums
+    are made once per truth id and weighted by how many records use it. So an id that a third
+    of all records share costs no more rows than it has.
     """
-    lookup = truth_lookup(truth).withColumn("last", F.lit(1))
-    members = truth.select("name", "id", "label").distinct()
-    marked = members.join(lookup, ["name", "id", "label"], "left").select(
-        "name", "id", "label", F.coalesce("last", F.lit(0)).alias("last")
-    )
+    marked = prepare_truth(truth)
     ids = records.select("record", "name", "id").distinct()
-    labelled = ids.join(marked, ["name", "id"], "left")
     pairs = _name_pairs(names)
+    indexed = list(enumerate(names))
 
-    # per record and label: ids of each name that have the label, and that have it last
-    per_label = labelled.where("label IS NOT NULL").groupBy("record", "label", "name").agg(
-        F.count("*").alias("held"), F.sum("last").alias("last")
-    )
-    # the same over all truth ids, and the sizes needed for the totals
-    truth_label = marked.groupBy("label", "name").agg(F.count("*").alias("held"), F.sum("last").alias("last"))
-    truth_ids = lookup.groupBy("name").agg(F.count("*").alias("truthIds"))
-    known = ids.join(lookup.select("name", "id", F.lit(1).alias("known")), ["name", "id"], "left").groupBy("record", "name").agg(
-        F.count("*").alias("ids"), F.count("known").alias("knownIds")
-    )
-
-    def cell(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-        """One column per name and figure, so that pairs of names sit in one row."""
-        return rows.groupBy(*keys).agg(
-            *[F.sum(F.when(F.col("name") == n, F.col(c))).alias(f"{c}_{i}") for i, n in enumerate(names) for c in columns]
-        )
+    def of(column: str, name: str):
+        return F.coalesce(F.col(f"{column}{names.index(name)}"), F.lit(0))
 
-    def at(column: str, name: str, prefix: str = ""):
-        return F.coalesce(F.col(f"{prefix}{column}_{names.index(name)}"), F.lit(0))
+    def per_name(**columns) -> list:
+        """Sums per name side by side, so that both names of a pair sit in one row."""
+        return [F.sum(F.when(F.col("name") == n, c)).alias(f"{label}{i}") for i, n in indexed for label, c in columns.items()]
 
-    def sums(rows: DataFrame, expressions: dict) -> DataFrame:
-        cells = [F.struct(F.lit(a).alias("name1"), F.lit(b).alias("name2"), F.sum(e).alias("n")) for (a, b), e in expressions.items()]
+    def sums(rows: DataFrame, **expressions) -> DataFrame:
+        """All sums of all name pairs in one aggregate."""
+        cells = [
+            F.struct(F.lit(a).alias("name1"), F.lit(b).alias("name2"), *[F.sum(make(a, b)).alias(c) for c, make in expressions.items()])
+            for a, b in pairs
+        ]
         return rows.agg(F.array(*cells).alias("c")).select(F.inline("c"))
 
-    inside = cell(per_label, ["record", "label"], ["held", "last"])
-    overall = cell(truth_label, ["label"], ["held", "last"])
-    overall = overall.select("label", *[F.col(c).alias(f"all_{c}") for c in overall.columns if c != "label"])
-    both = inside.join(overall, "label")
-
-    def related(a: str, b: str, prefix: str):
-        held, last = at("held", b, prefix), at("last", b, prefix)
-        return at("last", a) * held + at("held", a) * last - at("last", a) * last
+    # positive predictions: ids of each record by the labels any of them stands for
+    lookup = marked.where("last = 1").select("name", "id", "label")
+    looked_up = ids.join(lookup, ["name", "id"], "left")
+    labels = looked_up.where("label IS NOT NULL").select("record", "label").distinct()
+    cells = ids.join(labels, "record").join(marked, ["name", "id", "label"]).groupBy("record", "label").agg(
+        *per_name(held=F.lit(1), last=F.col("last"))
+    )
+    found = sums(cells, tp=lambda a, b: of("last", a) * of("held", b) + of("held", a) * of("last", b) - of("last", a) * of("last", b))
+    sizes = looked_up.groupBy("record").agg(*per_name(ids=F.lit(1), known=F.when(F.col("label").isNotNull(), 1).otherwise(0)))
+    counted = sums(
+        sizes,
+        predictedTrue=lambda a, b: of("ids", a) * of("ids", b),
+        firstIds=lambda a, b: of("ids", a),
+        overlap=lambda a, b: of("ids", a) * of("known", b),
+    )
 
-    present = {(a, b): related(a, b, "") for a, b in pairs}
-    everywhere = {(a, b): related(a, b, "all_") for a, b in pairs}
-    related_sums = sums(both, present).withColumnRenamed("n", "tp").join(
-        sums(both, everywhere).withColumnRenamed("n", "relatedAll"), ["name1", "name2"]
+    # all related truth ids of each truth id, times the records that use it
+    label_sizes = marked.groupBy("label").agg(*per_name(held=F.lit(1), last=F.col("last")))
+    at_last = F.col("last") == 1
+    reach = marked.join(label_sizes, "label").groupBy("name", "id").agg(
+        *[
+            F.sum(F.coalesce(f"last{i}", F.lit(0)) + F.when(at_last, F.coalesce(f"held{i}", F.lit(0)) - F.coalesce(f"last{i}", F.lit(0))).otherwise(0)).alias(f"related{i}")
+            for i, _ in indexed
+        ]
     )
-    sizes = cell(known, ["record"], ["ids", "knownIds"])
-    totals = sums(sizes, {(a, b): at("ids", a) * at("ids", b) for a, b in pairs}).withColumnRenamed("n", "predictedTrue")
-    first_ids = sums(sizes, {(a, b): at("ids", a) for a, b in pairs}).withColumnRenamed("n", "firstIds")
-    overlap = sums(sizes, {(a, b): at("ids", a) * at("knownIds", b) for a, b in pairs}).withColumnRenamed("n", "overlap")
-    table = reduce(lambda x, y: x.join(y, ["name1", "name2"]), [totals, first_ids, overlap]).join(
-        related_sums, ["name1", "name2"], "left"
-    ).join(truth_ids.select(F.col("name").alias("name2"), "truthIds"), "name2", "left")
+    used = ids.groupBy("name", "id").agg(F.count("*").alias("uses")).join(reach, ["name", "id"])
+    everywhere = sums(used, relatedAll=lambda a, b: F.when(F.col("name") == a, F.col("uses") * of("related", b)).otherwise(0))
+
+    truth_ids = lookup.groupBy(F.col("name").alias("name2")).agg(F.count("*").alias("truthIds"))
+    table = counted.join(found, ["name1", "name2"]).join(everywhere, ["name1", "name2"]).join(truth_ids, "name2", "left")
     tp, all_related = F.coalesce("tp", F.lit(0)), F.coalesce("relatedAll", F.lit(0))
     checked = ~F.lower("name1").contains("series")
     fn = F.when(checked, all_related - tp).otherwise(0)

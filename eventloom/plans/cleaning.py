@@ -26,7 +26,7 @@ def day_span(start, end, suffix=""):
 
 
 def raw_dblp(t: Tables):
-    e = p.event_orders(t)
+    e = p.event_orders(t.spread)
     n = F.col("eventId").cast("long")
     conf = F.lower("series")
     return e.select(
@@ -64,7 +64,7 @@ def clean_dblp(t: Tables):
 
 
 def raw_crossref(t: Tables):
-    e = p.event_orders(t)
+    e = p.event_orders(t.spread)
     n = F.col("eventId").cast("long")
 
     def parts(day):
@@ -105,7 +105,7 @@ def clean_crossref(t: Tables):
 
 
 def raw_confref(t: Tables):
-    e = p.event_orders(t)
+    e = p.event_orders(t.spread)
     n = F.col("eventId").cast("long")
     null = F.lit(None).cast("string")
     return e.select(
@@ -211,7 +211,7 @@ SELECT series || ' ' || eventId || '/x' AS "eventId", 'http://wiki.example/index
     ),
 )
 def clean_or(t: Tables):
-    e = p.event_orders(t)
+    e = p.event_orders(t.spread)
     n = F.col("eventId").cast("long")
     start = (
         F.when(n % 5 == 0, F.date_format("startDate", "yyyy/MM/dd")).when(n % 5 == 1, F.date_format("startDate", "d MMMM yyyy"))
@@ -249,7 +249,7 @@ SELECT "eventId", 'Days of ' || series AS title, CASE WHEN n % 3 = 0 THEN ordina
     ),
 )
 def clean_gnd(t: Tables):
-    e = p.event_orders(t)
+    e = p.event_orders(t.spread)
     n = F.col("eventId").cast("long")
     dotted = lambda d: F.date_format(d, "dd.MM.yyyy")
     head = F.when((n % 3 == 0) & F.col("ordinal").isNotNull(), F.concat(text("ordinal"), F.lit(". : "))).otherwise("")
@@ -266,7 +266,7 @@ def clean_gnd(t: Tables):
 
 def raw_descriptions(t: Tables):
     """One or two descriptions per event; the second has a longer acronym."""
-    e = p.event_orders(t)
+    e = p.event_orders(t.spread)
     n = F.col("eventId").cast("long")
     until = F.when(F.month("startDate") == F.month("endDate"), F.date_format("endDate", "dd")).otherwise(F.date_format("endDate", "MM.dd"))
     place = F.concat(F.lit(" ; "), text("ordinal"), F.lit(" ("), "nation", F.lit(") : "), F.date_format("startDate", "yyyy.MM.dd"), F.lit("-"), until)

@@ -17,7 +17,7 @@ from eventloom.plans.cleaning import raw_confref, raw_crossref, text
 from eventloom.plans.lookup import _DUCK_CORPUS, corpus
 from eventloom.plans.proxies import Tables, with_proxies
 from eventloom.plans.registry import Family
-from eventloom.session import staging_path
+from eventloom.session import spread, staging_path
 from eventloom.sources import files
 from eventloom.streaming import crawl
 
@@ -38,7 +38,7 @@ def _write_lines(lines: DataFrame, name: str) -> str:
 def _bibliography(t: Tables) -> str:
     """Proceedings per order and articles per supplier, mixed in the same files."""
     n = F.col("o_orderkey")
-    proceedings = t.orders.select(
+    proceedings = spread(t.orders, t.orders).select(
         F.concat(
             F.lit('<proceedings key="conf/c'), text("o_custkey"), F.lit("/"), text(n), F.lit('" mdate="'), text(F.to_date("o_orderdate")), F.lit('">'),
             tag("editor", F.lit("A &amp; M&uuml;ller")), F.when(n % 2 == 0, tag("editor", F.col("o_orderpriority"))).otherwise(""),
@@ -69,7 +69,7 @@ def xml_kinds(t: Tables):
 
 def _volumes(t: Tables) -> str:
     n = F.col("o_orderkey")
-    lines = t.orders.select(
+    lines = spread(t.orders, t.orders).select(
         F.concat(
             F.lit("<d:volume>"), tag("d:title", F.concat(F.lit("Days "), text(n))),
             F.when(n % 3 == 0, tag("d:title", F.lit("Second title"))).otherwise(""), tag("d:shortTitle", text("o_custkey")),
@@ -107,7 +107,7 @@ def xml_entities(t: Tables):
 )
 def ftx_documents(t: Tables):
     codes = F.transform(F.split("bk", "⇹"), lambda c: F.concat(F.lit('<classification classificationName="bk"><code>'), c, F.lit("</code></classification>")))
-    lines = p.proceedings(t).select(
+    lines = p.proceedings(t.spread).select(
         F.concat(
             F.lit('<document xmlns="http://example.org/oai" xmlns:dc="http://purl.org/dc/elements/1.1/">'),
             tag("formalInfo", tag("documentGenreCode", F.col("genreCode"))),

@@ -10,19 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.session import spread
+
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 class Tables:
     """Reads the given parquet tables by attribute name."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, spreading: bool = False):
         self.spark = spark
         self.folder = folder
+        self._spreading = spreading
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def spread(self) -> Tables:
+        """The same tables with the proxies' rows dealt out to all cores if the files are few."""
+        return Tables(self.spark, self.folder, spreading=True)
+
+    def deal(self, rows: DataFrame, scan: DataFrame) -> DataFrame:
+        return spread(rows, scan) if self._spreading else rows
+
 
 def _text(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
@@ -37,7 +48,8 @@ def event_orders(t: Tables) -> DataFrame:
     series = F.concat(F.lit("C"), _text(cust))
     year = F.year("o_orderdate")
     start = F.to_date("o_orderdate")
-    return t.orders.join(places, cust == F.col("c_custkey")).select(
+    joined = t.orders.join(places, cust == F.col("c_custkey"))
+    return t.deal(joined, t.orders).select(
         _text(key).alias("eventId"),
         F.lit("orders").alias("source"),
         series.alias("series"),
@@ -99,7 +111,7 @@ def proceedings(t: Tables) -> DataFrame:
     part = F.col("l_partkey")
     code = F.concat(_text(part % 60), F.lit("."), _text(part % 90 + 10))
     more = F.concat(F.lit("⇹"), _text(part % 7 + 50), F.lit(".10"))
-    return t.lineitem.select(
+    return t.deal(t.lineitem, t.lineitem).select(
         F.concat_ws("-", _text("l_orderkey"), _text("l_linenumber"), _text("l_partkey"), _text("l_suppkey")).alias(
             "ppn"
         ),

@@ -12,6 +12,7 @@ from eventloom.plans.cleaning import day_span, raw_descriptions, text
 from eventloom.plans.lookup import _SCORE
 from eventloom.plans.proxies import Tables, with_proxies
 from eventloom.plans.registry import Family
+from eventloom.session import spread
 from eventloom.sources import pages as html
 
 FAMILY = Family()
@@ -37,7 +38,7 @@ def range_from_title(t: Tables):
         .otherwise(" in spring")
     )
     title = F.concat(F.lit("Proceedings of "), "series", F.lit(", "), "nation", F.lit(","), tail)
-    return p.event_orders(t).select("eventId", dates.title_range(title).alias("r")).select("eventId", "r.*")
+    return p.event_orders(t.spread).select("eventId", dates.title_range(title).alias("r")).select("eventId", "r.*")
 
 
 @query(
@@ -62,7 +63,7 @@ def range_from_text(t: Tables):
         .when(k == 5, F.concat(fmt("startDate", "yyyy.MM.dd"), F.lit("-"), fmt("endDate", "MM.dd")))
         .otherwise("1999 May")
     )
-    return p.event_orders(t).select("eventId", dates.text_range(day).alias("r")).select("eventId", "r.*")
+    return p.event_orders(t.spread).select("eventId", dates.text_range(day).alias("r")).select("eventId", "r.*")
 
 
 @query(
@@ -99,7 +100,7 @@ def parse_fulltitle(t: Tables):
         .otherwise(F.concat_ws(" : ", F.lit("Club"), number, year, "nation"))
     )
     full = F.concat(F.lit("Days of "), "series", F.when(k < 4, F.concat(F.lit(" ("), inner, F.lit(")"))).otherwise(""))
-    rows = p.event_orders(t).select("eventId", titles.fulltitle(full).alias("f"))
+    rows = p.event_orders(t.spread).select("eventId", titles.fulltitle(full).alias("f"))
     return rows.select("eventId", "f.title", "f.organization", "f.ordinal", "f.year", "f.location")
 
 
@@ -177,7 +178,7 @@ _WORDS = """WITH w AS (SELECT doc_id, string_split(translate(text, '/()#,;-@''´
 
 @query("x10_title_words", _WORDS + " SELECT word, count(*) AS count, count(DISTINCT doc_id) AS titles FROM p GROUP BY 1")
 def title_words(t: Tables):
-    found = t.documents.select("doc_id", F.explode(titles.title_words(F.col("text"))).alias("word"))
+    found = spread(t.documents, t.documents).select("doc_id", F.explode(titles.title_words(F.col("text"))).alias("word"))
     per_title = found.groupBy("word", "doc_id").agg(F.count("*").alias("n"))
     return per_title.groupBy("word").agg(F.sum("n").alias("count"), F.count("*").alias("titles"))
 
@@ -193,12 +194,13 @@ _CATEGORIES = ", ".join(
     " SELECT doc_id, CAST(pos AS INTEGER) AS pos, p.word, type, CAST(value AS INTEGER) AS value FROM p JOIN d ON p.word = d.word",
 )
 def title_annotate(t: Tables):
-    return words.annotate(t.documents, "doc_id", "text")
+    return words.annotate(spread(t.documents, t.documents), "doc_id", "text")
 
 
 def _held_in(t: Tables):
     """Titles of line items that name their part, whose name has two words."""
-    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+    joined = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    return spread(joined, t.lineitem).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("titleId"),
         F.concat(F.lit("Proceedings, held in "), "p_name", F.lit(", "), F.col("p_type"), F.lit(" ring")).alias("title"),
     )
@@ -228,7 +230,7 @@ def month_day(t: Tables):
 
 def call_pages(t: Tables):
     """A call page per order with embedded triples; every ninth page says it was deleted."""
-    e = p.event_orders(t)
+    e = p.event_orders(t.spread)
     n = F.col("eventId").cast("long")
     stamp = lambda column: F.concat(text(column), F.lit("T00:00:00"))
     prop = lambda name, value: F.concat(F.lit(f'<span property="v:{name}" content="'), value, F.lit('"></span>'))
@@ -318,7 +320,7 @@ def page_link_after_label(t: Tables):
   regexp_extract(html, '<a href="(/[^"]*)">', 1) AS href, regexp_extract(html, '<a href="/[^"]*">([^<]*)</a>', 1) AS "linkText" FROM pages""",
 )
 def first_page_link(t: Tables):
-    return html.page_link(t.pages, "page_id", "html", r"/(.+)")
+    return html.page_link(spread(t.pages, t.pages), "page_id", "html", r"/(.+)")
 
 
 @query(
@@ -329,7 +331,7 @@ def first_page_link(t: Tables):
 )
 def page_fields(t: Tables):
     fields = [("title", "title", None, None), ("heading", "h1", None, None), ("ad", "div", "class", "ad"), ("nothing", "span", "class", "ad")]
-    return html.page_fields(t.pages, "page_id", "html", fields)
+    return html.page_fields(spread(t.pages, t.pages), "page_id", "html", fields)
 
 
 def colocated_titles(t: Tables):

@@ -22,6 +22,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -67,6 +68,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(f"{staging_root(spark)}/eventloom/checkpoints")
 
 
+def spread(rows: DataFrame, scan: DataFrame) -> DataFrame:
+    """Deal rows out to all cores before costly per-row work if the table behind is small.
+
+    ``scan`` is the plain scan they come from, whose size the planner knows. Rows are only
+    moved if it is smaller than one default split per core; larger tables already fill the
+    cores by their splits and are never shuffled here.
+    """
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").lower().removesuffix("b"))
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < cores * split else rows
+
+
 def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A small table of fixed values as an inlined relation, without a Python-side job."""
     text = ", ".join(field.split()[0] for field in schema.split(","))

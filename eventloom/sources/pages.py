@@ -1,6 +1,6 @@
 """Fields, links and embedded triples of HTML pages, one page per row.
 
-Pages are parsed in Arrow batches; the small parser below only lists the elements of one
+Pages are parsed in Arrow batches; the small reader below only lists the elements of one
 page. Pages never meet each other, so the work spreads with the input partitions.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,62 +21,109 @@ _SILENT = {"script", "style", "template"}
 
 
 class _Element:
-    __slots__ = ("tag", "attributes", "texts", "last")
+    __slots__ = ("tag", "_raw", "_attributes", "_pieces", "start", "stop", "last")
 
-    def __init__(self, tag: str, attributes: list):
+    def __init__(self, tag: str, raw: str, pieces: list[str]):
         self.tag = tag
-        self.attributes = {name: value or "" for name, value in attributes}
-        self.texts: list[str] = []
+        self._raw = raw
+        self._attributes: dict | None = None
+        self._pieces = pieces
+        self.start = self.stop = len(pieces)  # the texts inside
         self.last = 0  # index behind the last descendant
 
+    @property
+    def attributes(self) -> dict:
+        if self._attributes is None:
+            found: dict = {}
+            for name, *values in _ATTRIBUTE.findall(self._raw):
+                found.setdefault(name.lower(), unescape("".join(values)))
+            self._attributes = found
+        return self._attributes
+
+    def hold(self, text: str) -> None:
+        """Keep a text of its own, apart from the page's."""
+        self._pieces, self.start, self.stop = [text], 0, 1
+
+    def close(self, last: int, stop: int) -> None:
+        self.last = last
+        if self.tag not in _SILENT:
+            self.stop = stop
+
+    def may_have(self, attribute: str) -> bool:
+        return attribute in self._raw and attribute in self.attributes
+
     @property
     def text(self) -> str:
-        return "".join(self.texts)
+        return "".join(self._pieces[self.start : self.stop])
 
     def has(self, attribute: str, value: str) -> bool:
         found = self.attributes.get(attribute)
         return found is not None and (found == value or (attribute == "class" and value in found.split()))
 
 
-class _Page(HTMLParser):
+# a comment or declaration, or a tag with its name and attributes
+_TAG = re.compile(r"<!--.*?-->|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+
+
+class _Page:
     """Elements in document order, and every text with the element that directly follows it."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.elements: list[_Element] = []
         self.texts: list[list] = []
         self._open: list[_Element] = []
         self._loose: list | None = None
-        self.feed(html)
-        self.close()
+        self._pieces: list[str] = []
+        at = 0
+        while True:
+            tag = _TAG.search(html, at)
+            if tag is None:
+                break
+            self._text(html[at : tag.start()])
+            at = tag.end()
+            if tag.group(2) is None:
+                continue
+            name = tag.group(2).lower()
+            if tag.group(1):
+                self._end(name)
+            else:
+                self._start(name, tag.group(3))
+                if name in _SILENT:
+                    # nothing inside is markup, nor text of the elements around it
+                    end = re.compile(f"</{name}", re.IGNORECASE).search(html, at)
+                    stop = end.start() if end else len(html)
+                    self.elements[-1].hold(html[at:stop])
+                    at = stop
+        self._text(html[at:])
         for element in self._open:
-            element.last = len(self.elements)
+            element.close(len(self.elements), len(self._pieces))
 
-    def handle_starttag(self, tag, attrs):
-        element = _Element(tag, attrs)
+    def _start(self, name: str, raw: str) -> None:
+        element = _Element(name, raw, self._pieces)
         if self._loose is not None:
             self._loose[1] = element
             self._loose = None
         self.elements.append(element)
         element.last = len(self.elements)
-        if tag not in _VOID:
+        if name not in _VOID and not raw.endswith("/"):
             self._open.append(element)
 
-    def handle_endtag(self, tag):
+    def _end(self, name: str) -> None:
         self._loose = None
-        if any(e.tag == tag for e in self._open):
+        if any(e.tag == name for e in self._open):
             while True:
                 element = self._open.pop()
-                element.last = len(self.elements)
-                if element.tag == tag:
+                element.close(len(self.elements), len(self._pieces))
+                if element.tag == name:
                     break
 
-    def handle_data(self, data):
-        silent = bool(self._open) and self._open[-1].tag in _SILENT
-        for element in self._open[-1:] if silent else self._open:
-            element.texts.append(data)
-        self._loose = [data, None]
-        self.texts.append(self._loose)
+    def _text(self, raw: str) -> None:
+        if raw:
+            text = unescape(raw) if "&" in raw else raw
+            self._pieces.append(text)
+            self._loose = [text, None]
+            self.texts.append(self._loose)
 
     def first(self, tag: str, attribute: str | None = None, value: str | None = None) -> str | None:
         for element in self.elements:
@@ -99,10 +146,10 @@ class _Page(HTMLParser):
     def triples(self) -> list[dict]:
         found = []
         for i, node in enumerate(self.elements):
-            if "typeof" not in node.attributes:
+            if not node.may_have("typeof"):
                 continue
             for inner in self.elements[i + 1 : node.last]:
-                if "property" in inner.attributes:
+                if inner.may_have("property"):
                     value = inner.attributes.get("content", inner.text)
                     found.append({"s": node.attributes["typeof"], "p": inner.attributes["property"], "o": value})
         return found
