@@ -50,10 +50,10 @@ def prepare_truth(truth: DataFrame) -> DataFrame:
 
     Written to the staging folder, as every step of an evaluation joins it.
     """
-    members = truth.select("name", "id", "label").distinct()
-    lookup = truth_lookup(truth).withColumn("_last", F.lit(1))
-    marked = members.join(lookup, ["name", "id", "label"], "left")
-    return stage(marked.select("name", "id", "label", F.coalesce("_last", F.lit(0)).alias("last")), "truth")
+    members = truth.groupBy("name", "id", "label").agg(F.max("pos").alias("pos"))
+    newest = members.groupBy("name", "id").agg(F.max("pos").alias("_newest"))
+    last = F.when(F.col("pos") == F.col("_newest"), 1).otherwise(0)
+    return stage(members.join(newest, ["name", "id"]).select("name", "id", "label", last.alias("last")), "truth")
 
 
 def _name_pairs(names: list[str]) -> list[tuple[str, str]]:

@@ -230,7 +230,7 @@ def store_table(df: DataFrame, path: str, sort: list[str]) -> None:
 
 def read_wiki_files(spark: SparkSession, path: str) -> DataFrame:
     """Wiki markup files, one page each, titled by their file name."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.wiki$", 1)
     return raw.select(F.url_decode(name).alias("pageTitle"), F.col("value").alias("wikiMarkup"))
 
