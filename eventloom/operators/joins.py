@@ -78,7 +78,8 @@ def doi_match(left: DataFrame, right: DataFrame) -> DataFrame:
     """Records of two sources with the same DOI, dates as text, newest first."""
     right = right.select(F.col("doi"), *[F.col(c).alias(f"right_{c}") for c in right.columns if c != "doi"])
     dated = left.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("startDate", "endDate")})
-    return dated.join(right, "doi").orderBy(F.desc("startDate"))
+    # the DOI as second key spreads a date with very many records over several ranges
+    return dated.join(right, "doi").orderBy(F.desc("startDate"), "doi")
 
 
 def place_and_date_match(left: DataFrame, right: DataFrame, city_prefix: str) -> DataFrame:

@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 
 from eventloom.fixed_values import EVENT_SHEET, PROCEEDINGS_SHEET
 from eventloom.functions.titles import title_score, volume_number
+from eventloom.session import stage
 
 
 def dedup_by_title(records: DataFrame, group: list[str]) -> DataFrame:
     """Keep the records with the best title score of their group and year.
 
-    The best score is aggregated map-side and joined back: a year holding a third of all
-    records is split by the adaptive skew join, where a window would sort it in one task.
+    The best score is aggregated map-side and joined back, where a window would sort a year
+    holding a third of all records in one task. Without a group there is one score per year:
+    it is staged, so that the planner sees its size and, if that is small, broadcasts it and
+    leaves the records where they are. Otherwise the adaptive skew join splits a hot year.
     A missing year is a group of its own.
     """
     keys = [*group, "year"]
     scored = records.withColumn("_score", title_score(F.col("title")))
     best = scored.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("_score").alias("_best"))
+    if not group:
+        best = stage(best, "best")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     return scored.join(best, [*same, F.col("_score") == F.col("_best")], "left_semi").drop("_score")
 
@@ -112,8 +117,11 @@ def proceedings_sheet(records: DataFrame, group: list[str]) -> DataFrame:
 
 
 def source_sheet(records: DataFrame) -> DataFrame:
-    """Records of one source by year, a missing year first."""
-    return records.orderBy(F.coalesce("year", F.lit(0)))
+    """Records of one source by year, a missing year first.
+
+    The id as second key lets a year with very many records spread over several ranges.
+    """
+    return records.orderBy(F.coalesce("year", F.lit(0)), "eventId")
 
 
 def duplicate_profile(records: DataFrame, group: list[str]) -> DataFrame:

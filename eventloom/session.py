@@ -34,7 +34,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 def staging_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only in local mode."""
-    configured = spark.conf.get(CHECKPOINT_SETTING, None)
+    configured = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(CHECKPOINT_SETTING, None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -61,13 +61,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``DataFrame.checkpoint`` at the staging folder unless the cluster did so."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(f"{staging_root(spark)}/eventloom/checkpoints")
-
-
 def spread(rows: DataFrame, scan: DataFrame) -> DataFrame:
     """Deal rows out to all cores before costly per-row work if the table behind is small.
 

@@ -14,19 +14,20 @@ from eventloom.sources import schemas
 # -- XML ------------------------------------------------------------------------------
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
+def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str, named_entities: bool = False) -> DataFrame:
     """Records of one tag from XML files of any size.
 
     Files are cut at the closing tag by the text source, which splits a single huge dump
     over many tasks where the XML source reads a file in one. Each piece is then parsed by
     ``from_xml``. ``row_tag`` is written as in the file, with its prefix if it has one;
-    records of the tag must not contain each other.
+    records of the tag must not contain each other. ``named_entities`` resolves entities a
+    document type declares, such as ``&uuml;``, which the parser of a piece does not know.
     """
     pieces = spark.read.option("lineSep", f"</{row_tag}>").text(path)
     record = F.regexp_extract("value", rf"(?s)(<{row_tag}[\s>].*)$", 1)
     whole = pieces.select(record.alias("record")).where("record <> ''").select(F.concat("record", F.lit(f"</{row_tag}>")).alias("record"))
-    # entities of a document type, such as &uuml;, are unknown to the parser of a piece
-    return whole.select(F.from_xml(resolve_entities(F.col("record")), schema, {"ignoreNamespace": "true", "rowTag": row_tag}).alias("r")).select("r.*")
+    piece = resolve_entities(F.col("record")) if named_entities else F.col("record")
+    return whole.select(F.from_xml(piece, schema, {"ignoreNamespace": "true", "rowTag": row_tag}).alias("r")).select("r.*")
 
 
 def _own_text(value: Column) -> Column:
@@ -38,7 +39,7 @@ def xml_kinds(spark: SparkSession, path: str, kinds: list[str], delimiter: str =
     """One table per record tag of a bibliography dump; repeated tags joined."""
     tables = {}
     for kind in kinds:
-        raw = read_xml(spark, path, kind, schemas.BIBLIOGRAPHY)
+        raw = read_xml(spark, path, kind, schemas.BIBLIOGRAPHY, named_entities=True)
         joined = [
             F.when(F.col(f"`{tag}`").isNotNull(), F.concat_ws(delimiter, F.transform(f"`{tag}`", _own_text))).alias(tag)
             for tag in schemas.BIBLIOGRAPHY_TAGS
@@ -221,8 +222,12 @@ def write_csv(df: DataFrame, path: str, fields: list[str], selector: Column | No
 
 
 def store_table(df: DataFrame, path: str, sort: list[str]) -> None:
-    """A cleaned table partitioned by source, sorted within files for row-group skipping."""
-    df.repartition("source", *sort[:1]).sortWithinPartitions("source", *sort).write.partitionBy("source").parquet(path)
+    """A cleaned table partitioned by source, sorted within files for row-group skipping.
+
+    Rebalancing brings a source's rows together and splits those of a hot one again.
+    """
+    rows = df.hint("rebalance", F.col("source"), *map(F.col, sort[:1]))
+    rows.sortWithinPartitions("source", *sort).write.partitionBy("source").parquet(path)
 
 
 # -- wiki markup ----------------------------------------------------------------------

@@ -111,7 +111,7 @@ class _Page:
 
     def _end(self, name: str) -> None:
         self._loose = None
-        if any(e.tag == name for e in self._open):
+        if self._open and (self._open[-1].tag == name or any(e.tag == name for e in self._open)):
             while True:
                 element = self._open.pop()
                 element.close(len(self.elements), len(self._pieces))

@@ -265,12 +265,23 @@ def test_streaming_equals_batch_and_skips_finished_files(spark, tmp_path):
     assert state == expected
 
 
-def test_staging_folder_comes_from_the_session(spark, tmp_path):
-    spark.conf.set(session.CHECKPOINT_SETTING, str(tmp_path))
-    try:
-        assert session.staging_path(spark, "x").startswith(str(tmp_path))
-    finally:
-        spark.conf.unset(session.CHECKPOINT_SETTING)
+class FakeSession:
+    """A session with the given settings, as a cluster would hand out."""
+
+    def __init__(self, master, settings):
+        self.conf = settings
+        self.sparkContext = self
+        self.master = master
+
+    def getConf(self):
+        return self.conf
+
+
+def test_staging_folder_comes_from_the_session():
+    cluster = FakeSession("yarn", {session.CHECKPOINT_SETTING: "hdfs://shared/work/"})
+    assert session.staging_path(cluster, "x").startswith("hdfs://shared/work/eventloom/x-")
+    with pytest.raises(RuntimeError):
+        session.staging_root(FakeSession("yarn", {}))
 
 
 def test_schemas_are_valid(spark):
