@@ -122,7 +122,8 @@ def evaluate(records: DataFrame, truth: DataFrame, names: list[str]) -> DataFram
     """
     prepared = prepare_truth(truth)
     lookup = prepared.where("last = 1").select("name", "id", "label")
-    pairs = present_pairs(records.join(lookup, ["name", "id"], "left"), names)
+    labelled = stage(records.join(lookup, ["name", "id"], "left").select("record", "name", "id", "label"), "labelled")
+    pairs = present_pairs(labelled, names)
     for own, other in ((1, 2), (2, 1)):
         hit = prepared.select(
             F.col("label").alias(f"label{own}"),
@@ -133,7 +134,7 @@ def evaluate(records: DataFrame, truth: DataFrame, names: list[str]) -> DataFram
         pairs = pairs.join(hit, [f"label{own}", f"name{other}", f"id{other}"], "left")
     outcome = F.when(F.coalesce("_hit1", "_hit2", F.lit(False)), "TP").otherwise("FP")
     positive = pairs.select("record", "name1", "id1", "name2", "id2", outcome.alias("label"))
-    missed = missed_pairs(records, prepared, names).withColumn("label", F.lit("FN"))
+    missed = missed_pairs(labelled.drop("label"), prepared, names).withColumn("label", F.lit("FN"))
     rows = positive.unionByName(missed.select(*positive.columns))
     labels = F.create_map(*[F.lit(x) for pair in REFERENCE_LABELS.items() for x in pair])
     return rows.withColumn("refLabel", labels[F.col("label")])
@@ -151,7 +152,8 @@ def confusion(records: DataFrame, truth: DataFrame, names: list[str]) -> DataFra
     of all records share costs no more rows than it has.
     """
     marked = prepare_truth(truth)
-    ids = records.select("record", "name", "id").distinct()
+    # the ids are joined three times: write them once
+    ids = stage(records.select("record", "name", "id").distinct(), "ids")
     pairs = _name_pairs(names)
     indexed = list(enumerate(names))
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventloom.fixed_values import EVENT_SHEET, PROCEEDINGS_SHEET
+from eventloom.fixed_values import (
+    EVENT_SHEET,
+    EVENT_TEMPLATE_PROPERTIES,
+    EVENT_WIKI_PROPERTIES,
+    PROCEEDINGS_SHEET,
+    SERIES_TEMPLATE_PROPERTIES,
+    SERIES_WIKI_PROPERTIES,
+    WIKIDATA_MAPPING,
+)
 from eventloom.functions.titles import title_score, volume_number
-from eventloom.session import stage
+from eventloom.session import literal_rows, stage
 
 
 def dedup_by_title(records: DataFrame, group: list[str]) -> DataFrame:
@@ -124,6 +132,23 @@ def source_sheet(records: DataFrame) -> DataFrame:
     return records.orderBy(F.coalesce("year", F.lit(0)), "eventId")
 
 
+def mapping_sheets(spark: SparkSession) -> dict[str, DataFrame]:
+    """The two fixed sheets that say which property every sheet column fills."""
+    wikidata = literal_rows(
+        spark,
+        "Entity string,Column string,PropertyName string,PropertyId string,Type string,Value string,Qualifier string,Lookup string",
+        WIKIDATA_MAPPING,
+    )
+    rows = []
+    for entity, names, properties in (
+        ("Event", EVENT_TEMPLATE_PROPERTIES, EVENT_WIKI_PROPERTIES),
+        ("Event series", SERIES_TEMPLATE_PROPERTIES, SERIES_WIKI_PROPERTIES),
+    ):
+        rows += [(entity, parameter, name, properties[parameter], parameter) for parameter, name in names.items()]
+    wiki = literal_rows(spark, "Entity string,Column string,PropertyName string,PropertyId string,TemplateParam string", rows)
+    return {"WikidataMapping": wikidata, "SmwMapping": wiki}
+
+
 def duplicate_profile(records: DataFrame, group: list[str]) -> DataFrame:
     """Per series: records, distinct years and ordinals, repeats, and records after dedup.
 

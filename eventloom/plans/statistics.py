@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.fixed_values import SIGNATURE
+from eventloom.functions.text import leading_int
 from eventloom.functions.titles import fulltitle
 from eventloom.operators import stats, views
 from eventloom.plans import proxies as p
@@ -59,6 +60,23 @@ def duplicates(t: Tables):
     return stats.repeated_values(p.event_orders(t), "title")
 
 
+@query(
+    "a3_number_usage",
+    with_proxies(
+        "event_stream",
+        """, n AS (SELECT CASE WHEN number % 3 = 0 THEN 'x' ELSE '' END || number || CASE WHEN number % 2 = 0 THEN 'a' ELSE '' END AS number FROM event_stream)
+SELECT number, coalesce(try_cast(nullif(regexp_extract(number, '^[0-9]+'), '') AS INTEGER), 0) AS enum, count(*) AS count
+FROM n WHERE number IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
+    ),
+)
+def number_usage(t: Tables):
+    # texts such as 44a count as 44, texts without a leading number as 0
+    n = F.col("number")
+    number = F.concat(F.when(n % 3 == 0, "x").otherwise(""), n.cast("string"), F.when(n % 2 == 0, "a").otherwise(""))
+    repeated = stats.repeated_values(p.event_stream(t).select(number.alias("number")), "number")
+    return repeated.withColumn("enum", leading_int(F.col("number")))
+
+
 @query(
     "a4_series_span",
     _orders_sql("SELECT series, count(*) AS count, min(year) AS minYear, max(year) AS maxYear, min(title) AS title FROM event_orders GROUP BY 1"),

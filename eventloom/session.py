@@ -70,16 +70,16 @@ def spread(rows: DataFrame, scan: DataFrame) -> DataFrame:
     """
     spark = scan.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").lower().removesuffix("b"))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return rows.repartition(cores) if size < cores * split else rows
 
 
 def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A small table of fixed values as an inlined relation, without a Python-side job."""
-    text = ", ".join(field.split()[0] for field in schema.split(","))
+    text = ", ".join(f"`{field.split()[0]}`" for field in schema.split(","))
     values = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
-    casts = [F.col(f.split()[0]).cast(f.split()[1]).alias(f.split()[0]) for f in schema.split(",")]
+    casts = [F.col(f"`{f.split()[0]}`").cast(f.split()[1]).alias(f.split()[0]) for f in schema.split(",")]
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({text})").select(*casts)
 
 

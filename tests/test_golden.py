@@ -166,3 +166,10 @@ def test_rename_properties(spark):
     assert cleaning.rename_properties(df, names).columns == ["acronym"]
     assert cleaning.rename_properties(df, names, force=True).columns == ["acronym", "Other"]
     assert cleaning.rename_properties(df.withColumnRenamed("Acronym", "acronym"), names, reverse=True, include=["Other"]).columns == ["Acronym", "Other"]
+
+
+def test_mapping_sheets(spark):
+    sheets = s.mapping_sheets(spark)
+    assert sheets["WikidataMapping"].count() == 29
+    found = {(r.Entity, r.Column): r.PropertyName for r in sheets["SmwMapping"].collect()}
+    assert found["Event", "Series"] == "inEventSeries" and found["Event series", "GND-ID"] == "gndId"
