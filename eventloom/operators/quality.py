@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.session import is_blank
 
-# (column, kind): text columns are bad when blank, year when outside these bounds.
+# A year outside these bounds is invalid, as are blank texts and numbers below one.
 YEAR_BOUNDS = (1850, 2100)
 
 

@@ -173,7 +173,7 @@ def confref_json(t: Tables):
 
 
 def _calls(t: Tables):
-    """Raw call records: every event twice, the second time later and changed."""
+    """Raw call records, one per event, some deleted and some spam."""
     n = F.col("event_id")
     base = t.events.select(
         text(n).alias("eventId"), F.concat(F.lit("U"), text("user_id")).alias("acronym"), F.concat(F.lit("Call "), text(n)).alias("title"),
