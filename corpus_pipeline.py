@@ -9,6 +9,10 @@ from eventloom.session import stage
 
 STAGES = [
     ("quality_rules", stages.keep_good),
+    ("line_dedup", stages.drop_lines),
+    ("near_dedup", stages.keep_first_copies),
+    ("mixing", stages.mix),
+    ("byte_bpe", stages.encode),
 ]
 
 #: The isolation forest and the tokenizer cannot be written as SQL.

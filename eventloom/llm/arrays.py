@@ -21,6 +21,7 @@ _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit (the finaliser of splitmix64)."""
+    values = values.astype(np.uint64, copy=False)
     values = values ^ (values >> np.uint64(30))
     values *= _MIX[0]
     values ^= values >> np.uint64(27)

@@ -189,10 +189,11 @@ class QualityModel:
 
 
 def sampled(statistics: DataFrame, rows: int, seed: int, key: str = "doc_id") -> np.ndarray:
-    """Features of at most ``rows`` documents, those with the least seeded hashes of their key."""
+    """Features of about ``rows`` documents, those with the least seeded hashes of their key."""
     names = [*COUNTS, *MORE]
-    order = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    taken = statistics.select(*names, order.alias("__order")).orderBy("__order", *names).limit(rows).toPandas()
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 40))
+    share = min(1.0, rows / max(1, statistics.count()))
+    taken = statistics.where(draw < int(share * (1 << 40))).select(*names).limit(2 * rows).toPandas().sort_values(names)
     return features({n: taken[n].to_numpy() for n in names})
 
 
@@ -240,7 +241,7 @@ def calibrated(scored: DataFrame, labels: DataFrame, cost: float, bins: int = 20
 def fit(
     statistics: DataFrame, labels: DataFrame, trees: int = 128, rows_per_tree: int = 128, sample_rows: int = 16384, cost: float = 20.0, seed: int = 7
 ) -> QualityModel:
-    """A forest from at most ``sample_rows`` documents, and a threshold from all labelled ones.
+    """A forest from about ``sample_rows`` documents, and a threshold from all labelled ones.
 
     ``statistics`` should be a written table: it is read twice. Documents that fail the base
     rules take part in neither, as their verdict is fixed.
