@@ -121,28 +121,30 @@ def place() -> Column:
 
 @dataclass
 class Candidates:
-    """``blocks``: those whose anchor repeats, with ``mixed`` (blocks of the anchor differ) and
-    ``first`` (its first occurrence). ``distinct``: of mixed anchors, each block once, with
-    its first occurrence, how often it occurs (``n``), and how many blocks the anchor has (``m``)."""
+    """``blocks``: those whose anchor repeats. ``distinct``: each of them once, with its first
+    occurrence, how often it occurs (``n``), and how many different blocks its anchor has (``m``)."""
 
     blocks: DataFrame
     distinct: DataFrame
 
+    @property
+    def mixed(self) -> DataFrame:
+        """Blocks that share only a part with others, if anything: their texts must be compared."""
+        return self.distinct.where("m > 1")
+
 
 def candidates(blocks: DataFrame) -> Candidates:
-    anchors = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.min(place()).alias("first"))
-    anchors = stage(anchors.where("n > 1").select("h", (F.col("low") != F.col("high")).alias("mixed"), "first"), "anchors")
-    repeated = stage(blocks.join(anchors, "h"), "repeated-blocks")
-    distinct = repeated.where("mixed").groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("rep"))
-    distinct = stage(distinct, "distinct-blocks")
+    anchors = stage(blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors")
+    repeated = stage(blocks.join(anchors, "h", "left_semi"), "repeated-blocks")
+    distinct = stage(repeated.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("rep")), "distinct-blocks")
     members = stage(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "anchor-members")
-    return Candidates(repeated, stage(distinct.join(members, "h").select("h", "x", "n", "m", "rep.*"), "counted-blocks"))
+    return Candidates(repeated, distinct.join(members, "h").select("h", "x", "n", "m", "rep.*"))
 
 
 def repeats_of(found: Candidates) -> DataFrame:
-    """Occurrences of equal blocks of mixed anchors, with the first one (``rep``)."""
+    """Occurrences of blocks that occur twice or more as a whole, with the first one (``rep``)."""
     often = found.distinct.where("n > 1").select("h", "x", place().alias("rep"))
-    return found.blocks.where("mixed").join(often, ["h", "x"])
+    return found.blocks.join(often, ["h", "x"])
 
 
 def with_texts(distinct: DataFrame, documents: DataFrame, cut: Callable[[bytes, np.ndarray, np.ndarray], list], kind: str) -> DataFrame:

@@ -114,13 +114,11 @@ def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 def repeated_phrases(documents: DataFrame) -> DataFrame:
     """Windows (``doc_id``, ``copy``, ``lo``, ``size``) whose words also start earlier."""
     found = blocks.candidates(blocks.block_table(documents, _symbols, SHAPE))
-    columns = ["doc_id", "copy", "lo", "size"]
-    same = found.blocks.where("NOT mixed").where(~blocks.place().eqNullSafe(F.col("first"))).select(*columns)
-    again = blocks.repeats_of(found).where(~blocks.place().eqNullSafe(F.col("rep"))).select(*columns)
-    texts = stage(blocks.with_texts(found.distinct, documents, _cut, "array<string>"), "block-words")
+    again = blocks.repeats_of(found).where(~blocks.place().eqNullSafe(F.col("rep"))).select("doc_id", "copy", "lo", "size")
+    texts = stage(blocks.with_texts(found.mixed, documents, _cut, "array<string>"), "block-words")
     patterns = stage(confirmed(texts), "patterns")
     later = occurrences(texts, patterns).withColumn("size", F.lit(1))
-    return same.unionByName(again).unionByName(later)
+    return again.unionByName(later)
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:

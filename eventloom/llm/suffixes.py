@@ -19,16 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import blocks
-from eventloom.llm.arrays import Prefixes, Slice
+from eventloom.llm.arrays import Prefixes, Slice, pair_hash
 from eventloom.session import stage
 
 WIDTH = 200
 SHAPE = blocks.Shape(WIDTH, 64)
 #: Distinct blocks of an anchor up to which a task compares them in one suffix array; blocks
-#: of more frequent anchors are split into their windows, which Spark groups by hash.
+#: of more frequent anchors are split into cells and windows, which Spark groups by hash.
 MEMBERS = 512
 #: Blocks for each shard.
 SHARD_BLOCKS = 8192
+#: Window starts in a cell of a frequent block.
+CELL = 16
 
 
 def _symbols(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +136,7 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     found = blocks.candidates(blocks.block_table(documents, _symbols, SHAPE))
     cut = lambda text, lo, size: [text[a : a + n - 1 + WIDTH] for a, n in zip(lo.tolist(), size.tolist(), strict=True)]
-    texts = stage(blocks.with_texts(found.distinct, documents, cut, "binary"), "block-texts")
+    texts = stage(blocks.with_texts(found.mixed, documents, cut, "binary"), "block-texts")
     few, many = texts.where(F.col("m") <= MEMBERS), texts.where(F.col("m") > MEMBERS)
     shards = 1 + few.count() // SHARD_BLOCKS
     grouped = few.select("h", "doc_id", "copy", "lo", "at", "content", F.pmod("h", F.lit(shards)).alias("shard")).groupBy("shard")
@@ -149,30 +151,66 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def blocks_that_repeat(found: blocks.Candidates) -> DataFrame:
     """Blocks all of whose windows repeat: they occur twice as a whole."""
-    columns = ["doc_id", "copy", "lo", "size"]
-    return found.blocks.where("NOT mixed").select(*columns).unionByName(blocks.repeats_of(found).select(*columns))
+    return blocks.repeats_of(found).select("doc_id", "copy", "lo", "size")
 
 
-def _frequent(texts: DataFrame) -> DataFrame:
-    """Single windows, of anchors with very many blocks, that occur in two blocks or more."""
+def _cells(texts: DataFrame) -> DataFrame:
+    """Blocks of frequent anchors, cut at every ``CELL`` starts counted from the anchor.
+
+    All windows of a cell cover its core, so equal windows lie in cells with equal cores:
+    the core's hash is the key (``h``) of a finer block table. ``windows`` are the hashes of
+    the cell's windows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, len(whole), 256):
                 batch = whole.slice(first, 256)
-                rows, keys, starts = [], [], []
-                for row, (content, size, lo) in enumerate(zip(batch.column("content"), batch.column("size").to_pylist(), batch.column("lo").to_pylist(), strict=True)):
-                    at = np.arange(size)
-                    keys.append(Prefixes(np.frombuffer(content.as_buffer(), np.uint8)).of(at, at + WIDTH))
-                    starts.append(lo + at)
-                    rows.append(np.full(size, row))
-                rows = pa.array(np.concatenate(rows))
-                columns = [batch.column(n).take(rows) for n in ("h", "doc_id", "copy")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(starts).astype(np.int32))], names=["h", "doc_id", "copy", "w", "lo"])
-
-    windows = texts.select("h", "doc_id", "copy", "lo", "size", "content").mapInArrow(run, "h long, doc_id long, copy long, w long, lo int")
-    often = stage(windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "w"), "frequent-windows")
-    return windows.join(often, ["h", "w"]).select("doc_id", "copy", "lo", F.lit(1).alias("size"))
+                rows, keys, whole_cells, starts, sizes, windows = [], [], [], [], [], []
+                for row, (content, size, at) in enumerate(zip(batch.column("content"), batch.column("size").to_pylist(), batch.column("at").to_pylist(), strict=True)):
+                    prefixes = Prefixes(np.frombuffer(content.as_buffer(), np.uint8))
+                    steps = np.arange(size)
+                    cell = (steps - at) // CELL
+                    begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                    end = np.append(begin[1:], size) - 1
+                    core = at + cell[begin] * CELL
+                    cores = prefixes.of(core + CELL - 1, core + WIDTH)
+                    keys.append(pair_hash(cores, (cell[begin] + WIDTH).astype(np.uint64)))
+                    whole_cells.append(pair_hash(prefixes.of(begin, end + WIDTH), (begin - core + CELL).astype(np.uint64)))
+                    rows.append(np.full(len(begin), row))
+                    starts.append(begin)
+                    sizes.append(end - begin + 1)
+                    windows.append(prefixes.of(steps, steps + WIDTH))
+                rows, sizes = np.concatenate(rows), np.concatenate(sizes)
+                h = batch.column("h").to_numpy().view(np.uint64)[rows]
+                lo = batch.column("lo").to_numpy()[rows] + np.concatenate(starts)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(windows).view(np.int64)))
+                columns = [batch.column(n).take(pa.array(rows)) for n in ("doc_id", "copy")]
+                columns += [pa.array(v.view(np.int64)) for v in (pair_hash(h, np.concatenate(keys)), np.concatenate(whole_cells))]
+                columns += [pa.array(v.astype(np.int32)) for v in (lo, sizes, np.zeros(len(rows)))]
+                yield pa.RecordBatch.from_arrays([*columns, lists], names=["doc_id", "copy", "h", "x", "lo", "size", "at", "windows"])
+
+    rows = texts.select("h", "doc_id", "copy", "lo", "size", "at", "content")
+    return rows.mapInArrow(run, "doc_id long, copy long, h long, x long, lo int, size int, at int, windows array<long>")
+
+
+def _frequent(texts: DataFrame) -> DataFrame:
+    """Repeating windows of anchors with very many blocks, as ranges.
+
+    Cells are told apart as blocks were: a core that occurs once has no repeats, equal cells
+    repeat as a whole, and only cells on the border of a repeat are split into windows.
+    """
+    cells = stage(_cells(texts), "cells")
+    found = blocks.candidates(cells.drop("windows"))
+    edges = found.mixed.select("h", "x", "doc_id", "copy", "lo")
+    own = cells.select("h", "x", F.col("doc_id").alias("d"), F.col("copy").alias("c"), F.col("lo").alias("l"), "windows")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")) & (F.col("lo") == F.col("l"))
+    rows = edges.withColumnsRenamed({"h": "k", "x": "y"}).join(own, (F.col("k") == F.col("h")) & (F.col("y") == F.col("x")) & same)
+    windows = stage(rows.select("h", "doc_id", "copy", "lo", "windows"), "edge-cells")
+    single = windows.select("h", "doc_id", "copy", "lo", F.posexplode("windows").alias("step", "w"))
+    often = stage(single.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "w"), "frequent-windows")
+    repeated = single.join(often, ["h", "w"]).select("doc_id", "copy", (F.col("lo") + F.col("step")).alias("lo"), F.lit(1).alias("size"))
+    return blocks_that_repeat(found).unionByName(repeated)
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
