@@ -8,10 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eventloom.fixed_values import (
+    ODD_ORDINALS,
     ORDINAL_WORDS,
+    PLACE_TIME_PATTERN,
     TENS_WORDS,
-    TITLE_DICTIONARY,
     TITLE_SEPARATORS,
+    TITLE_VOCABULARY,
     VOLUME_DISTRIBUTION_PATTERN,
     VOLUME_LETTERS,
     VOLUME_PATTERN,
@@ -25,12 +27,20 @@ def _literal_map(pairs: dict[str, int]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
-# digits with a suffix, or a word ending like an ordinal, as a whole word
+# digits with a suffix, a word ending like an ordinal, or a number up to 99 before a full stop
 _ORDINAL_TOKEN = (
-    r"(?<![\p{L}0-9-])([0-9]{1,9}(?:st|nd|rd|th)|(?:[a-z]+-)?(?:first|second|third|[a-z]+th))(?![\p{L}0-9-])"
+    r"(?<![\p{L}0-9-])((?i:[0-9]{1,9}(?:st|nd|rd|th)|(?:[a-z]+-)?(?:first|second|third|[a-z]+th)|eight)(?![\p{L}0-9-])"
+    r"|(?<![^\s])(?:[1-9][0-9]?\.|[CLXVI]+\.|III?|[12])(?=\s|$))"
 )
 
 
+def roman_values() -> dict[str, int]:
+    """``I`` … ``XCIX`` with their numbers."""
+    ones = ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]
+    tens = ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"]
+    return {tens[n // 10] + ones[n % 10]: n for n in range(1, 100)}
+
+
 def ordinal_word_values() -> dict[str, int]:
     """``first`` … ``ninety-ninth`` with their numbers."""
     words = dict(zip(ORDINAL_WORDS, range(1, 20)))
@@ -42,25 +52,30 @@ def ordinal_word_values() -> dict[str, int]:
 
 
 def title_dictionary() -> list[tuple[str, str, int | None]]:
-    """(word, type, value) rows: fixed categories, month names and ordinals built by rule."""
-    rows = [(word, kind, None) for kind, words in TITLE_DICTIONARY.items() for word in words]
+    """(word, type, value) rows: fixed categories, and month names and ordinals built by rule.
+
+    Entries may have several words.
+    """
+    rows = [(word, kind, None) for word, kind in TITLE_VOCABULARY]
     rows += [(name, "month", i) for i, name in enumerate(MONTHS, start=1)]
     for word, value in ordinal_word_values().items():
         rows += [(word, "enum", value), (word.title(), "enum", value)]
-    for value in range(1, 100):
+    for roman, value in roman_values().items():
         suffix = {1: "st", 2: "nd", 3: "rd"}.get(value % 10 if value // 10 != 1 else 0, "th")
-        rows.append((f"{value}{suffix}", "enum", value))
-    return rows
+        rows += [(f"{value}{suffix}", "enum", value), (f"{value}.", "enum", value), (f"{roman}.", "enum", value)]
+    return rows + [(word, "enum", value) for word, value in ODD_ORDINALS]
 
 
 def ordinals(title: Column) -> Column:
-    """All ordinals of a title in order: ``12th`` forms and ordinal words."""
-    words = _literal_map(ordinal_word_values())
-    candidates = F.regexp_extract_all(F.lower(title), F.lit(_ORDINAL_TOKEN), F.lit(1))
+    """All ordinals of a title in order: ``12th``, ``12.`` and ``XII.`` forms, and ordinal words."""
+    words = _literal_map(ordinal_word_values() | {"eight": 8})
+    romans = _literal_map(roman_values())
+    candidates = F.regexp_extract_all(title, F.lit(_ORDINAL_TOKEN), F.lit(1))
 
     def number(token: Column) -> Column:
         digits = F.regexp_extract(token, "^[0-9]+", 0).try_cast("int")
-        return F.coalesce(digits, F.try_element_at(words, token))
+        roman = F.try_element_at(romans, F.rtrim(token, F.lit(".")))
+        return F.coalesce(digits, F.try_element_at(words, F.lower(token)), roman)
 
     return F.filter(F.transform(candidates, number), lambda n: n.isNotNull())
 
@@ -107,12 +122,6 @@ def title_words(title: Column) -> Column:
     )
 
 
-_PLACE_TIME = (
-    r"\s?([1-9][0-9]*)\s?\(([^)]*)\)\s?:\s?"
-    r"([12][0-9][0-9][0-9]\.[0-9][0-9]\.[0-9][0-9]\-(?:[0-9][0-9]\.[0-9][0-9]|[0-9][0-9]))"
-)
-
-
 def description(text: Column) -> Column:
     """``Workshop (WIRN) ; 8 (Vietri) : 1996.05.23-25`` as a struct.
 
@@ -124,7 +133,7 @@ def description(text: Column) -> Column:
             (F.size(p) > 1).alias("parted"),
             regex_groups(p[0], r"\(([^)]*)\)", 1).alias("bracket"),
             p[0].alias("head"),
-            regex_groups(F.get(p, F.lit(1)), _PLACE_TIME, 3).alias("g"),
+            regex_groups(F.get(p, F.lit(1)), PLACE_TIME_PATTERN, 3).alias("g"),
         )
 
     def fields(r: Column) -> Column:

@@ -36,3 +36,31 @@ def pivot_calls(triples: DataFrame, key: str) -> DataFrame:
         *[(F.trim(first(n)) if c in trimmed else first(n)).alias(c) for c, n in texts.items()],
         *[F.try_to_date(first(n), "yyyy-MM-dd").alias(c) for c, n in dated.items()],
     )
+
+
+def pivot_pages(pages: DataFrame, key: str) -> DataFrame:
+    """As :func:`pivot_calls`, from the ordered ``triples`` of each page as one array.
+
+    Every column is read from the page's own array, so no triple is moved.
+    """
+    bare = F.transform("triples", lambda t: F.struct(F.replace(t["p"], F.lit("v:"), F.lit("")).alias("p"), t["o"].alias("o")))
+
+    def named(t, i):
+        before = F.get(F.col("_bare"), i - 1)
+        label = F.when((before["p"] == "summary") & before["o"].isin(DEADLINE_LABELS), F.replace(before["o"], F.lit(" "), F.lit("_")))
+        value = F.when(~t["p"].endswith("Date"), t["o"]).when(t["o"] != "TBD", F.substring(t["o"], 1, 10))
+        return F.struct(F.coalesce(F.when(i > 0, label), t["p"]).alias("name"), value.alias("value"))
+
+    rows = pages.where(F.size("triples") > 0).select(key, bare.alias("_bare")).select(key, F.transform("_bare", named).alias("_named"))
+
+    def first(name: str):
+        return F.get(F.filter("_named", lambda n: n["name"] == name), F.lit(0))["value"]
+
+    texts = {"acronym": "summary", "title": "description", "eventType": "eventType", "locality": "locality"}
+    dated = {"startDate": "startDate", "endDate": "endDate", **{l.replace(" ", "_"): l.replace(" ", "_") for l in DEADLINE_LABELS}}
+    trimmed = {"acronym", "title"}
+    return rows.select(
+        key,
+        *[(F.trim(first(n)) if c in trimmed else first(n)).alias(c) for c, n in texts.items()],
+        *[F.try_to_date(first(n), "yyyy-MM-dd").alias(c) for c, n in dated.items()],
+    )

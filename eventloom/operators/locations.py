@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.fixed_values import LOCATION_PATTERNS_NO_REGION, LOCATION_PATTERNS_REGION
+from eventloom.fixed_values import LOCATION_PATTERNS_NO_REGION, LOCATION_PATTERNS_REGION, PREDEFINED_CITIES, PREDEFINED_TEXTS
+from eventloom.session import literal_rows
 
 
 def gazetteer_terms(cities: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
@@ -14,14 +17,9 @@ def gazetteer_terms(cities: DataFrame, fixed: DataFrame | None = None) -> DataFr
     ``cities`` has pos, city, region, regionCode, country, countryCode and id. ``fixed``
     rows (text, id) come first; a null id says that the text names no place.
     """
-    parts = {"c": "city", "r": "region", "k": "regionCode", "n": "country", "m": "countryCode"}
-
     def written(pattern: str):
-        pieces = []
-        for piece in pattern.replace("{", "|{").replace("}", "}|").split("|"):
-            if piece:
-                pieces.append(F.col(parts[piece[1]]) if piece.startswith("{") else F.lit(piece))
-        return F.concat(*pieces)
+        pieces = [piece for piece in re.split(r"(\{\w+\})", pattern) if piece]
+        return F.concat(*[F.col(piece[1:-1]) if piece.startswith("{") else F.lit(piece) for piece in pieces])
 
     short = F.array(*map(written, LOCATION_PATTERNS_NO_REGION))
     full = F.array(*map(written, LOCATION_PATTERNS_NO_REGION + LOCATION_PATTERNS_REGION))
@@ -32,6 +30,13 @@ def gazetteer_terms(cities: DataFrame, fixed: DataFrame | None = None) -> DataFr
     return terms.groupBy("text").agg(F.max_by("id", F.struct("pos", "id")).alias("id"))
 
 
+def predefined_terms(spark: SparkSession) -> DataFrame:
+    """The published table of texts, in which some name no place (null id)."""
+    cities = [(i, *row) for i, row in enumerate(PREDEFINED_CITIES)]
+    table = literal_rows(spark, "pos int,city string,region string,regionCode string,countryCode string,country string,id string", cities)
+    return gazetteer_terms(table, literal_rows(spark, "text string,id string", PREDEFINED_TEXTS))
+
+
 def consensus(first: DataFrame, second: DataFrame) -> DataFrame:
     """Answers of the first resolver unless the second gives another one."""
     other = second.select("text", F.col("id").alias("_other"))

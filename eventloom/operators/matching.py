@@ -41,8 +41,8 @@ def ids_by_source(records: DataFrame, key: str, names: list[str]) -> DataFrame:
 
 
 def truth_lookup(truth: DataFrame) -> DataFrame:
-    """The record each (name, id) stands for; of several the last one."""
-    return truth.groupBy("name", "id").agg(F.max_by("label", "pos").alias("label"))
+    """The record each (name, id) stands for; of several the last one, at one place the greatest."""
+    return truth.groupBy("name", "id").agg(F.max(F.struct("pos", "label"))["label"].alias("label"))
 
 
 def prepare_truth(truth: DataFrame) -> DataFrame:
@@ -51,8 +51,8 @@ def prepare_truth(truth: DataFrame) -> DataFrame:
     Written to the staging folder, as every step of an evaluation joins it.
     """
     members = truth.groupBy("name", "id", "label").agg(F.max("pos").alias("pos"))
-    newest = members.groupBy("name", "id").agg(F.max("pos").alias("_newest"))
-    last = F.when(F.col("pos") == F.col("_newest"), 1).otherwise(0)
+    newest = members.groupBy("name", "id").agg(F.max(F.struct("pos", "label")).alias("_newest"))
+    last = F.when(F.struct("pos", "label") == F.col("_newest"), 1).otherwise(0)
     return stage(members.join(newest, ["name", "id"]).select("name", "id", "label", last.alias("last")), "truth")
 
 

@@ -7,21 +7,19 @@ from pyspark.sql import functions as F
 
 from eventloom.session import is_blank
 
-# A year outside these bounds is invalid, as are blank texts and numbers below one.
-YEAR_BOUNDS = (1850, 2100)
 
-
-def rate(records: DataFrame, columns: list[str], entity_type: str, id_column: str) -> DataFrame:
+def rate(records: DataFrame, columns: list[str], entity_type: str, id_column: str, years: tuple[int, int] | None = None) -> DataFrame:
     """One rating per record: the worst of its signature columns.
 
-    Missing values hurt most, invalid ones less, anything else is fine.
+    Missing values hurt most, invalid ones less, anything else is fine. Invalid are blank
+    texts, numbers below one, and years outside ``years`` if that is given.
     """
     types = dict(records.dtypes)
 
     def rule(at: int, name: str) -> Column:
         column = F.col(name)
-        if name == "year":
-            invalid = ~column.between(*YEAR_BOUNDS)
+        if name == "year" and years is not None:
+            invalid = ~column.between(*years)
         elif types[name] == "string":
             invalid = F.trim(column) == ""
         elif types[name] in ("int", "bigint"):

@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 
 from eventloom.fixed_values import (
     EVENT_SHEET,
-    EVENT_TEMPLATE_PROPERTIES,
-    EVENT_WIKI_PROPERTIES,
     PROCEEDINGS_SHEET,
-    SERIES_TEMPLATE_PROPERTIES,
-    SERIES_WIKI_PROPERTIES,
     WIKIDATA_MAPPING,
+    WIKI_MAPPING,
 )
 from eventloom.functions.titles import title_score, volume_number
 from eventloom.session import literal_rows, stage
@@ -139,12 +136,7 @@ def mapping_sheets(spark: SparkSession) -> dict[str, DataFrame]:
         "Entity string,Column string,PropertyName string,PropertyId string,Type string,Value string,Qualifier string,Lookup string",
         WIKIDATA_MAPPING,
     )
-    rows = []
-    for entity, names, properties in (
-        ("Event", EVENT_TEMPLATE_PROPERTIES, EVENT_WIKI_PROPERTIES),
-        ("Event series", SERIES_TEMPLATE_PROPERTIES, SERIES_WIKI_PROPERTIES),
-    ):
-        rows += [(entity, parameter, name, properties[parameter], parameter) for parameter, name in names.items()]
+    rows = [(entity, parameter, name, wiki_property, parameter) for entity, wiki_property, name, parameter in WIKI_MAPPING]
     wiki = literal_rows(spark, "Entity string,Column string,PropertyName string,PropertyId string,TemplateParam string", rows)
     return {"WikidataMapping": wikidata, "SmwMapping": wiki}
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from eventloom.fixed_values import SERIES_SIGNATURE, SIGNATURE
 from eventloom.functions.dates import month_day
 from eventloom.functions.titles import series_acronym, volume_text
+from eventloom.session import stage
 
 
 def source_counts(events: DataFrame) -> DataFrame:
@@ -130,6 +131,7 @@ def create_lookup(tables: dict[str, DataFrame], column: str, id_column: str) ->
         .groupBy("_at", "_table", column, id_column)
         .agg(F.count("*").alias("_n"))
     )
+    counts = stage(counts, "lookup-counts")
     rows = counts.agg(F.sum("_n")).scalar()
     order = F.struct("_at", -F.col("_n"), F.col(id_column))
     per_table = [F.sum(F.when(F.col("_table") == name, F.col("_n"))).alias(f"{name}Count") for name in tables]
@@ -251,19 +253,19 @@ def zipf_summary(counts: DataFrame) -> DataFrame:
     )
 
 
-def zipf_fit(counts: DataFrame, low: float = -10.0, high: float = 10.0, digits: int = 3) -> DataFrame:
+def zipf_fit(counts: DataFrame, digits: int = 3) -> DataFrame:
     """Exponent b of the most likely power law x^-b.
 
-    The log-likelihood -b Σ f log x - Σ f · log Σ x^-b is concave in b, so a grid is
-    refined digit by digit around its best point; each round is one aggregate in which
-    every distinct value meets the grid by an explode.
+    The log-likelihood -b Σ f log x - Σ f · log Σ x^-b is concave in b. A grid moves and
+    widens until its best point lies inside, and is then refined digit by digit; each round
+    is one aggregate of the staged counts in which every distinct value meets the grid by an
+    explode. Null if there are fewer than two distinct values, for which no b is better.
     """
-    step = 1.0
-    best = None
-    for digit in range(digits + 1):
-        centre = best if best is not None else (low + high) / 2
-        reach = 10 if digit else int((high - low) / 2)
-        grid = [round(centre + i * step, digit) for i in range(-reach, reach + 1)]
+    counts = stage(counts, "zipf-counts")
+    if counts.select("x").distinct().limit(2).count() < 2:
+        return counts.agg(F.lit(None).cast("double").alias("b"))
+
+    def best(grid: list[float]) -> float:
         sums = (
             counts.withColumn("b", F.explode(F.array(*map(F.lit, grid))))
             .groupBy("b")
@@ -274,11 +276,17 @@ def zipf_fit(counts: DataFrame, low: float = -10.0, high: float = 10.0, digits:
             )
         )
         likelihood = -F.col("b") * F.col("logs") - F.col("total") * F.log("norm")
-        peak = sums.agg(F.max_by("b", likelihood).alias("b"))
-        if digit == digits:
-            return peak
-        best = peak.first()["b"]
-        step /= 10
+        return sums.agg(F.max_by("b", likelihood)).first()[0]
+
+    centre, step, reach = 0.0, 1.0, 10
+    peak = best([centre + i * step for i in range(-reach, reach + 1)])
+    while abs(peak - centre) >= reach * step:
+        centre, step = peak, step * 2
+        peak = best([centre + i * step for i in range(-reach, reach + 1)])
+    for digit in range(1 - len(str(int(step))), digits + 1):
+        step = 10.0**-digit
+        peak = best(sorted({round(peak + i * step, max(digit, 0)) for i in range(-20, 21)}))
+    return counts.agg(F.lit(peak).alias("b"))
 
 
 def column_fill(tables: dict[str, DataFrame], column: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions.titles import title_dictionary, title_words
@@ -10,41 +10,71 @@ from eventloom.session import literal_rows
 
 
 def dictionary(spark: SparkSession) -> DataFrame:
-    """The fixed title dictionary: about 500 rows, whatever the data."""
-    return literal_rows(spark, "word string,type string,value int", title_dictionary())
+    """The fixed title dictionary: about 700 rows, whatever the data.
+
+    Entries are written as the words of a title are; what a title's separators leave nothing
+    of (``-``) can be no word of it.
+    """
+    rows = literal_rows(spark, "entry string,type string,value int", title_dictionary())
+    phrase = F.array_join(F.filter(title_words(F.col("entry")), lambda w: w != ""), " ")
+    return rows.select(phrase.alias("word"), "type", "value").where("word <> ''")
 
 
-def annotate(titles: DataFrame, key: str, text: str) -> DataFrame:
-    """Words found in the dictionary as (key, pos, word, type, value).
+def _phrases(text: Column, longest: int) -> Column:
+    """Phrases of one to ``longest`` words: position of the first word, words, and the phrase.
 
-    The dictionary has a fixed size, so it is broadcast and no title is moved.
+    Positions count the empty words between two separators.
     """
-    words = titles.select(key, F.posexplode(title_words(F.col(text))).alias("pos", "word")).where("word <> ''")
-    return words.join(F.broadcast(dictionary(titles.sparkSession)), "word").select(key, "pos", "word", "type", "value")
+    placed = F.transform(title_words(text), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    words = F.filter(placed, lambda w: w["word"] != "")
+
+    def from_here(w: Column, i: Column) -> Column:
+        lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i))
+        joined = lambda n: F.array_join(F.transform(F.slice(words, i + 1, n), lambda x: x["word"]), " ")
+        return F.transform(lengths, lambda n: F.struct(w["pos"].alias("pos"), i.alias("nth"), n.alias("length"), joined(n).alias("phrase")))
 
+    return F.flatten(F.transform(words, from_here))
 
-def city_phrases(titles: DataFrame, key: str, text: str, cities: DataFrame, longest: int = 4) -> DataFrame:
-    """City names of up to ``longest`` words as (key, pos, length, city).
 
-    Phrases meet the names in an equi-join; the planner broadcasts the names only if their
-    size allows it.
+def annotate(titles: DataFrame, key: str, text: str, cities: DataFrame | None = None) -> DataFrame:
+    """Dictionary entries in titles as (key, pos, word, type, value).
+
+    The dictionary has a fixed size, so it is broadcast and no title is moved. Names of
+    ``cities`` (column ``city``) are annotated too, by an equi-join.
     """
-    words = F.filter(title_words(F.col(text)), lambda w: w != "")
-    split = titles.select(key, words.alias("_words"))
-    starts = split.select(key, "_words", F.posexplode("_words").alias("pos", "_first"))
-    lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_words") - F.col("pos"))))
-    phrases = starts.withColumn("length", lengths).select(
-        key, "pos", "length", F.concat_ws(" ", F.slice("_words", F.col("pos") + 1, F.col("length"))).alias("city")
-    )
-    return phrases.join(cities.select("city").distinct(), "city").select(key, "pos", "length", "city")
+    longest = max(len(word.split()) for word, *_ in title_dictionary())
+    phrases = titles.select(key, F.explode(_phrases(F.col(text), longest + 1)).alias("f"))  # a hyphen makes two words
+    words = phrases.select(key, F.col("f.pos").alias("pos"), F.col("f.phrase").alias("word"))
+    found = words.join(F.broadcast(dictionary(titles.sparkSession)), "word").select(key, "pos", "word", "type", "value")
+    if cities is None:
+        return found
+    named = city_phrases(titles, key, text, cities, raw_positions=True)
+    return found.unionByName(named.select(key, "pos", F.col("city").alias("word"), F.lit("city").alias("type"), F.lit(None).cast("int").alias("value")))
+
+
+def city_phrases(titles: DataFrame, key: str, text: str, cities: DataFrame, longest: int | None = None, raw_positions: bool = False) -> DataFrame:
+    """City names as (key, pos, length, city); positions count words, or with empty ones.
+
+    Phrases have up to as many words as the longest name, if ``longest`` does not say
+    otherwise. They meet the names in an equi-join; the planner broadcasts the names only if
+    their size allows it.
+    """
+    names = cities.select("city").distinct()
+    if longest is None:
+        longest = names.agg(F.max(F.size(F.split("city", " ")))).first()[0] or 1
+    found = titles.select(key, F.explode(_phrases(F.col(text), longest)).alias("f"))
+    place = "f.pos" if raw_positions else "f.nth"
+    phrases = found.select(key, F.col(place).alias("pos"), F.col("f.length").alias("length"), F.col("f.phrase").alias("city"))
+    return phrases.join(names, "city").select(key, "pos", "length", "city")
 
 
 def _categories(titles: DataFrame, key: str, text: str) -> DataFrame:
-    """Per title its co-location flag and the words of it that are in the dictionary, or nulls."""
+    """Per title its co-location flag and the entries of it that are in the dictionary, or nulls."""
+    longest = max(len(word.split()) for word, *_ in title_dictionary())
     words = titles.select(
         key,
         F.col(text).contains("co-located").alias("coLocated"),
-        F.explode_outer(title_words(F.col(text))).alias("word"),
+        F.explode_outer(F.transform(_phrases(F.col(text), longest + 1), lambda f: f["phrase"])).alias("word"),
     )
     return words.join(F.broadcast(dictionary(titles.sparkSession)), "word", "left")
 

@@ -17,7 +17,7 @@ from eventloom.plans.cleaning import raw_confref, raw_crossref, text
 from eventloom.plans.lookup import _DUCK_CORPUS, corpus
 from eventloom.plans.proxies import Tables, with_proxies
 from eventloom.plans.registry import Family
-from eventloom.session import spread, staging_path
+from eventloom.session import staging_path
 from eventloom.sources import files
 from eventloom.streaming import crawl
 
@@ -38,9 +38,10 @@ def _write_lines(lines: DataFrame, name: str) -> str:
 def _bibliography(t: Tables) -> str:
     """Proceedings per order and articles per supplier, mixed in the same files."""
     n = F.col("o_orderkey")
-    proceedings = spread(t.orders, t.orders).select(
+    proceedings = t.orders.select(
         F.concat(
-            F.lit('<proceedings key="conf/c'), text("o_custkey"), F.lit("/"), text(n), F.lit('" mdate="'), text(F.to_date("o_orderdate")), F.lit('">'),
+            F.lit('<proceedings key="conf/c'), text("o_custkey"), F.lit("/"), text(n), F.lit('" mdate="'), text(F.to_date("o_orderdate")),
+            F.when(n % 3 == 0, '" publtype="informal').otherwise(""), F.lit('">'),
             tag("editor", F.lit("A &amp; M&uuml;ller")), F.when(n % 2 == 0, tag("editor", F.col("o_orderpriority"))).otherwise(""),
             F.when(n % 5 != 0, tag("title", F.concat(F.lit("Days "), text(n), F.when(n % 3 == 0, "<sub>2</sub> and more").otherwise("")))).otherwise(""),
             tag("year", text(F.year("o_orderdate"))), tag("ee", F.concat(F.lit("https://doi.org/10.1/"), text(n)), ' type="oa"'),
@@ -57,19 +58,18 @@ def _bibliography(t: Tables) -> str:
     "s1_xml_kinds",
     """SELECT 'proceedings' AS kind, 'conf/c' || o_custkey || '/' || o_orderkey AS key, strftime(o_orderdate, '%Y-%m-%d') AS mdate,
   'A & Müller' || CASE WHEN o_orderkey % 2 = 0 THEN ',' || o_orderpriority ELSE '' END AS editor, CASE WHEN o_orderkey % 5 <> 0 THEN 'Days ' || o_orderkey END AS title,
-  CAST(year(o_orderdate) AS VARCHAR) AS year, 'https://doi.org/10.1/' || o_orderkey || ',https://x.org' AS ee, 'LN' AS series FROM orders
-UNION ALL SELECT 'article', 'journals/' || s_suppkey, '2020-01-01', NULL, s_name, NULL, NULL, NULL FROM supplier""",
+  CAST(year(o_orderdate) AS VARCHAR) AS year, 'https://doi.org/10.1/' || o_orderkey || ',https://x.org' AS ee, 'LN' AS series,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'informal' END AS publtype FROM orders
+UNION ALL SELECT 'article', 'journals/' || s_suppkey, '2020-01-01', NULL, s_name, NULL, NULL, NULL, NULL FROM supplier""",
 )
 def xml_kinds(t: Tables):
-    tables = files.xml_kinds(t.spark, _bibliography(t), ["proceedings", "article"])
-    columns = ["key", "mdate", "editor", "title", "year", "ee", "series"]
-    first, second = [df.select(F.lit(kind).alias("kind"), *columns) for kind, df in tables.items()]
-    return first.unionByName(second)
+    columns = ["kind", "key", "mdate", "editor", "title", "year", "ee", "series", "publtype"]
+    return files.xml_records(t.spark, _bibliography(t)).select(*columns)
 
 
 def _volumes(t: Tables) -> str:
     n = F.col("o_orderkey")
-    lines = spread(t.orders, t.orders).select(
+    lines = t.orders.select(
         F.concat(
             F.lit("<d:volume>"), tag("d:title", F.concat(F.lit("Days "), text(n))),
             F.when(n % 3 == 0, tag("d:title", F.lit("Second title"))).otherwise(""), tag("d:shortTitle", text("o_custkey")),
@@ -107,7 +107,7 @@ def xml_entities(t: Tables):
 )
 def ftx_documents(t: Tables):
     codes = F.transform(F.split("bk", "⇹"), lambda c: F.concat(F.lit('<classification classificationName="bk"><code>'), c, F.lit("</code></classification>")))
-    lines = p.proceedings(t.spread).select(
+    lines = p.proceedings(t).select(
         F.concat(
             F.lit('<document xmlns="http://example.org/oai" xmlns:dc="http://purl.org/dc/elements/1.1/">'),
             tag("formalInfo", tag("documentGenreCode", F.col("genreCode"))),
@@ -189,7 +189,7 @@ def _write_batches(t: Tables) -> str:
     path = staging_path(t.spark, "batches")
     first = F.floor(F.col("wikiCfpId") / PAGE_ROWS) * PAGE_ROWS
     name = F.concat(F.lit("wikicfp_event"), text(first), F.lit("-"), text(first + PAGE_ROWS - 1))
-    _calls(t).withColumn("batch", name).write.partitionBy("batch").json(path)
+    _calls(t).withColumn("batch", name).repartition("batch").write.partitionBy("batch").json(path)
     return path
 
 
@@ -217,7 +217,7 @@ def crawl_ingest(t: Tables):
     existing = t.customer.select(
         F.when(n % 2 == 0, text(n)).otherwise(F.concat(F.lit("C"), text(n))).alias("eventId"), F.lit("old").alias("title"), F.lit(1990).alias("year")
     )
-    state = crawl.current_state(existing, crawl.ingested(t.spark, table))
+    state = crawl.current_state(existing, crawl.latest(t.spark, table))
     return state.select("eventId", "title", "locality", "year", "url")
 
 
@@ -263,14 +263,17 @@ def wiki_render(t: Tables):
     "s10_wiki_templates",
     with_proxies(
         "event_orders",
-        'SELECT eventId AS "pageTitle", acronym, series AS "inEventSeries", title, CAST(year AS VARCHAR) AS year, city, CAST(startDate AS VARCHAR) AS "startDate", CAST(ordinal AS VARCHAR) AS ordinal FROM event_orders',
+        'SELECT eventId AS "pageTitle", acronym, \'{{S|\' || series || \'}}\' AS "inEventSeries", \'[[\' || title || \'|day]]\' AS title, CAST(year AS VARCHAR) AS year, city, CAST(startDate AS VARCHAR) AS "startDate", CAST(ordinal AS VARCHAR) AS ordinal FROM event_orders',
     ),
 )
 def wiki_templates(t: Tables):
     # pages as a backup table of (pageTitle, wikiMarkup); page files are read by files.read_wiki_files
     path = staging_path(t.spark, "wiki")
     markup = F.concat(F.lit("Intro {{Other|Title=no}}\n"), files.render_template("Event", _TEMPLATE), F.lit("\ntext = x | y"))
-    p.event_orders(t).select(F.col("eventId").alias("pageTitle"), markup.alias("wikiMarkup")).write.parquet(path)
+    nested = p.event_orders(t).withColumns(
+        {"series": F.concat(F.lit("{{S|"), "series", F.lit("}}")), "title": F.concat(F.lit("[["), "title", F.lit("|day]]"))}
+    )
+    nested.select(F.col("eventId").alias("pageTitle"), markup.alias("wikiMarkup")).write.parquet(path)
     pages = t.spark.read.schema("pageTitle string, wikiMarkup string").parquet(path)
     parsed = files.parse_template(pages, "Event", list(_TEMPLATE))
     return rename_properties(parsed.drop("wikiMarkup"), EVENT_TEMPLATE_PROPERTIES, include=["pageTitle"])
@@ -294,10 +297,33 @@ def export_series(t: Tables):
     return files.export_series(series, events, "series", {"Title": "title", "Year": "year"}, "url")
 
 
-@query("s17_rdf_triples", with_proxies("triples", """SELECT 'http://x/' || s AS s, 'http://x/' || p AS p, CASE WHEN p = 'supplier' THEN 'http://x/' ELSE '' END || o AS o, lang FROM triples"""))
+_TRIPLES = """SELECT CASE WHEN p = 'part' THEN '_:b' ELSE 'http://x/' END || s AS s, 'http://x/' || p AS p,
+  CASE WHEN p = 'supplier' THEN 'http://x/' ELSE '' END || o || CASE WHEN p = 'supplier' THEN '' ELSE ' "ü"' || chr(10) || '\\' END AS o, lang FROM triples"""
+
+
+def _marked_triples(t: Tables):
+    """Triples with blank subjects, and objects that need escapes."""
+    link = F.col("p") == "supplier"
+    return p.triples(t).withColumn("o", F.when(link, F.col("o")).otherwise(F.concat("o", F.lit(' "ü"\n\\'))))
+
+
+@query("s17_rdf_triples", with_proxies("triples", _TRIPLES))
 def rdf_triples(t: Tables):
-    path = _write_lines(files.triple_lines(p.triples(t), "http://x/", F.col("p") == "supplier"), "triples")
-    return files.read_triples(t.spark, path)
+    lines = files.triple_lines(_marked_triples(t), "http://x/", F.col("p") == "supplier", F.col("p") == "part")
+    return files.read_triples(t.spark, _write_lines(lines, "triples"))
+
+
+@query("s17_rdf_turtle", with_proxies("triples", _TRIPLES + " WHERE p <> 'part'"))
+def rdf_turtle(t: Tables):
+    """The same triples as Turtle statements, one for each subject, with prefixed names and lists."""
+    rows = _marked_triples(t).where("p <> 'part'")
+    literal = F.concat(F.lit('"'), files.escaped(F.col("o")), F.lit('"'), F.coalesce(F.concat(F.lit("@"), "lang"), F.lit("")))
+    value = F.when(F.col("p") == "supplier", F.concat(F.lit("x:"), "o")).otherwise(literal)
+    lists = rows.groupBy("s", "p").agg(F.array_join(F.collect_list(value), ", ").alias("o"))
+    bodies = lists.groupBy("s").agg(F.array_join(F.collect_list(F.concat(F.lit("x:"), "p", F.lit(" "), "o")), " ;\n  ").alias("body"))
+    statements = bodies.select(F.concat(F.lit("x:"), "s", F.lit("\n  "), "body", F.lit(" .")).alias("value"))
+    head = t.spark.range(1).select(F.lit("@prefix x: <http://x/> .").alias("value"))
+    return files.read_turtle(t.spark, _write_lines(head.unionByName(statements), "turtle"))
 
 
 @query(

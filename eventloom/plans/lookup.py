@@ -243,7 +243,7 @@ def cross_source_series(t: Tables):
         F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("U"), F.col("user_id").cast("string"))).alias("acronym"),
         F.concat(F.lit("conf/"), F.col("user_id").cast("string")).alias("id"),
     ).distinct()
-    right = t.customer.where("c_nationkey < 20").select(F.col("c_custkey").cast("string").alias("id"))
+    right = t.customer.select(F.when(F.col("c_nationkey") < 20, F.col("c_custkey").cast("string")).alias("id"))
     return joins.cross_source_series(left, right, "conf/")
 
 
@@ -283,8 +283,9 @@ def scholar_enrich(t: Tables):
     ).unionByName(
         t.orders.select(scholar.alias("s"), F.lit("gndId").alias("p"), F.col("o_custkey").cast("string").alias("o"))
     ).unionByName(
-        t.orders.where("o_orderstatus = 'F'").select(
-            scholar.alias("s"), F.lit("homepage").alias("p"), F.concat(F.lit("http://x/"), F.col("o_orderkey").cast("string")).alias("o"))
+        t.orders.select(
+            scholar.alias("s"), F.lit("homepage").alias("p"),
+            F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("http://x/"), F.col("o_orderkey").cast("string"))).alias("o"))
     )
     return joins.scholar_enrich(scholars, facts, ["dblpId", "gndId", "homepage"], "wikiDataId")
 

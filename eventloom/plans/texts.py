@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventloom.fixed_values import ORDINAL_WORDS, TENS_WORDS, TITLE_VOCABULARY
 from eventloom.functions import dates, titles
 from eventloom.functions.text import isbn_type, to_isbn13
 from eventloom.operators import calls, words
@@ -12,7 +13,7 @@ from eventloom.plans.cleaning import day_span, raw_descriptions, text
 from eventloom.plans.lookup import _SCORE
 from eventloom.plans.proxies import Tables, with_proxies
 from eventloom.plans.registry import Family
-from eventloom.session import spread
+from eventloom.session import staging_path
 from eventloom.sources import pages as html
 
 FAMILY = Family()
@@ -38,7 +39,7 @@ def range_from_title(t: Tables):
         .otherwise(" in spring")
     )
     title = F.concat(F.lit("Proceedings of "), "series", F.lit(", "), "nation", F.lit(","), tail)
-    return p.event_orders(t.spread).select("eventId", dates.title_range(title).alias("r")).select("eventId", "r.*")
+    return p.event_orders(t).select("eventId", dates.title_range(title).alias("r")).select("eventId", "r.*")
 
 
 @query(
@@ -63,7 +64,7 @@ def range_from_text(t: Tables):
         .when(k == 5, F.concat(fmt("startDate", "yyyy.MM.dd"), F.lit("-"), fmt("endDate", "MM.dd")))
         .otherwise("1999 May")
     )
-    return p.event_orders(t.spread).select("eventId", dates.text_range(day).alias("r")).select("eventId", "r.*")
+    return p.event_orders(t).select("eventId", dates.text_range(day).alias("r")).select("eventId", "r.*")
 
 
 @query(
@@ -100,7 +101,7 @@ def parse_fulltitle(t: Tables):
         .otherwise(F.concat_ws(" : ", F.lit("Club"), number, year, "nation"))
     )
     full = F.concat(F.lit("Days of "), "series", F.when(k < 4, F.concat(F.lit(" ("), inner, F.lit(")"))).otherwise(""))
-    rows = p.event_orders(t.spread).select("eventId", titles.fulltitle(full).alias("f"))
+    rows = p.event_orders(t).select("eventId", titles.fulltitle(full).alias("f"))
     return rows.select("eventId", "f.title", "f.organization", "f.ordinal", "f.year", "f.location")
 
 
@@ -178,43 +179,78 @@ _WORDS = """WITH w AS (SELECT doc_id, string_split(translate(text, '/()#,;-@''´
 
 @query("x10_title_words", _WORDS + " SELECT word, count(*) AS count, count(DISTINCT doc_id) AS titles FROM p GROUP BY 1")
 def title_words(t: Tables):
-    found = spread(t.documents, t.documents).select("doc_id", F.explode(titles.title_words(F.col("text"))).alias("word"))
+    found = t.documents.select("doc_id", F.explode(titles.title_words(F.col("text"))).alias("word"))
     per_title = found.groupBy("word", "doc_id").agg(F.count("*").alias("n"))
     return per_title.groupBy("word").agg(F.sum("n").alias("count"), F.count("*").alias("titles"))
 
 
-_CATEGORIES = ", ".join(
-    f"('{word}', '{kind}', {'NULL' if value is None else value})" for word, kind, value in titles.title_dictionary()
-)
+_CATEGORIES = ", ".join(f"""('{word.replace("'", "''")}', '{kind}')""" for word, kind in TITLE_VOCABULARY)
+
+# ordinals and months by rules of their own; entries split as titles are
+_DICTIONARY = f""", n(v) AS (SELECT unnest(range(1, 100))),
+  words(i, one) AS (VALUES {", ".join(f"({i}, '{w}')" for i, w in enumerate(ORDINAL_WORDS, 1))}),
+  tens(i, ten) AS (VALUES {", ".join(f"({i}, '{w}')" for i, w in enumerate(TENS_WORDS, 2))}),
+  spelt AS (SELECT one AS w, i AS v FROM words UNION ALL SELECT left(ten, -1) || 'ieth', 10 * i FROM tens
+    UNION ALL SELECT ten || '-' || one, 10 * tens.i + words.i FROM tens, words WHERE words.i < 10),
+  roman AS (SELECT v, ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][v // 10 + 1]
+    || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][v % 10 + 1] AS w FROM n),
+  entries AS (SELECT * FROM (VALUES {_CATEGORIES}) AS c(entry, type), (SELECT NULL AS value)
+    UNION ALL SELECT w, 'enum', v FROM spelt
+    UNION ALL SELECT array_to_string(list_transform(string_split(w, '-'), x -> upper(x[1]) || x[2:]), '-'), 'enum', v FROM spelt
+    UNION ALL SELECT v || '.', 'enum', v FROM n UNION ALL SELECT w || '.', 'enum', v FROM roman
+    UNION ALL SELECT v || CASE WHEN v // 10 = 1 THEN 'th' WHEN v % 10 = 1 THEN 'st' WHEN v % 10 = 2 THEN 'nd' WHEN v % 10 = 3 THEN 'rd' ELSE 'th' END, 'enum', v FROM n
+    UNION ALL SELECT * FROM (VALUES ('1', 'enum', 1), ('2', 'enum', 2), ('11st', 'enum', 11), ('12nd', 'enum', 12), ('13rd', 'enum', 13), ('21th', 'enum', 21),
+      ('31th', 'enum', 31), ('41th', 'enum', 41), ('51th', 'enum', 51), ('II', 'enum', 2), ('III', 'enum', 3), ('Eight', 'enum', 8),
+      ('Twenty-third', 'enum', 23), ('Twenty-seventh', 'enum', 27))
+    UNION ALL SELECT monthname(make_date(2000, CAST(v AS INTEGER), 1)), 'month', v FROM n WHERE v < 13),
+  d AS (SELECT trim(regexp_replace(translate(entry, '/()#,;-@''´`', '           '), ' +', ' ', 'g')) AS word, type, value FROM entries)"""
+
+
+_LINES = "('10. Workshop XIV. held at Rome' || chr(10) || text)"
 
 
 @query(
     "x11_title_annotate",
-    _WORDS + f", d(word, type, value) AS (VALUES {_CATEGORIES})"
-    " SELECT doc_id, CAST(pos AS INTEGER) AS pos, p.word, type, CAST(value AS INTEGER) AS value FROM p JOIN d ON p.word = d.word",
+    _WORDS.replace("translate(text", f"translate({_LINES}")
+    + _DICTIONARY
+    + """, f AS (SELECT doc_id, pos, word, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM p WHERE word <> ''),
+  l AS (SELECT doc_id, pos, word, lead(word) OVER w AS w2, lead(word, 2) OVER w AS w3, lead(word, 3) OVER w AS w4 FROM f
+    WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  g AS (SELECT doc_id, pos, word FROM l UNION ALL SELECT doc_id, pos, word || ' ' || w2 FROM l WHERE w2 IS NOT NULL
+    UNION ALL SELECT doc_id, pos, word || ' ' || w2 || ' ' || w3 FROM l WHERE w3 IS NOT NULL
+    UNION ALL SELECT doc_id, pos, word || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM l WHERE w4 IS NOT NULL)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, g.word, type, CAST(value AS INTEGER) AS value FROM g JOIN d ON g.word = d.word WHERE d.word <> ''""",
 )
 def title_annotate(t: Tables):
-    return words.annotate(spread(t.documents, t.documents), "doc_id", "text")
+    """Documents behind a line of title words: numbers with full stops, and a phrase of two words."""
+    titled = t.documents.select("doc_id", F.concat(F.lit("10. Workshop XIV. held at Rome\n"), "text").alias("text"))
+    return words.annotate(titled, "doc_id", "text")
+
+
+def _place():
+    """Names of two words, every seventh of five."""
+    return F.when(F.col("p_partkey") % 7 == 0, F.concat("p_name", F.lit(" of the coast"))).otherwise(F.col("p_name"))
 
 
 def _held_in(t: Tables):
-    """Titles of line items that name their part, whose name has two words."""
+    """Titles of line items that name their part."""
     joined = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    return spread(joined, t.lineitem).select(
+    return joined.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("titleId"),
-        F.concat(F.lit("Proceedings, held in "), "p_name", F.lit(", "), F.col("p_type"), F.lit(" ring")).alias("title"),
+        F.concat(F.lit("Proceedings, held in "), _place(), F.lit(", "), F.col("p_type"), F.lit(" ring")).alias("title"),
     )
 
 
 @query(
     "x12_city_phrases",
-    """WITH n AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS "titleId", p_name
+    """WITH n AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS "titleId", p_name, p_partkey % 7 = 0 AS far
   FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT "titleId", 3 AS pos, 2 AS length, p_name AS city FROM n
-UNION ALL SELECT "titleId", 6, 1, 'ring' FROM n UNION ALL SELECT "titleId", 4, 1, 'ring' FROM n WHERE p_name LIKE '% ring'""",
+SELECT "titleId", 3 AS pos, 2 AS length, p_name AS city FROM n WHERE p_name IN (SELECT p_name FROM part WHERE p_partkey % 7 <> 0)
+UNION ALL SELECT "titleId", 3, 5, p_name || ' of the coast' FROM n WHERE far
+UNION ALL SELECT "titleId", CASE WHEN far THEN 9 ELSE 6 END, 1, 'ring' FROM n UNION ALL SELECT "titleId", 4, 1, 'ring' FROM n WHERE p_name LIKE '% ring'""",
 )
 def city_phrases(t: Tables):
-    names = t.part.select(F.col("p_name").alias("city")).unionByName(
+    names = t.part.select(_place().alias("city")).unionByName(
         t.part.where("p_name LIKE '% ring'").select(F.substring_index("p_name", " ", -1).alias("city"))
     )
     return words.city_phrases(_held_in(t), "titleId", "title", names)
@@ -230,7 +266,7 @@ def month_day(t: Tables):
 
 def call_pages(t: Tables):
     """A call page per order with embedded triples; every ninth page says it was deleted."""
-    e = p.event_orders(t.spread)
+    e = p.event_orders(t)
     n = F.col("eventId").cast("long")
     stamp = lambda column: F.concat(text(column), F.lit("T00:00:00"))
     prop = lambda name, value: F.concat(F.lit(f'<span property="v:{name}" content="'), value, F.lit('"></span>'))
@@ -252,6 +288,13 @@ def call_pages(t: Tables):
     return e.select("eventId", F.when(n % 9 == 0, gone).otherwise(page).alias("html"))
 
 
+def _stored_pages(t: Tables):
+    """The call pages as a crawler stores them: one JSON line a page."""
+    path = staging_path(t.spark, "call-pages")
+    call_pages(t).write.json(path)
+    return t.spark.read.schema("eventId string, html string").json(path)
+
+
 _CALLS = """, b AS (SELECT *, CAST(eventId AS BIGINT) AS n FROM event_orders WHERE CAST(eventId AS BIGINT) % 9 <> 0)"""
 
 
@@ -266,7 +309,7 @@ _CALLS = """, b AS (SELECT *, CAST(eventId AS BIGINT) AS n FROM event_orders WHE
     ),
 )
 def wikicfp_pivot(t: Tables):
-    return calls.pivot_calls(html.page_triples(call_pages(t), "eventId", "html"), "eventId")
+    return calls.pivot_pages(html.triple_lists(_stored_pages(t), "eventId", "html"), "eventId")
 
 
 @query(
@@ -320,7 +363,7 @@ def page_link_after_label(t: Tables):
   regexp_extract(html, '<a href="(/[^"]*)">', 1) AS href, regexp_extract(html, '<a href="/[^"]*">([^<]*)</a>', 1) AS "linkText" FROM pages""",
 )
 def first_page_link(t: Tables):
-    return html.page_link(spread(t.pages, t.pages), "page_id", "html", r"/(.+)")
+    return html.page_link(t.pages, "page_id", "html", r"/(.+)")
 
 
 @query(
@@ -331,7 +374,7 @@ def first_page_link(t: Tables):
 )
 def page_fields(t: Tables):
     fields = [("title", "title", None, None), ("heading", "h1", None, None), ("ad", "div", "class", "ad"), ("nothing", "span", "class", "ad")]
-    return html.page_fields(spread(t.pages, t.pages), "page_id", "html", fields)
+    return html.page_fields(t.pages, "page_id", "html", fields)
 
 
 def colocated_titles(t: Tables):

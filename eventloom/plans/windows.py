@@ -31,13 +31,13 @@ def row_number(t: Tables):
     "w2_row_number_over_agg",
     with_proxies(
         "proceedings",
-        """SELECT row_number() OVER (ORDER BY count(*) DESC, substr(bk, 1, 2)) AS "rowNumber", count(*) AS n,
-  substr(bk, 1, 2) AS bk2 FROM proceedings WHERE bk IS NOT NULL GROUP BY substr(bk, 1, 2) HAVING count(*) >= 100""",
+        """SELECT row_number() OVER (ORDER BY count(*) DESC, substr(bk, 1, 2) NULLS FIRST) AS "rowNumber", count(*) AS n,
+  substr(bk, 1, 2) AS bk2 FROM proceedings GROUP BY substr(bk, 1, 2) HAVING count(*) >= 100""",
     ),
 )
 def row_number_over_agg(t: Tables):
     counts = (
-        p.proceedings(t).where("bk IS NOT NULL").groupBy(F.substring("bk", 1, 2).alias("bk2")).agg(F.count("*").alias("n"))
+        p.proceedings(t).groupBy(F.substring("bk", 1, 2).alias("bk2")).agg(F.count("*").alias("n"))
     )
     return ranking.global_running(counts.where("n >= 100"), [F.desc("n"), F.asc("bk2")])
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -25,6 +27,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.files.maxPartitionBytes", "8m")
+        .config("spark.sql.files.openCostInBytes", "512k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -63,6 +67,7 @@ def staging_root(spark: SparkSession) -> str:
     global _local_staging
     if _local_staging is None or not os.path.isdir(_local_staging):
         _local_staging = tempfile.mkdtemp(prefix="eventloom-")
+        atexit.register(shutil.rmtree, _local_staging, ignore_errors=True)
     return _local_staging
 
 
@@ -82,20 +87,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(rows: DataFrame, scan: DataFrame) -> DataFrame:
-    """Deal rows out to all cores before costly per-row work if the table behind is small.
-
-    ``scan`` is the plain scan they come from, whose size the planner knows. Rows are only
-    moved if it is smaller than one default split per core; larger tables already fill the
-    cores by their splits and are never shuffled here.
-    """
-    spark = scan.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return rows.repartition(cores) if size < cores * split else rows
-
-
 def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A small table of fixed values as an inlined relation, without a Python-side job."""
     text = ", ".join(f"`{field.split()[0]}`" for field in schema.split(","))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.fixed_values import LIST_SEPARATOR, TECHNICAL_KEYS
 from eventloom.functions.text import resolve_entities
 from eventloom.operators.quality import upsert
-from eventloom.sources import schemas
+from eventloom.session import stage
+from eventloom.sources import records, schemas
 
 
 # -- XML ------------------------------------------------------------------------------
@@ -35,17 +39,33 @@ def _own_text(value: Column) -> Column:
     return F.regexp_replace(value, "(?s)<.*$", "")
 
 
+def xml_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """All records of a bibliography dump in one pass: ``kind``, attributes, repeated tags joined.
+
+    Lines are read by the text source, which splits a single huge dump, and cut into records
+    inside each split; the few records that lie across two splits are put together from their
+    ends. No row is longer than one record.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("length")
+    )
+    schema = "part string, kind string, record string, path string, border bigint"
+    cut = stage(lines.mapInArrow(records.cut_records, schema), "records")
+    tails = cut.where("part = 'tail'").select("path", "border", F.col("record").alias("tail"))
+    heads = cut.where("part = 'head'").select("path", "border", F.col("record").alias("head"))
+    across = tails.join(heads, ["path", "border"]).select("tail", "head").mapInArrow(records.join_ends, schema)
+    found = cut.where("part = 'record'").unionByName(across).select("kind", "record")
+    parsed = found.select("kind", F.from_xml(resolve_entities(F.col("record")), schemas.BIBLIOGRAPHY, {"rowTag": "record"}).alias("r"))
+    joined = [
+        F.when(F.col(f"r.`{tag}`").isNotNull(), F.concat_ws(delimiter, F.transform(f"r.`{tag}`", _own_text))).alias(tag) for tag in schemas.BIBLIOGRAPHY_TAGS
+    ]
+    return parsed.select("kind", *[F.col(f"r._{name}").alias(name) for name in schemas.BIBLIOGRAPHY_ATTRIBUTES], *joined)
+
+
 def xml_kinds(spark: SparkSession, path: str, kinds: list[str], delimiter: str = ",") -> dict[str, DataFrame]:
-    """One table per record tag of a bibliography dump; repeated tags joined."""
-    tables = {}
-    for kind in kinds:
-        raw = read_xml(spark, path, kind, schemas.BIBLIOGRAPHY, named_entities=True)
-        joined = [
-            F.when(F.col(f"`{tag}`").isNotNull(), F.concat_ws(delimiter, F.transform(f"`{tag}`", _own_text))).alias(tag)
-            for tag in schemas.BIBLIOGRAPHY_TAGS
-        ]
-        tables[kind] = raw.select(F.col("_key").alias("key"), F.col("_mdate").alias("mdate"), *joined)
-    return tables
+    """One table per record tag of a bibliography dump, all from one pass over it."""
+    found = stage(xml_records(spark, path, delimiter), "kinds")
+    return {kind: found.where(F.col("kind") == kind).drop("kind") for kind in kinds}
 
 
 def hits(found: Column) -> Column:
@@ -243,17 +263,18 @@ def read_wiki_files(spark: SparkSession, path: str) -> DataFrame:
 def parse_template(pages: DataFrame, template: str, parameters: list[str], markup: str = "wikiMarkup") -> DataFrame:
     """Parameters of a template on each page as columns; a repeated one counts last.
 
-    Pages without the template are dropped.
+    Values may hold links and inner templates. Pages without the template are dropped.
     """
-    body = F.regexp_extract(markup, r"(?s)\{\{" + template + r"\s*\|(.*?)\n?\}\}", 1)
-    pairs = F.transform(
-        F.split(body, r"\n?\|"),
-        lambda p: F.struct(
-            F.trim(F.substring_index(p, "=", 1)).alias("name"),
-            F.when(F.instr(p, F.lit("=")) > 0, F.trim(F.regexp_replace(p, "(?s)^[^=]*=", ""))).alias("value"),
-        ),
-    )
-    parsed = pages.withColumn("_pairs", pairs).where(F.col(markup).rlike(r"\{\{" + template + r"\s*\|"))
+    schema = pages.withColumn("_pairs", F.lit(None).cast("array<struct<name:string,value:string>>")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [records.template_parameters(text, template) for text in batch.column(markup).to_pylist()]
+            pairs = [None if pair is None else [{"name": n, "value": v} for n, v in pair] for pair in found]
+            kind = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pairs, kind)], names=[*batch.schema.names, "_pairs"])
+
+    parsed = pages.mapInArrow(run, schema).where("_pairs IS NOT NULL")
 
     def value(name: str) -> Column:
         return F.try_element_at(F.filter("_pairs", lambda p: p["name"] == name), F.lit(-1))["value"].alias(name)
@@ -286,28 +307,76 @@ def export_series(series: DataFrame, events: DataFrame, key: str, parameters: di
 
 # -- triples --------------------------------------------------------------------------
 
-_TRIPLE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<[^>]*>)?)\s*\.\s*$'
+_NODE = r"<[^>]*>|_:\S+"
+_TRIPLE = rf'^\s*({_NODE})\s*<([^>]*)>\s*(?:({_NODE})|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
+
+
+def _decoded(text: Column) -> Column:
+    """Escapes of a literal, read as those of a JSON string after the two that JSON lacks."""
+    codes = F.regexp_extract_all(text, F.lit(r"(?<!\\)(?:\\\\)*\\U([0-9A-Fa-f]{8})"), F.lit(1))
+    code = lambda c: F.conv(c, 16, 10).cast("int")
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.hex(n), 4, "0"))
+    above = lambda c: code(c) - 0x10000
+    pair = lambda c: F.concat(unit(F.floor(above(c) / 1024) + 0xD800), unit(above(c) % 1024 + 0xDC00))
+    short = F.aggregate(codes, text, lambda t, c: F.replace(t, F.concat(F.lit("\\U"), c), F.when(code(c) < 0x10000, unit(code(c))).otherwise(pair(c))))
+    json = F.regexp_replace(short, r"(?<!\\)((?:\\\\)*)\\'", "$1'")
+    whole = F.get(F.from_json(F.concat(F.lit('["'), json, F.lit('"]')), "array<string>", {"allowUnquotedControlChars": "true"}), F.lit(0))
+    return F.when(text.contains("\\"), whole).otherwise(text)
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    """N-Triples files as (s, p, o, lang); other lines are skipped."""
+    """N-Triples files as (s, p, o, lang); comments and blank lines are skipped.
+
+    Blank nodes keep their ``_:`` name; escapes are decoded.
+    """
     lines = spark.read.text(path).where(F.col("value").rlike(_TRIPLE))
 
     def group(i: int) -> Column:
         return F.regexp_extract("value", _TRIPLE, i)
 
-    text = F.replace(F.replace(group(4), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    def node(i: int) -> Column:
+        return F.when(group(i).startswith("<"), _decoded(F.regexp_replace(group(i), "^<|>$", ""))).otherwise(group(i))
+
     return lines.select(
-        group(1).alias("s"), group(2).alias("p"),
-        F.when(group(3) != "", group(3)).otherwise(text).alias("o"), F.nullif(group(5), F.lit("")).alias("lang"),
+        node(1).alias("s"), _decoded(group(2)).alias("p"),
+        F.when(group(3) != "", node(3)).otherwise(_decoded(group(4))).alias("o"), F.nullif(group(5), F.lit("")).alias("lang"),
     )
 
 
-def triple_lines(triples: DataFrame, base: str, links: Column) -> DataFrame:
-    """Triples as N-Triples lines; objects are IRIs where ``links`` holds."""
-    escaped = F.replace(F.replace("o", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    literal = F.concat(F.lit('"'), escaped, F.lit('"'), F.coalesce(F.concat(F.lit("@"), "lang"), F.lit("")))
+def read_turtle(spark: SparkSession, path: str, separator: str = " .\n") -> DataFrame:
+    """Turtle files as (s, p, o, lang): prefixed names, and lists of predicates and objects.
+
+    Files are cut where a statement ends, as dumps write it (``separator``); a split of a huge
+    file knows the prefixes from a first look for their declarations, which are few.
+    """
+    statements = spark.read.option("lineSep", separator).text(path)
+    declared = r"(?i)^\s*@?prefix\s+([^\s:]*):\s*<([^>]*)>"
+    heads = spark.read.text(path).where(F.col("value").rlike(declared))
+    names = heads.select(F.regexp_extract("value", declared, 1), F.regexp_extract("value", declared, 2)).distinct().collect()
+    prefixes = {row[0]: row[1] for row in names}
+    body = F.regexp_replace("value", r"(?im)^\s*@?(?:prefix|base)\s[^\n]*(?:\n|$)", "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [t for text in batch.column(0).to_pylist() for t in records.turtle_triples(text, prefixes)]
+            columns = list(zip(*found, strict=True)) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["s", "p", "o", "lang"])
+
+    return statements.select(body.alias("value")).mapInArrow(run, "s string, p string, o string, lang string")
+
+
+def escaped(text: Column) -> Column:
+    """A literal's text with the escapes that a triple line needs."""
+    for plain, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
+
+
+def triple_lines(triples: DataFrame, base: str, links: Column, blank: Column | None = None) -> DataFrame:
+    """Triples as N-Triples lines; objects are IRIs where ``links`` holds, subjects blank nodes where ``blank`` does."""
+    literal = F.concat(F.lit('"'), escaped(F.col("o")), F.lit('"'), F.coalesce(F.concat(F.lit("@"), "lang"), F.lit("")))
     iri = lambda c: F.concat(F.lit(f"<{base}"), c, F.lit(">"))
+    subject = iri(F.col("s")) if blank is None else F.when(blank, F.concat(F.lit("_:b"), "s")).otherwise(iri(F.col("s")))
     return triples.select(
-        F.concat(iri(F.col("s")), F.lit(" "), iri(F.col("p")), F.lit(" "), F.when(links, iri(F.col("o"))).otherwise(literal), F.lit(" .")).alias("value")
+        F.concat(subject, F.lit(" "), iri(F.col("p")), F.lit(" "), F.when(links, iri(F.col("o"))).otherwise(literal), F.lit(" .")).alias("value")
     )

@@ -1,14 +1,14 @@
 """Fields, links and embedded triples of HTML pages, one page per row.
 
-Pages are parsed in Arrow batches; the small reader below only lists the elements of one
-page. Pages never meet each other, so the work spreads with the input partitions.
+Pages are parsed in Arrow batches by the standard library's parser, each in one pass. Pages
+never meet each other, so the work spreads with the input partitions.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from html import unescape
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,109 +21,84 @@ _SILENT = {"script", "style", "template"}
 
 
 class _Element:
-    __slots__ = ("tag", "_raw", "_attributes", "_pieces", "start", "stop", "last")
+    __slots__ = ("tag", "attributes", "pieces", "start", "stop", "found")
 
-    def __init__(self, tag: str, raw: str, pieces: list[str]):
+    def __init__(self, tag: str, attributes: list[tuple[str, str | None]], pieces: list[str]):
         self.tag = tag
-        self._raw = raw
-        self._attributes: dict | None = None
-        self._pieces = pieces
-        self.start = self.stop = len(pieces)  # the texts inside
-        self.last = 0  # index behind the last descendant
-
-    @property
-    def attributes(self) -> dict:
-        if self._attributes is None:
-            found: dict = {}
-            for name, *values in _ATTRIBUTE.findall(self._raw):
-                found.setdefault(name.lower(), unescape("".join(values)))
-            self._attributes = found
-        return self._attributes
-
-    def hold(self, text: str) -> None:
-        """Keep a text of its own, apart from the page's."""
-        self._pieces, self.start, self.stop = [text], 0, 1
-
-    def close(self, last: int, stop: int) -> None:
-        self.last = last
-        if self.tag not in _SILENT:
-            self.stop = stop
-
-    def may_have(self, attribute: str) -> bool:
-        return attribute in self._raw and attribute in self.attributes
+        self.attributes: dict[str, str] = {}
+        for name, value in attributes:
+            self.attributes.setdefault(name, value or "")
+        # its text is a part of the page's; that of a silent element is its own
+        self.pieces = [] if tag in _SILENT else pieces
+        self.start = self.stop = len(self.pieces)
+        self.found: list[_Element] = []  # elements inside that have a property
 
     @property
     def text(self) -> str:
-        return "".join(self._pieces[self.start : self.stop])
+        return "".join(self.pieces[self.start : self.stop])
 
     def has(self, attribute: str, value: str) -> bool:
         found = self.attributes.get(attribute)
         return found is not None and (found == value or (attribute == "class" and value in found.split()))
 
 
-# a comment or declaration, or a tag with its name and attributes
-_TAG = re.compile(r"<!--.*?-->|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-
-
-class _Page:
+class _Page(HTMLParser):
     """Elements in document order, and every text with the element that directly follows it."""
 
     def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
         self.elements: list[_Element] = []
         self.texts: list[list] = []
         self._open: list[_Element] = []
+        self._typed: list[_Element] = []  # open elements with a type
         self._loose: list | None = None
         self._pieces: list[str] = []
-        at = 0
-        while True:
-            tag = _TAG.search(html, at)
-            if tag is None:
-                break
-            self._text(html[at : tag.start()])
-            at = tag.end()
-            if tag.group(2) is None:
-                continue
-            name = tag.group(2).lower()
-            if tag.group(1):
-                self._end(name)
-            else:
-                self._start(name, tag.group(3))
-                if name in _SILENT:
-                    # nothing inside is markup, nor text of the elements around it
-                    end = re.compile(f"</{name}", re.IGNORECASE).search(html, at)
-                    stop = end.start() if end else len(html)
-                    self.elements[-1].hold(html[at:stop])
-                    at = stop
-        self._text(html[at:])
-        for element in self._open:
-            element.close(len(self.elements), len(self._pieces))
-
-    def _start(self, name: str, raw: str) -> None:
-        element = _Element(name, raw, self._pieces)
+        self.feed(html)
+        self.close()
+        while self._open:
+            self._end(self._open.pop())
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        element = _Element(tag, attrs, self._pieces)
         if self._loose is not None:
             self._loose[1] = element
             self._loose = None
         self.elements.append(element)
-        element.last = len(self.elements)
-        if name not in _VOID and not raw.endswith("/"):
+        if "property" in element.attributes:
+            for outer in self._typed:
+                outer.found.append(element)
+        if tag not in _VOID:
             self._open.append(element)
+            if "typeof" in element.attributes:
+                self._typed.append(element)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self._end(self._open.pop())
 
-    def _end(self, name: str) -> None:
+    def handle_endtag(self, tag: str) -> None:
         self._loose = None
-        if self._open and (self._open[-1].tag == name or any(e.tag == name for e in self._open)):
+        if any(e.tag == tag for e in reversed(self._open)):
             while True:
                 element = self._open.pop()
-                element.close(len(self.elements), len(self._pieces))
-                if element.tag == name:
+                self._end(element)
+                if element.tag == tag:
                     break
 
-    def _text(self, raw: str) -> None:
-        if raw:
-            text = unescape(raw) if "&" in raw else raw
-            self._pieces.append(text)
-            self._loose = [text, None]
-            self.texts.append(self._loose)
+    def _end(self, element: _Element) -> None:
+        element.stop = len(element.pieces)
+        if self._typed and self._typed[-1] is element:
+            self._typed.pop()
+
+    def handle_data(self, data: str) -> None:
+        inner = next((e for e in reversed(self._open) if e.tag in _SILENT), None)
+        if inner is not None:
+            inner.pieces.append(data)
+            return
+        self._pieces.append(data)
+        self._loose = [data, None]
+        self.texts.append(self._loose)
 
     def first(self, tag: str, attribute: str | None = None, value: str | None = None) -> str | None:
         for element in self.elements:
@@ -144,15 +119,11 @@ class _Page:
         return None
 
     def triples(self) -> list[dict]:
-        found = []
-        for i, node in enumerate(self.elements):
-            if not node.may_have("typeof"):
-                continue
-            for inner in self.elements[i + 1 : node.last]:
-                if inner.may_have("property"):
-                    value = inner.attributes.get("content", inner.text)
-                    found.append({"s": node.attributes["typeof"], "p": inner.attributes["property"], "o": value})
-        return found
+        return [
+            {"s": node.attributes["typeof"], "p": inner.attributes["property"], "o": inner.attributes.get("content", inner.text)}
+            for node in self.elements
+            for inner in node.found
+        ]
 
 
 def _per_page(pages: DataFrame, key: str, html: str, schema: str, extract: Callable[[_Page], tuple]) -> DataFrame:
@@ -197,10 +168,15 @@ def page_link_after(pages: DataFrame, key: str, html: str, label: str) -> DataFr
     return _per_page(pages, key, html, "href string", lambda page: (page.link_after(compiled),))
 
 
+def triple_lists(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """The embedded ``triples`` of each page in document order, as one array."""
+    schema = "triples array<struct<s:string,p:string,o:string>>"
+    return _per_page(pages, key, html, schema, lambda page: (page.triples(),))
+
+
 def page_triples(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Embedded triples in document order as (key, pos, s, p, o) rows."""
-    schema = "triples array<struct<s:string,p:string,o:string>>"
-    found = _per_page(pages, key, html, schema, lambda page: (page.triples(),))
+    found = triple_lists(pages, key, html)
     return found.select(key, F.posexplode("triples").alias("pos", "t")).select(key, "pos", "t.s", "t.p", "t.o")
 
 

@@ -1,51 +1,97 @@
 """Incremental ingestion of crawled call batches.
 
-Arriving batch files are cleaned and appended as one bronze table; the current state is a
-reduction of it. Each micro-batch is written under its batch id, so a repeated batch after a
-failure replaces itself and the result stays exact.
+Arriving batch files are cleaned and appended as history, each micro-batch under its id. The
+latest record of each event is merged into a state table split by key bucket; only the
+buckets that a micro-batch touches are written again. Merging the same batch twice changes
+nothing, so a repeated batch after a failure leaves the result exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.operators.cleaning import clean_wikicfp
 from eventloom.operators.quality import upsert
+from eventloom.session import stage
 from eventloom.sources.schemas import CALL
 
 CLEANED = ["eventId", "acronym", "title", "locality", "seriesId", "startDate", "endDate", "url", "wikiCfpId", "source", "year"]
+_FIELDS = ", ".join(f"{c} {'date' if c.endswith('Date') else 'int' if c in ('wikiCfpId', 'year') else 'string'}" for c in CLEANED)
+_ARRIVAL = "struct<batch:bigint,modified:timestamp,number:bigint,path:string,block:bigint,position:bigint>"
 
 
-def ingest(spark: SparkSession, incoming: str, table: str, checkpoint: str, files_per_batch: int = 100) -> int:
+def _arrival(batch_id: int) -> Column:
+    """Order of records: micro-batch, then the file's time, number and name, then the place in it.
+
+    Files of one micro-batch may be read in any order; their own data put them in order.
+    """
+    name = F.element_at(F.split("_file.file_path", "/"), -1)
+    number = F.regexp_extract(F.col("_file.file_path"), r"[A-Za-z_](\d+)-\d+(?:/[^/]*)?$", 1).try_cast("bigint")
+    return F.struct(
+        F.lit(batch_id).cast("bigint").alias("batch"),
+        F.col("_file.file_modification_time").alias("modified"),
+        F.coalesce(number, F.regexp_extract(name, r"(\d+)", 1).try_cast("bigint")).alias("number"),
+        F.col("_file.file_path").alias("path"),
+        F.col("_file.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("position"),
+    )
+
+
+def ingest(spark: SparkSession, incoming: str, table: str, checkpoint: str, files_per_batch: int = 100, buckets: int = 64) -> int:
     """Take in all files not seen before; returns the number of micro-batches run.
 
-    The streaming checkpoint remembers finished files.
+    The streaming checkpoint remembers finished files. ``buckets`` must stay the same for a
+    table; a bucket should be small enough to be written again in one task.
     """
-    calls = spark.readStream.schema(CALL).option("maxFilesPerTrigger", files_per_batch).json(incoming)
+    files = spark.readStream.schema(CALL).option("maxFilesPerTrigger", files_per_batch).json(incoming)
+    calls = files.select("*", F.col("_metadata").alias("_file"))
+    done: set[int] = set()
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        clean_wikicfp(batch).select(*CLEANED, F.monotonically_increasing_id().alias("position")).write.mode("overwrite").parquet(
-            f"{table}/batch={batch_id}"
-        )
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        cleaned = clean_wikicfp(batch).select(*CLEANED, _arrival(batch_id).alias("arrival"))
+        cleaned.write.mode("overwrite").parquet(f"{table}/history/batch={batch_id}")
+        arrived = batch.sparkSession.read.schema(f"{_FIELDS}, arrival {_ARRIVAL}").parquet(f"{table}/history/batch={batch_id}")
+        keyed = arrived.where("eventId IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("eventId"), F.lit(buckets)).cast("int"))
+        new = stage(_latest(keyed), "arrived")
+        touched = [row["bucket"] for row in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        old = latest(batch.sparkSession, table)
+        merged = new if old is None else _latest(new.unionByName(old.where(F.col("bucket").isin(touched))))
+        rows = stage(merged, "merged").repartition("bucket")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{table}/state")
+        done.add(batch_id)
 
-    query = calls.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = calls.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return len(query.recentProgress)
+    return len(done)
+
+
+def _latest(records: DataFrame) -> DataFrame:
+    """The last record of each event."""
+    others = [c for c in records.columns if c not in ("eventId", "bucket")]
+    last = F.max_by(F.struct(*others), "arrival")
+    return records.groupBy("eventId", "bucket").agg(last.alias("r")).select("eventId", *[f"r.{c}" for c in others], "bucket")
 
 
 def ingested(spark: SparkSession, table: str) -> DataFrame:
-    """All cleaned records with their arrival order."""
-    fields = ", ".join(
-        f"{c} {'date' if c.endswith('Date') else 'int' if c in ('wikiCfpId', 'year') else 'string'}" for c in CLEANED
-    )
-    rows = spark.read.schema(f"{fields}, position bigint, batch bigint").option("basePath", table).parquet(table)
-    return rows.withColumn("arrival", F.struct("batch", "position")).drop("batch", "position")
+    """All cleaned records ever taken in, with their arrival order."""
+    return spark.read.schema(f"{_FIELDS}, arrival {_ARRIVAL}").parquet(f"{table}/history").drop("batch")
+
+
+def latest(spark: SparkSession, table: str) -> DataFrame | None:
+    """The state: the latest cleaned record of each event with its arrival; None before the first."""
+    try:
+        return spark.read.schema(f"{_FIELDS}, arrival {_ARRIVAL}, bucket int").parquet(f"{table}/state")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def current_state(existing: DataFrame, arrived: DataFrame) -> DataFrame:
-    """The table after all arrived records were merged in by event id, in arrival order."""
-    return upsert(existing, arrived, "eventId", "arrival")
+    """The table after all arrived records (history or state) were merged in by event id."""
+    return upsert(existing, arrived.drop("bucket"), "eventId", "arrival")
