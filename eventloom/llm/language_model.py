@@ -24,9 +24,9 @@ from eventloom.session import stage, staging_path
 
 BEGIN, END = np.uint64(0x51ED270B), np.uint64(0x2545F491)
 #: Tokens gathered in a task before they are counted or scored together.
-GATHERED = 1_500_000
+GATHERED = 500_000
 #: Bytes of training text for each shard.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 
 _BLOBS = "kind string, level int, shard int, entries binary, numbers binary, seen array<long>"
 
