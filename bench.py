@@ -53,6 +53,7 @@ def main() -> None:
     # start the JVM code paths, the Python workers and the file cache before timing
     plans["a1_source_counts"](spark, folder).write.format("noop").mode("overwrite").save()
     plans["s14_page_fields"](spark, folder).write.format("noop").mode("overwrite").save()
+    plans["j9_event_series_lookup"](spark, folder).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in wanted:
         began = time.perf_counter()

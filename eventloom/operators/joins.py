@@ -9,6 +9,7 @@ from eventloom.functions.text import link, split_list
 from eventloom.functions.titles import title_words
 from eventloom.operators.series import dedup_by_title
 from eventloom.operators.views import Corpus, common_view, restrict_to_ids, view_tables, with_source
+from eventloom.session import stage
 
 
 def event_series_lookup(
@@ -21,7 +22,8 @@ def event_series_lookup(
     the source ``tibkat`` is filtered by them.
     """
     view = common_view({n: df.select("source", "eventId", "lookupAcronym") for n, df in view_tables(tables).items()})
-    ids = view.where(F.col("lookupAcronym").ilike(f"{name} %")).select("source", "eventId").distinct()
+    # few ids: written once, so that each source is read once for them and once for its records
+    ids = stage(view.where(F.col("lookupAcronym").ilike(f"{name} %")).select("source", "eventId").distinct(), "found-ids")
     results: Corpus = {}
     for table, df in view_tables(tables).items():
         source = table.split("_", 1)[1]
@@ -29,7 +31,7 @@ def event_series_lookup(
         if classifications and source == "tibkat":
             found = found.where(classification_filter(F.col("bk"), classifications))
         if source in reduce_sources:
-            found = dedup_by_title(found, [])
+            found = dedup_by_title(stage(found, "found-records"), [])
         results[source] = found
     return with_source(results)
 
@@ -153,12 +155,14 @@ def match_candidates(records: DataFrame, series: DataFrame, text_columns: list[s
 
     Words meet acronyms in an equi-join; identical (record, word) pairs are dropped first.
     """
-    words = records.select(
-        id_column,
-        F.explode(F.array_distinct(F.concat(*[title_words(F.lower(c)) for c in text_columns]))).alias("word"),
-    ).where("word <> ''")
-    wanted = series.select("acronym", F.lower("acronym").alias("word")).distinct()
-    return words.join(wanted, "word").select(id_column, F.col("acronym").alias("seriesAcronym"))
+    return match_records(records.select(id_column, *[c for c in text_columns if c != id_column]), series, text_columns).select(id_column, "seriesAcronym")
+
+
+def match_records(records: DataFrame, series: DataFrame, text_columns: list[str]) -> DataFrame:
+    """As :func:`match_candidates`, with the whole record carried along."""
+    words = F.explode(F.array_distinct(F.concat(*[title_words(F.lower(c)) for c in text_columns]))).alias("_word")
+    wanted = series.select(F.col("acronym").alias("seriesAcronym"), F.lower("acronym").alias("_word")).distinct()
+    return records.select("*", words).where("_word <> ''").join(wanted, "_word").drop("_word")
 
 
 def format_links(df: DataFrame, formats: dict[str, str]) -> DataFrame:

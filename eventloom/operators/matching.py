@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import split_list
-from eventloom.operators.joins import match_candidates
+from eventloom.operators.joins import match_records
 from eventloom.operators.series import dedup_by_title
 from eventloom.session import stage
 
@@ -244,9 +244,9 @@ def training_set(
     lowered = wanted.select(F.lower("series").alias("series")).distinct()
     parts = [
         curated.join(wanted, "series", "left_semi").withColumn("seriesAcronym", F.col("series")),
-        dedup_by_title(by_series.join(lowered, "series", "left_semi"), ["series"]).withColumn("seriesAcronym", F.col("series")),
+        dedup_by_title(stage(by_series.join(lowered, "series", "left_semi"), "wanted-records"), ["series"]).withColumn("seriesAcronym", F.col("series")),
     ]
     for source, (records, columns) in by_words.items():
-        found = records.join(match_candidates(records, series, columns, "eventId"), "eventId")
-        parts.append(dedup_by_title(found, ["seriesAcronym"]) if source in dedup else found)
+        found = match_records(records, series, columns)
+        parts.append(dedup_by_title(stage(found, "matched-records"), ["seriesAcronym"]) if source in dedup else found)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

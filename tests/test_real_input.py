@@ -147,12 +147,12 @@ def test_newer_file_wins_within_one_batch(spark, tmp_path):
     arrive("wikicfp_event10-19.json", "NEW", 5000, 1_600_000_000)
     assert crawl.ingest(spark, incoming, table, checkpoint, buckets=4) == 1
     assert {r["title"] for r in crawl.latest(spark, table).collect()} == {"NEW"}
-    untouched = {e.name: e.stat().st_mtime_ns for b in os.scandir(f"{table}/state") if b.is_dir() for e in os.scandir(b.path)}
+    untouched = {f"{b.name}/{e.name}": e.stat().st_mtime_ns for b in os.scandir(f"{table}/state") if b.is_dir() for e in os.scandir(b.path)}
     arrive("wikicfp_event20-29.json", "THIRD", 1, 1_600_000_001)
     assert crawl.ingest(spark, incoming, table, checkpoint, buckets=4) == 1
     state = {r["eventId"]: r["title"] for r in crawl.latest(spark, table).collect()}
     assert len(state) == 5000 and state["0"] == "THIRD" and state["1"] == "NEW"
-    now = {e.name: e.stat().st_mtime_ns for b in os.scandir(f"{table}/state") if b.is_dir() for e in os.scandir(b.path)}
+    now = {f"{b.name}/{e.name}": e.stat().st_mtime_ns for b in os.scandir(f"{table}/state") if b.is_dir() for e in os.scandir(b.path)}
     assert sum(name in now for name in untouched if name.endswith(".parquet")) == 3  # of 4 buckets
     assert crawl.ingest(spark, incoming, table, checkpoint, buckets=4) == 0
 
