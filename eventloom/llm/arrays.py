@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; the arrays of a slice take about 60 times as much.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.arrays import slices
 
 #: Pieces kept with their ids in one worker, and the longest piece that is kept.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 150_000
 CACHED_LENGTH = 48
 
 

@@ -241,8 +241,11 @@ def train(documents: DataFrame, rows_per_language: int = 500, chars: int = 3000,
     of languages bounds what reaches the driver.
     """
     known = documents.select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)).alias("draw")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    taken = known.join(counts, "lang").where(F.col("draw") * F.col("rows") < F.lit(rows_per_language * 1_000_000))
+    rows = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one a language
+    if not rows:
+        return fit_model([], [])
+    share = F.create_map(*[F.lit(x) for lang, count in rows.items() for x in (lang, rows_per_language * 1_000_000 // count)])
+    taken = known.where(F.col("draw") < F.element_at(share, F.col("lang")))
     place = 1 + F.col("draw") % F.greatest(F.lit(1), F.length("text") - chars)
     sample = taken.select(F.substr("text", place, F.lit(chars)).alias("text"), "lang").orderBy("lang", "text").toPandas()
     return fit_model(list(sample["text"]), list(sample["lang"]), seed=seed)
