@@ -20,20 +20,24 @@ def dictionary(spark: SparkSession) -> DataFrame:
     return rows.select(phrase.alias("word"), "type", "value").where("word <> ''")
 
 
-def _phrases(text: Column, longest: int) -> Column:
-    """Phrases of one to ``longest`` words: position of the first word, words, and the phrase.
+def _phrases(titles: DataFrame, key: str, text: str, longest: int, *more: Column) -> DataFrame:
+    """Phrases of one to ``longest`` words: ``nth`` and ``pos`` of the first word, ``length``, ``phrase``.
 
-    Positions count the empty words between two separators.
+    ``pos`` counts the empty words between two separators, ``nth`` does not. Every word is
+    laid side by side with those behind it, so a row holds a few words however long the text.
     """
-    placed = F.transform(title_words(text), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
-    words = F.filter(placed, lambda w: w["word"] != "")
-
-    def from_here(w: Column, i: Column) -> Column:
-        lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i))
-        joined = lambda n: F.array_join(F.transform(F.slice(words, i + 1, n), lambda x: x["word"]), " ")
-        return F.transform(lengths, lambda n: F.struct(w["pos"].alias("pos"), i.alias("nth"), n.alias("length"), joined(n).alias("phrase")))
-
-    return F.flatten(F.transform(words, from_here))
+    placed = F.transform(title_words(F.col(text)), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    split = titles.select(key, *more, F.filter(placed, lambda w: w["word"] != "").alias("_words"))
+    behind = [F.slice("_words", n + 1, F.greatest(F.size("_words"), F.lit(1))).alias(f"w{n}") for n in range(longest)]
+    kept = [c for c in split.columns if c != "_words"]
+    rows = split.select(*kept, F.posexplode_outer(F.arrays_zip(*behind)).alias("nth", "w"))
+    word = [F.col(f"w.w{n}") for n in range(longest)]
+    phrases = [
+        F.when(word[n].isNotNull(), F.struct(F.lit(n + 1).alias("length"), F.concat_ws(" ", *[w["word"] for w in word[: n + 1]]).alias("phrase")))
+        for n in range(longest)
+    ]
+    found = rows.select(*kept, "nth", F.col("w.w0.pos").alias("pos"), F.explode_outer(F.filter(F.array(*phrases), lambda f: f.isNotNull())).alias("f"))
+    return found.select(*kept, "nth", "pos", "f.length", "f.phrase")
 
 
 def annotate(titles: DataFrame, key: str, text: str, cities: DataFrame | None = None) -> DataFrame:
@@ -43,8 +47,8 @@ def annotate(titles: DataFrame, key: str, text: str, cities: DataFrame | None =
     ``cities`` (column ``city``) are annotated too, by an equi-join.
     """
     longest = max(len(word.split()) for word, *_ in title_dictionary())
-    phrases = titles.select(key, F.explode(_phrases(F.col(text), longest + 1)).alias("f"))  # a hyphen makes two words
-    words = phrases.select(key, F.col("f.pos").alias("pos"), F.col("f.phrase").alias("word"))
+    phrases = _phrases(titles, key, text, longest + 1)  # a hyphen makes two words
+    words = phrases.select(key, "pos", F.col("phrase").alias("word"))
     found = words.join(F.broadcast(dictionary(titles.sparkSession)), "word").select(key, "pos", "word", "type", "value")
     if cities is None:
         return found
@@ -62,20 +66,16 @@ def city_phrases(titles: DataFrame, key: str, text: str, cities: DataFrame, long
     names = cities.select("city").distinct()
     if longest is None:
         longest = names.agg(F.max(F.size(F.split("city", " ")))).first()[0] or 1
-    found = titles.select(key, F.explode(_phrases(F.col(text), longest)).alias("f"))
-    place = "f.pos" if raw_positions else "f.nth"
-    phrases = found.select(key, F.col(place).alias("pos"), F.col("f.length").alias("length"), F.col("f.phrase").alias("city"))
+    place = "pos" if raw_positions else "nth"
+    phrases = _phrases(titles, key, text, longest).select(key, F.col(place).alias("pos"), "length", F.col("phrase").alias("city"))
     return phrases.join(names, "city").select(key, "pos", "length", "city")
 
 
 def _categories(titles: DataFrame, key: str, text: str) -> DataFrame:
     """Per title its co-location flag and the entries of it that are in the dictionary, or nulls."""
     longest = max(len(word.split()) for word, *_ in title_dictionary())
-    words = titles.select(
-        key,
-        F.col(text).contains("co-located").alias("coLocated"),
-        F.explode_outer(F.transform(_phrases(F.col(text), longest + 1), lambda f: f["phrase"])).alias("word"),
-    )
+    phrases = _phrases(titles, key, text, longest + 1, F.col(text).contains("co-located").alias("coLocated"))
+    words = phrases.select(key, "coLocated", F.col("phrase").alias("word"))
     return words.join(F.broadcast(dictionary(titles.sparkSession)), "word", "left")
 
 

@@ -107,7 +107,8 @@ def parse_fulltitle(t: Tables):
 
 @query(
     "x5_parse_ordinal",
-    """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 4 < 2 THEN o_custkey % 99 + 1
+    """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 8 = 7 OR (o_orderkey % 4 = 3 AND o_custkey % 99 < 2) THEN o_custkey % 99 + 1
+  WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 4 < 2 THEN o_custkey % 99 + 1
   ELSE o_custkey % 9 + 21 END AS INTEGER) AS ordinal FROM orders""",
 )
 def parse_ordinal(t: Tables):
@@ -118,6 +119,7 @@ def parse_ordinal(t: Tables):
     title = (
         F.when(key % 4 < 2, F.concat(text(n), suffix, F.lit(" Conference (C 2008), 1999")))
         .when(key % 4 == 2, F.concat(F.lit("Proceedings of the "), word, F.lit(" Workshop")))
+        .when(key % 8 == 7, F.concat(text(n), F.lit(". Workshop")))
         .otherwise(F.concat(F.lit("Workshop "), text(n)))
     )
     return t.orders.select("o_orderkey", titles.first_ordinal(title).alias("ordinal"))
@@ -196,7 +198,7 @@ _DICTIONARY = f""", n(v) AS (SELECT unnest(range(1, 100))),
     || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][v % 10 + 1] AS w FROM n),
   entries AS (SELECT * FROM (VALUES {_CATEGORIES}) AS c(entry, type), (SELECT NULL AS value)
     UNION ALL SELECT w, 'enum', v FROM spelt
-    UNION ALL SELECT array_to_string(list_transform(string_split(w, '-'), x -> upper(x[1]) || x[2:]), '-'), 'enum', v FROM spelt
+    UNION ALL SELECT array_to_string(list_transform(string_split(w, '-'), lambda x: upper(x[1]) || x[2:]), '-'), 'enum', v FROM spelt
     UNION ALL SELECT v || '.', 'enum', v FROM n UNION ALL SELECT w || '.', 'enum', v FROM roman
     UNION ALL SELECT v || CASE WHEN v // 10 = 1 THEN 'th' WHEN v % 10 = 1 THEN 'st' WHEN v % 10 = 2 THEN 'nd' WHEN v % 10 = 3 THEN 'rd' ELSE 'th' END, 'enum', v FROM n
     UNION ALL SELECT * FROM (VALUES ('1', 'enum', 1), ('2', 'enum', 2), ('11st', 'enum', 11), ('12nd', 'enum', 12), ('13rd', 'enum', 13), ('21th', 'enum', 21),
