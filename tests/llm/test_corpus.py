@@ -109,7 +109,7 @@ def test_mixing_odd_rows(spark, frame, odd):
     words = {i: len((t or "").split()) for i, t in enumerate(odd)}
     assert used["n_tokens"].sum() <= sum(words.values()) and used["n_tokens"].sum() > 0.5 * sum(words.values())
     assert mixing.mix(frame([])).collect() == [] and mixing.mix(frame([None, ""])).collect() == []
-    twice = frame(odd + odd, list(range(len(odd))) * 2)
+    twice = frame(odd).unionByName(frame(odd))
     counts = mixing.mix(twice).groupBy("doc_id", "n_tokens").count().toPandas()
     assert (counts["count"] % 2 == 0).all()
 
