@@ -23,10 +23,11 @@ from eventloom.llm.shared_arrays import map_array, write_array
 from eventloom.session import stage, staging_path
 
 BEGIN, END = np.uint64(0x51ED270B), np.uint64(0x2545F491)
-#: Tokens gathered in a task before they are counted or scored together.
-GATHERED = 500_000
+#: Tokens gathered in a task before they are counted, and before they are scored.
+COUNTED = 1_200_000
+SCORED = 500_000
 #: Bytes of training text for each shard.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 10 << 20
 
 _BLOBS = "kind string, level int, shard int, entries binary, numbers binary, seen array<long>"
 
@@ -62,14 +63,14 @@ def _tokens(parts: list[tuple[np.ndarray, np.ndarray]]) -> Tokens:
     return Tokens(np.concatenate(hashes), np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes), bounds)
 
 
-def _gathered(texts: pa.Array) -> Iterator[tuple[int, Tokens]]:
+def _gathered(texts: pa.Array, most: int) -> Iterator[tuple[int, Tokens]]:
     """Tokens of consecutive rows, with the first row of each group."""
     parts, held, first = [], 0, 0
     for part in slices(texts):
         words = find_words(part)
         parts.append((word_hashes(part, words, lower=True), words.rows))
         held += len(words.starts)
-        if held >= GATHERED:
+        if held >= most:
             yield first, _tokens(parts)
             parts, held, first = [], 0, part.first + part.rows
     if parts:
@@ -126,7 +127,7 @@ def _table(rows: list[tuple]) -> pa.Table:
 def _count(order: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, tokens in _gathered(batch.column(0)):
+            for _, tokens in _gathered(batch.column(0), COUNTED):
                 once = np.ones((len(tokens.hashes), 2), np.int64)
                 yield from _table(list(_blobs("grams", order, tokens.columns(order), once, shards))).to_batches()
 
@@ -287,7 +288,7 @@ def score(documents: DataFrame, model: KneserNey, keep: list[Column | str], text
         lookup = _lookup(model)
         whole = model.tokens + model.words + 1
         for batch in batches:
-            for first, tokens in _gathered(batch.column("__text")):
+            for first, tokens in _gathered(batch.column("__text"), SCORED):
                 chance, count = lookup.score(tokens)
                 starts, sizes = tokens.bounds[:-1], np.diff(tokens.bounds)
                 total = np.add.reduceat(np.log10(chance), starts)
