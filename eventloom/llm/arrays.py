@@ -64,6 +64,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         after = min(after, len(texts))
         yield Slice(first, data[offsets[first] : offsets[after]], offsets[first : after + 1] - offsets[first])
         first = after
+    pa.default_memory_pool().release_unused()  # a worker may idle for long after this batch
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
