@@ -9,6 +9,7 @@ arrays into memory and look up the n-grams of their texts in sorted order.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -210,6 +211,9 @@ def train(documents: DataFrame, order: int = 2, text: str = "text") -> KneserNey
         done = merged.where("kind = 'grams done'").agg(*[F.coalesce(F.sum(F.col("seen")[i]), F.lit(0)) for i in range(8)]).first()
         totals[level] = [int(x) for x in done]
         sent = merged.where("seen IS NULL")
+        # shuffle files of the order just written go when the driver collects its garbage
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return KneserNey(folder, order, shards, totals)
 
 
