@@ -17,7 +17,7 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:
     documents = _read(spark, folder, "documents")
-    model = language_model.train(documents.where(language_model.remainder(7) != 2))
+    model = language_model.train(documents.where(language_model.remainder(7) != 2), order=3)
     return language_model.score(documents, model, ["doc_id", (language_model.remainder(7) == 2).alias("held_out")])
 
 

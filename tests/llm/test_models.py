@@ -104,6 +104,16 @@ def test_model_beats_the_base(spark):
     assert all((zlib.crc32(str(i).encode()) % 7 == 2) for i in held["doc_id"])
 
 
+def test_registered_model_has_trigrams(spark):
+    """The query's scores are those of order 3, and not those of order 2."""
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet")
+    known, split = documents.where(language_model.remainder(7) != 2), language_model.remainder(7) == 2
+    found = corpus.op3_language_model(spark, SMALL).toPandas().sort_values("doc_id")
+    for order in (2, 3):
+        wanted = language_model.score(documents, language_model.train(known, order), ["doc_id", split.alias("held_out")]).toPandas().sort_values("doc_id")
+        assert np.allclose(found["score"], wanted["score"]) == (order == 3)
+
+
 def test_marginals_are_exact():
     draw = np.random.default_rng(0)
     model = language_id.Model(["a", "b", "c"], None, draw.normal(size=(3, 3)), draw.normal(size=3), None)
