@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from eventloom.llm.arrays import Prefixes, Slice, find_words, mix, pair_hash, slices
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: What the forest sees besides: ASCII capitals and punctuation.
-MORE = ("n_upper", "n_marks")
+#: What the forest sees besides: ASCII capitals, punctuation, and lines with a word.
+MORE = ("n_upper", "n_marks", "n_lines")
 
 _KIND = np.zeros((256, 4), bool)
 _KIND[list(b"#*$%&|<>"), 0] = True
@@ -80,6 +80,7 @@ def text_statistics(part: Slice) -> dict[str, np.ndarray]:
     keys = pair_hash(prefixes.of(starts, ends), rows.astype(np.uint64))
     lines = np.bincount(rows, minlength=part.rows)
     distinct = np.unique(np.stack([rows.astype(np.uint64), keys]), axis=1)[0] if len(rows) else rows
+    out["n_lines"] = lines
     out["n_dup_lines"] = lines - np.bincount(distinct.astype(np.int64), minlength=part.rows)
     return out
 
@@ -104,19 +105,25 @@ def rule_statistics(documents: DataFrame, text: str = "text", keys: tuple[str, .
     return rows.mapInArrow(run, schema)
 
 
+#: What is one unit of each feature. A tree splits a feature as often as its range is wide, so
+#: that lengths and a few repeats, in which good texts differ too, do not hide the others.
+UNITS = (0.2, 1.0, 1.0, 4.0, 1.0, 1.0, 16.0)
+
+
 def features(counts: dict[str, np.ndarray]) -> np.ndarray:
-    """Ratios that do not depend on a text's length. Repeats have a base rule of their own."""
+    """All rule statistics in ``UNITS``: ratios that do not depend on a text's length, and the length."""
     count = {name: np.asarray(values, np.float64) for name, values in counts.items()}
-    words, chars = np.maximum(count["n_words"], 1), np.maximum(count["word_chars"], 1)
-    return np.stack(
-        [
-            count["n_upper"] / chars,
-            count["n_symbols"] / words,
-            count["n_marks"] / words,
-            count["word_chars"] / words,
-        ],
-        axis=1,
+    words, chars, lines = (np.maximum(count[n], 1) for n in ("n_words", "word_chars", "n_lines"))
+    found = (
+        count["n_upper"] / chars,
+        count["n_symbols"] / words,
+        count["n_marks"] / words,
+        count["word_chars"] / words,
+        count["n_dup_lines"] / lines,
+        count["n_repeat_words"] / words,
+        np.log(words),
     )
+    return np.stack(found, axis=1) / UNITS
 
 
 @dataclass
@@ -153,7 +160,7 @@ def _usual_path(size: float) -> float:
 
 
 def grow_forest(sample: np.ndarray, trees: int, rows_per_tree: int, seed: int) -> Forest:
-    """Trees over random rows of the sample, split at random values of random features."""
+    """Trees over random rows of the sample, split at random values of features drawn by their range."""
     random = np.random.default_rng(seed)
     size = min(rows_per_tree, len(sample))
     depth = max(1, int(np.ceil(np.log2(max(2, size)))))
@@ -167,11 +174,10 @@ def grow_forest(sample: np.ndarray, trees: int, rows_per_tree: int, seed: int) -
         while waiting:
             node, rows, level = waiting.pop()
             low, high = (sample[rows].min(0), sample[rows].max(0)) if len(rows) else (np.zeros(1), np.zeros(1))
-            open_to = np.flatnonzero(high > low)
-            if level >= depth or len(rows) <= 1 or not len(open_to):
+            if level >= depth or len(rows) <= 1 or not (high > low).any():
                 length[tree, node] = level + _usual_path(len(rows))
                 continue
-            pick = random.choice(open_to)
+            pick = random.choice(len(low), p=(high - low) / (high - low).sum())
             value = random.uniform(low[pick], high[pick])
             right = sample[rows, pick] >= value
             if right.all() or not right.any():

@@ -191,6 +191,21 @@ def test_forest_separates_labelled_rows(spark):
     assert not rows[rows["base_failed"]]["kept"].any()
 
 
+def test_forest_sees_repeated_short_lines(spark, frame):
+    """Listings of usual words, in which lines recur but windows of 3 words seldom do."""
+    draw = np.random.default_rng(3)
+    usual = ["".join(draw.choice(list("abcdefgh"), draw.integers(3, 8))) for _ in range(300)]
+    lines = lambda words, width: "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+    texts = [lines(list(draw.choice(usual, 120)), 10) for _ in range(300)]
+    texts += [lines(list(draw.choice(draw.choice(usual, 20), 120)), 1) for _ in range(24)]
+    statistics = quality.rule_statistics(frame(texts)).cache()
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(0, len(texts), 2)], "doc_id long, quality int")
+    judged = quality.judge(statistics, quality.fit(statistics, labels), ("doc_id",)).toPandas()
+    assert not judged["base_failed"].any()
+    listing = judged["doc_id"] >= 300
+    assert not judged[listing]["kept"].any() and judged[~listing]["kept"].mean() > 0.98
+
+
 def test_without_labels_the_forest_rejects_nothing(spark, frame, odd):
     statistics = quality.rule_statistics(frame(odd))
     for labels in ([], [(1, None)], [(11, 1)]):
