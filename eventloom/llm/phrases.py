@@ -3,8 +3,10 @@
 A phrase is ``WIDTH`` consecutive words. Phrases that recur are confirmed by their hashes;
 the patterns of a shard, with their first places, become one automaton, and the texts of the
 shard stream through its copies, which find every occurrence. A shard takes the anchors
-(``blocks``) of one hash range; where an anchor is frequent its texts are dealt out to several
-tasks, each with the same few patterns.
+(``blocks``) of one hash range. Where an anchor has many patterns, the shard is divided by the
+hashes of the phrases: each bucket has a bounded number of patterns, and a text goes to the
+buckets of its own phrases only. Where a bucket has many texts, they are dealt out to several tasks,
+each with the patterns of the bucket.
 """
 
 from __future__ import annotations
@@ -37,28 +39,51 @@ def _cut(text: bytes, lo: np.ndarray, size: np.ndarray) -> list[list[str]]:
     return [[w.decode() for w in words[a : a + n - 1 + WIDTH]] for a, n in zip(lo.tolist(), size.tolist(), strict=True)]
 
 
+def _window_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in the block, and hash of every window of a batch of blocks."""
+    content = batch.column("content")
+    counts = content.value_lengths().to_numpy()
+    words = content.flatten()
+    hashes = [word_hashes(p, _whole(p), lower=False) for p in slices(words)]
+    prefixes = Prefixes(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64))
+    begins = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    size = batch.column("size").to_numpy()
+    rows = np.repeat(np.arange(len(size)), size)
+    step = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+    at = begins[rows] + step
+    return rows, step, prefixes.of(at, at + WIDTH)
+
+
 def _windows(texts: DataFrame) -> DataFrame:
     """The hash and place of every window of the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content = batch.column("content")
-            counts = content.value_lengths().to_numpy()
-            words = content.flatten()
-            hashes = [word_hashes(p, _whole(p), lower=False) for p in slices(words)]
-            prefixes = Prefixes(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64))
-            begins = np.concatenate([[0], np.cumsum(counts)])[:-1]
-            size = batch.column("size").to_numpy()
-            rows = np.repeat(np.arange(len(size)), size)
-            step = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
-            at = begins[rows] + step
+            rows, step, hashes = _window_hashes(batch)
             columns = [batch.column(n).take(pa.array(rows)) for n in ("h", "doc_id", "copy", "lo")]
-            values = [pa.array(prefixes.of(at, at + WIDTH).view(np.int64)), pa.array(step.astype(np.int32))]
+            values = [pa.array(hashes.view(np.int64)), pa.array(step.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*columns, *values], names=["h", "doc_id", "copy", "lo", "w", "step"])
 
     return texts.select("h", "doc_id", "copy", "lo", "size", "content").mapInArrow(run, "h long, doc_id long, copy long, lo int, w long, step int")
 
 
+def _in_buckets(texts: DataFrame) -> DataFrame:
+    """Blocks of divided shards, once for each bucket that one of their windows belongs to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, len(whole), 1024):
+                batch = whole.slice(first, 1024)
+                rows, _, hashes = _window_hashes(batch)
+                bucket = np.mod(hashes.view(np.int64), batch.column("buckets").to_numpy().astype(np.int64)[rows])
+                rows, bucket = np.unique(np.stack([rows, bucket]), axis=1)
+                columns = [batch.column(n).take(pa.array(rows)) for n in ("shard", "doc_id", "copy", "lo", "content")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bucket.astype(np.int64))], names=["shard", "doc_id", "copy", "lo", "content", "bucket"])
+
+    rows = texts.select("shard", "buckets", "doc_id", "copy", "lo", "size", "content")
+    return rows.mapInArrow(run, "shard long, doc_id long, copy long, lo int, content array<string>, bucket long")
+
+
 def _whole(part: Slice):
     """Every row of the slice is one word."""
     from eventloom.llm.arrays import Words
@@ -67,14 +92,14 @@ def _whole(part: Slice):
 
 
 def confirmed(texts: DataFrame) -> DataFrame:
-    """Patterns: phrases of two blocks or more, with their words and first place (``first``)."""
+    """Patterns: phrases of two blocks or more, with their hash, words and first place."""
     first = F.min(F.struct("doc_id", "copy", (F.col("lo") + F.col("step")).alias("start"), "lo"))
     often = _windows(texts).groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).where("n > 1")
     source = texts.select("h", F.col("doc_id").alias("d"), F.col("copy").alias("c"), F.col("lo").alias("l"), "content").dropDuplicates(["h", "d", "c", "l"])
     same = (F.col("first.doc_id").eqNullSafe(F.col("d"))) & (F.col("first.copy") == F.col("c")) & (F.col("first.lo") == F.col("l"))
     joined = often.withColumnRenamed("h", "k").join(source, (F.col("k") == F.col("h")) & same)
     words = F.slice("content", F.col("first.start") - F.col("l") + 1, F.lit(WIDTH))
-    return joined.select("h", words.alias("words"), F.col("first.doc_id").alias("doc_id"), F.col("first.copy").alias("copy"), F.col("first.start").alias("start"))
+    return joined.select("h", "w", words.alias("words"), F.col("first.doc_id").alias("doc_id"), F.col("first.copy").alias("copy"), F.col("first.start").alias("start"))
 
 
 def _later_occurrences(patterns: pa.Table, texts: pa.Table) -> pa.Table:
@@ -101,13 +126,22 @@ def _later_occurrences(patterns: pa.Table, texts: pa.Table) -> pa.Table:
 def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Every occurrence of a pattern in the texts but its first: ``doc_id``, ``copy``, ``lo``."""
     shards = 1 + max(texts.count(), patterns.count()) // SHARD_BLOCKS
-    shard = F.pmod("h", F.lit(shards))
-    loads = texts.groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("rows"))
-    loads = stage(loads.select("shard", (1 + F.expr(f"rows div {2 * SHARD_BLOCKS}")).cast("int").alias("copies")), "shard-loads")
-    dealt = texts.withColumn("shard", shard).join(loads, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "copy", "lo"), F.col("copies")).cast("int"))
-    copied = patterns.withColumn("shard", shard).join(loads, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    left = copied.select("shard", "part", "words", "doc_id", "copy", "start").groupBy("shard", "part")
-    right = dealt.select("shard", "part", "doc_id", "copy", "lo", "content").groupBy("shard", "part")
+    shard = F.pmod("h", F.lit(shards)).cast("long")
+    many = F.expr(f"1 + n div {2 * SHARD_BLOCKS}").cast("long")
+    sizes = patterns.groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = stage(sizes.select("shard", many.alias("buckets")), "shard-patterns")
+    own = texts.withColumn("shard", shard).join(sizes, "shard")
+    names = ("shard", "bucket", "doc_id", "copy", "lo", "content")
+    whole = own.where("buckets = 1").withColumn("bucket", F.lit(0).cast("long")).select(*names)
+    divided = stage(_in_buckets(own.where("buckets > 1")).select(*names), "divided-blocks")
+    blocks_of = whole.unionByName(divided)
+    loads = blocks_of.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    loads = stage(loads.select("shard", "bucket", many.alias("copies")), "shard-loads")
+    dealt = blocks_of.join(loads, ["shard", "bucket"]).withColumn("part", F.pmod(F.xxhash64("doc_id", "copy", "lo"), F.col("copies")))
+    copied = patterns.withColumn("shard", shard).join(sizes, "shard").withColumn("bucket", F.pmod("w", "buckets"))
+    copied = copied.join(loads, ["shard", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    left = copied.select("shard", "bucket", "part", "words", "doc_id", "copy", "start").groupBy("shard", "bucket", "part")
+    right = dealt.select(*names, "part").groupBy("shard", "bucket", "part")
     return left.cogroup(right).applyInArrow(_later_occurrences, "doc_id long, copy long, lo int")
 
 

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.helpers import LOWER, WORDS, sha
 
@@ -117,6 +118,26 @@ def test_frequent_anchor(frame, monkeypatch):
         assert collected(digests(frame(texts)), *columns) == sorted(brute(rows), key=repr)
 
 
+def test_patterns_of_one_anchor_are_bounded(frame, monkeypatch):
+    """A template with fields that recur in pairs: one anchor, and many patterns, which no task has all of."""
+    monkeypatch.setattr(phrases, "SHARD_BLOCKS", 50)
+    find = phrases._later_occurrences
+
+    def bounded(patterns, texts):
+        assert len(patterns) <= 200 and len(texts) <= 200
+        return find(patterns, texts)
+
+    monkeypatch.setattr(phrases, "_later_occurrences", bounded)
+    fixed = [f"fixed{n} words of the same template" for n in range(4000)]
+    least = [int(blocks.find_blocks(*phrases._symbols(next(phrases.slices(pa.array([t])))), blocks.Shape(6, 6)).h[0]) for t in fixed]
+    template = fixed[int(np.argmin(least))]
+    fields = lambda name, n: " ".join(f"{name}{n}x{k}" for k in range(8))
+    texts = [f"{fields('a', n)} {fields('b', n // 2)} {template} {fields('c', n // 2)} {fields('d', n)}" for n in range(300)]
+    texts += [f"{fields('e', n)} {fields('b', 0)} {template} {fields('c', 0)} {fields('f', n)}" for n in range(300, 400)]
+    digests, brute, columns = CASES["phrases"]
+    assert collected(digests(frame(texts)), *columns) == sorted(brute(list(enumerate(texts))), key=repr)
+
+
 def test_long_sequences_are_cut_without_loss(monkeypatch):
     monkeypatch.setattr(blocks, "_PLACE_BITS", 10)
     draw = np.random.default_rng(0)
