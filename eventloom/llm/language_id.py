@@ -22,6 +22,7 @@ from eventloom.llm.arrays import LOWER, Prefixes, Slice, Words, find_words, slic
 #: Rows of a weight table; features are hashed into them. Row 0 stays zero.
 ROWS = 1 << 16
 _BLOCK = 64
+_RUNS = "array<struct<start: int, end: int, lang: string, probability: double>>"
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -252,22 +253,24 @@ def train(documents: DataFrame, rows_per_language: int = 500, chars: int = 3000,
 
 
 def predict(documents: DataFrame, model: Model, keep: list[Column | str], text: str = "text") -> DataFrame:
-    """``keep``, ``lang_pred``, ``score`` (mean probability of it over the words) and ``shares``.
+    """``keep``, ``lang_pred``, ``score`` (mean probability of it over the words), ``shares`` and ``runs``.
 
     ``shares`` has the mean probability of every learned language: a text that switches has
-    several. ``und`` with score 0 if the text is null or has no letter, or nothing was learned.
+    several. ``runs`` says where it switches: the words from ``start`` to before ``end``, counted
+    from 0, whose likeliest language is ``lang``, with its mean ``probability``. ``und`` with
+    score 0 and no runs if the text is null or has no letter, or nothing was learned.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(*keep, F.col(text).alias("__text"))
     kept = rows.columns[:-1]
-    schema = rows.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("array<double>").alias("shares")).schema
+    schema = rows.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("array<double>").alias("shares"), F.lit(None).cast(_RUNS).alias("runs")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             texts = batch.column("__text")
             for part in slices(texts):
-                shares = text_shares(known, part)
+                shares, found = text_labels(known, part)
                 best = shares.argmax(1) if known.labels else np.zeros(part.rows, int)
                 values = texts.slice(part.first, part.rows).to_pylist()
                 letters = [bool(known.labels) and value is not None and _LETTER.search(value) is not None for value in values]
@@ -277,18 +280,52 @@ def predict(documents: DataFrame, model: Model, keep: list[Column | str], text:
                 flat = pa.array(shares.ravel() if known.labels else np.zeros(part.rows))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.rows + 1, dtype=np.int32) * width), flat)
                 columns = [c.slice(part.first, part.rows) for c in batch.select(kept).columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score), lists], names=[*kept, "lang_pred", "score", "shares"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score), lists, _run_lists(known, found, np.array(letters))], names=[*kept, "lang_pred", "score", "shares", "runs"])
 
     return rows.mapInArrow(run, schema)
 
 
-def text_shares(model: Model, part: Slice) -> np.ndarray:
-    """Mean probability of each label over the words of each text; equal shares without words."""
+@dataclass
+class Runs:
+    """Consecutive words of one text with the same likeliest label; ``start`` and ``end`` count its words."""
+
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    label: np.ndarray
+    probability: np.ndarray
+
+
+def text_labels(model: Model, part: Slice) -> tuple[np.ndarray, Runs]:
+    """Mean probability of each label over the words of each text, and the runs of word labels.
+
+    Equal shares and no runs without words.
+    """
     words = find_words(part)
     labels = max(1, len(model.labels))
-    out = np.full((part.rows, labels), 1 / labels)
-    if len(words.starts) and model.labels:
-        chances = marginals(model, model.emissions(word_features(part, words, model.lexicon)), words.rows)
-        full = np.flatnonzero(np.diff(words.rows))
-        out[full] = np.add.reduceat(chances, words.rows[:-1][full], axis=0) / np.diff(words.rows)[full][:, None]
-    return out
+    out, none = np.full((part.rows, labels), 1 / labels), np.zeros(0, np.int64)
+    if not len(words.starts) or not model.labels:
+        return out, Runs(none, none, none, none, none.astype(float))
+    chances = marginals(model, model.emissions(word_features(part, words, model.lexicon)), words.rows)
+    full = np.flatnonzero(np.diff(words.rows))
+    out[full] = np.add.reduceat(chances, words.rows[:-1][full], axis=0) / np.diff(words.rows)[full][:, None]
+    best, row = chances.argmax(1), words.row_of()
+    begin = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (row[1:] != row[:-1])]))
+    end, first = np.append(begin[1:], len(best)), words.rows[row[begin]]
+    sums = np.add.reduceat(chances.max(1).astype(np.float64), begin)
+    return out, Runs(row[begin], begin - first, end - first, best[begin], sums / (end - begin))
+
+
+def text_shares(model: Model, part: Slice) -> np.ndarray:
+    """Mean probability of each label over the words of each text; equal shares without words."""
+    return text_labels(model, part)[0]
+
+
+def _run_lists(model: Model, runs: Runs, shown: np.ndarray) -> pa.ListArray:
+    """The runs of each text as one list, empty where the text is not ``shown``."""
+    own = np.flatnonzero(shown[runs.row])
+    names = pa.array(model.labels, pa.string()).take(pa.array(runs.label[own]))
+    numbers = [pa.array(v[own].astype(np.int32)) for v in (runs.start, runs.end)]
+    structs = pa.StructArray.from_arrays([*numbers, names, pa.array(runs.probability[own])], names=["start", "end", "lang", "probability"])
+    counts = np.bincount(runs.row[own], minlength=len(shown))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), structs)

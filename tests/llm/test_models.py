@@ -161,6 +161,22 @@ def test_switching_text_has_both_languages(spark):
     assert shares["de"] > 0.25 and shares["en"] > 0.25
 
 
+def test_runs_show_where_a_text_switches(spark, frame):
+    learned = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language_id.train(learned)
+    halves = {r["lang"]: r["text"].split()[:120] for r in learned.where("lang in ('de', 'en') AND n_chars > 1500 AND n_chars < 3000").orderBy("doc_id").collect()}
+    texts = [" ".join(halves["de"] + halves["en"]), None, "123 456", " ".join(halves["en"])]
+    rows = {r["doc_id"]: r["runs"] for r in language_id.predict(frame(texts), model, ["doc_id"]).collect()}
+    assert rows[1] == rows[2] == []
+    for row, size in ((0, 240), (3, 120)):
+        assert [r["start"] for r in rows[row]] == [0, *[r["end"] for r in rows[row]][:-1]] and rows[row][-1]["end"] == size
+        assert all(a["lang"] != b["lang"] for a, b in zip(rows[row], rows[row][1:], strict=False))
+        assert all(1 / len(model.labels) <= r["probability"] <= 1 + 1e-9 for r in rows[row])
+    words = [r["lang"] for r in rows[0] for _ in range(r["start"], r["end"])]
+    wrong = sum(a != b for a, b in zip(words, ["de"] * 120 + ["en"] * 120, strict=True))
+    assert wrong < 24 and words[:110].count("de") > 99 and words[130:].count("en") > 99
+
+
 def brute_statistics(text):
     words = WORDS.findall(text or "")
     windows = Counter(zip(words, words[1:], words[2:], strict=False))
