@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, language_id, language_model, lines, mixing, near_duplicates, neighbours, phrases, quality, suffixes
+from eventloom.llm import audit, bpe, language_id, language_model, lines, mixing, near_duplicates, neighbours, phrases, quality, simhash, suffixes, whitening
 from eventloom.session import stage
 
 
@@ -76,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_simhash_dedup": simhash.op11_simhash_dedup,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_filter_audit": audit.op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -83,4 +86,5 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": phrases.OP2_SQL,
     "op6_line_dedup": lines.OP6_SQL,
     "op10_mix_sources": mixing.oracle(),
+    "op13_filter_audit": audit.OP13_SQL,
 }
