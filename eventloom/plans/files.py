@@ -51,7 +51,12 @@ def _bibliography(t: Tables) -> str:
     articles = t.supplier.select(
         F.concat(F.lit('<article key="journals/'), text("s_suppkey"), F.lit('" mdate="2020-01-01">'), tag("title", F.col("s_name")), F.lit("</article>")).alias("value")
     )
-    return _write_lines(proceedings.unionByName(articles), "bibliography")
+    # no key; a comment with a tag; and records longer than a split may be
+    homes = t.nation.select(
+        F.concat(F.lit('<www mdate="2020-02-02">'), tag("title", F.col("n_name")), F.lit("<!-- <title>no</title> -->"),
+                 tag("note", F.repeat(F.concat("n_name", F.lit(" > ")), 5000)), F.lit("</www>")).alias("value")
+    )
+    return _write_lines(proceedings.unionByName(articles).unionByName(homes), "bibliography")
 
 
 @query(
@@ -59,11 +64,12 @@ def _bibliography(t: Tables) -> str:
     """SELECT 'proceedings' AS kind, 'conf/c' || o_custkey || '/' || o_orderkey AS key, strftime(o_orderdate, '%Y-%m-%d') AS mdate,
   'A & Müller' || CASE WHEN o_orderkey % 2 = 0 THEN ',' || o_orderpriority ELSE '' END AS editor, CASE WHEN o_orderkey % 5 <> 0 THEN 'Days ' || o_orderkey END AS title,
   CAST(year(o_orderdate) AS VARCHAR) AS year, 'https://doi.org/10.1/' || o_orderkey || ',https://x.org' AS ee, 'LN' AS series,
-  CASE WHEN o_orderkey % 3 = 0 THEN 'informal' END AS publtype FROM orders
-UNION ALL SELECT 'article', 'journals/' || s_suppkey, '2020-01-01', NULL, s_name, NULL, NULL, NULL, NULL FROM supplier""",
+  CASE WHEN o_orderkey % 3 = 0 THEN 'informal' END AS publtype, NULL AS note FROM orders
+UNION ALL SELECT 'article', 'journals/' || s_suppkey, '2020-01-01', NULL, s_name, NULL, NULL, NULL, NULL, NULL FROM supplier
+UNION ALL SELECT 'www', NULL, '2020-02-02', NULL, n_name, NULL, NULL, NULL, NULL, trim(repeat(n_name || ' > ', 5000)) FROM nation""",
 )
 def xml_kinds(t: Tables):
-    columns = ["kind", "key", "mdate", "editor", "title", "year", "ee", "series", "publtype"]
+    columns = ["kind", "key", "mdate", "editor", "title", "year", "ee", "series", "publtype", "note"]
     return files.xml_records(t.spark, _bibliography(t)).select(*columns)
 
 
@@ -298,13 +304,13 @@ def export_series(t: Tables):
 
 
 _TRIPLES = """SELECT CASE WHEN p = 'part' THEN '_:b' ELSE 'http://x/' END || s AS s, 'http://x/' || p AS p,
-  CASE WHEN p = 'supplier' THEN 'http://x/' ELSE '' END || o || CASE WHEN p = 'supplier' THEN '' ELSE ' "ü"' || chr(10) || '\\' END AS o, lang FROM triples"""
+  CASE WHEN p = 'supplier' THEN 'http://x/' ELSE '' END || o || CASE WHEN p = 'supplier' THEN '' ELSE ' "ü" .' || chr(10) || '\\' END AS o, lang FROM triples"""
 
 
 def _marked_triples(t: Tables):
     """Triples with blank subjects, and objects that need escapes."""
     link = F.col("p") == "supplier"
-    return p.triples(t).withColumn("o", F.when(link, F.col("o")).otherwise(F.concat("o", F.lit(' "ü"\n\\'))))
+    return p.triples(t).withColumn("o", F.when(link, F.col("o")).otherwise(F.concat("o", F.lit(' "ü" .\n\\'))))
 
 
 @query("s17_rdf_triples", with_proxies("triples", _TRIPLES))
@@ -313,17 +319,27 @@ def rdf_triples(t: Tables):
     return files.read_triples(t.spark, _write_lines(lines, "triples"))
 
 
-@query("s17_rdf_turtle", with_proxies("triples", _TRIPLES + " WHERE p <> 'part'"))
+_TWO_FILES = """SELECT h || s AS s, h || p AS p, CASE WHEN p = 'supplier' THEN h || o ELSE o || ' "ü" .' || chr(10) || '\\' END AS o, lang
+FROM (SELECT *, CASE WHEN length(s) % 2 = 0 THEN 'http://y/z/' ELSE 'http://x/' END AS h FROM triples WHERE p <> 'part')"""
+
+
+@query("s17_rdf_turtle", with_proxies("triples", _TWO_FILES))
 def rdf_turtle(t: Tables):
-    """The same triples as Turtle statements, one for each subject, with prefixed names and lists."""
+    """The same triples as Turtle, one statement for each subject: prefixed names, lists, long
+    literals, and two kinds of files, in which one prefix has different meanings."""
     rows = _marked_triples(t).where("p <> 'part'")
-    literal = F.concat(F.lit('"'), files.escaped(F.col("o")), F.lit('"'), F.coalesce(F.concat(F.lit("@"), "lang"), F.lit("")))
+    long = F.concat(F.lit('"""'), F.replace("o", F.lit("\\"), F.lit("\\\\")), F.lit('"""'))
+    text = F.when(F.col("lang") == "de", long).otherwise(F.concat(F.lit('"'), files.escaped(F.col("o")), F.lit('"')))
+    literal = F.concat(text, F.coalesce(F.concat(F.lit("@"), "lang"), F.lit("")))
     value = F.when(F.col("p") == "supplier", F.concat(F.lit("x:"), "o")).otherwise(literal)
     lists = rows.groupBy("s", "p").agg(F.array_join(F.collect_list(value), ", ").alias("o"))
     bodies = lists.groupBy("s").agg(F.array_join(F.collect_list(F.concat(F.lit("x:"), "p", F.lit(" "), "o")), " ;\n  ").alias("body"))
-    statements = bodies.select(F.concat(F.lit("x:"), "s", F.lit("\n  "), "body", F.lit(" .")).alias("value"))
-    head = t.spark.range(1).select(F.lit("@prefix x: <http://x/> .").alias("value"))
-    return files.read_turtle(t.spark, _write_lines(head.unionByName(statements), "turtle"))
+    even = F.length("s") % 2 == 0
+    head = F.when(even, "@base <http://y/> .\n@prefix x: <z/> .\n").otherwise("PREFIX x: <http://x/>\n")
+    statements = bodies.select(even.alias("even"), F.concat(head, F.lit("x:"), "s", F.lit("\n  "), "body", F.lit(" .")).alias("value"))
+    path = staging_path(t.spark, "turtle")
+    statements.write.partitionBy("even").text(path)
+    return files.read_turtle(t.spark, path).select("s", "p", "o", "lang")
 
 
 @query(

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.fixed_values import LIST_SEPARATOR, TECHNICAL_KEYS
 from eventloom.functions.text import resolve_entities
 from eventloom.operators.quality import upsert
 from eventloom.session import stage
-from eventloom.sources import records, schemas
+from eventloom.sources import cutting, records, schemas, turtle
 
 
 # -- XML ------------------------------------------------------------------------------
@@ -21,17 +23,14 @@ from eventloom.sources import records, schemas
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str, named_entities: bool = False) -> DataFrame:
     """Records of one tag from XML files of any size.
 
-    Files are cut at the closing tag by the text source, which splits a single huge dump
-    over many tasks where the XML source reads a file in one. Each piece is then parsed by
-    ``from_xml``. ``row_tag`` is written as in the file, with its prefix if it has one;
-    records of the tag must not contain each other. ``named_entities`` resolves entities a
-    document type declares, such as ``&uuml;``, which the parser of a piece does not know.
+    Records are outermost elements of the tag, however deep they lie and whatever they hold;
+    see :mod:`eventloom.sources.cutting`. ``row_tag`` is written as in the file, with its prefix
+    if it has one. ``named_entities`` resolves entities a document type declares, such as
+    ``&uuml;``, which the parser of a record does not know.
     """
-    pieces = spark.read.option("lineSep", f"</{row_tag}>").text(path)
-    record = F.regexp_extract("value", rf"(?s)(<{row_tag}[\s>].*)$", 1)
-    whole = pieces.select(record.alias("record")).where("record <> ''").select(F.concat("record", F.lit(f"</{row_tag}>")).alias("record"))
+    record = cutting.cut(spark, path, partial(cutting.Elements, row_tag=row_tag)).select(F.col("text").alias("record"))
     piece = resolve_entities(F.col("record")) if named_entities else F.col("record")
-    return whole.select(F.from_xml(piece, schema, {"ignoreNamespace": "true", "rowTag": row_tag}).alias("r")).select("r.*")
+    return record.select(F.from_xml(piece, schema, {"ignoreNamespace": "true", "rowTag": row_tag}).alias("r")).select("r.*")
 
 
 def _own_text(value: Column) -> Column:
@@ -39,32 +38,26 @@ def _own_text(value: Column) -> Column:
     return F.regexp_replace(value, "(?s)<.*$", "")
 
 
-def xml_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """All records of a bibliography dump in one pass: ``kind``, attributes, repeated tags joined.
+def xml_records(spark: SparkSession, path: str, delimiter: str = ",", root: str = "dblp") -> DataFrame:
+    """All records of a bibliography dump: ``kind``, attributes, repeated tags joined.
 
-    Lines are read by the text source, which splits a single huge dump, and cut into records
-    inside each split; the few records that lie across two splits are put together from their
-    ends. No row is longer than one record.
+    Records are the elements inside the one named ``root``, or the outermost ones of a file
+    without it. A huge dump is cut inside its splits; see :mod:`eventloom.sources.cutting`.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("length")
-    )
-    schema = "part string, kind string, record string, path string, border bigint"
-    cut = stage(lines.mapInArrow(records.cut_records, schema), "records")
-    tails = cut.where("part = 'tail'").select("path", "border", F.col("record").alias("tail"))
-    heads = cut.where("part = 'head'").select("path", "border", F.col("record").alias("head"))
-    across = tails.join(heads, ["path", "border"]).select("tail", "head").mapInArrow(records.join_ends, schema)
-    found = cut.where("part = 'record'").unionByName(across).select("kind", "record")
-    parsed = found.select("kind", F.from_xml(resolve_entities(F.col("record")), schemas.BIBLIOGRAPHY, {"rowTag": "record"}).alias("r"))
+    found = cutting.cut(spark, path, partial(cutting.Elements, root=root)).withColumn("kind", F.regexp_extract("text", r"^<([^\s/>]+)", 1))
+    # the outer tag gets one name for all kinds
+    renamed = F.concat(F.lit("<record"), F.col("text").substr(F.length("kind") + 2, F.length("text")))
+    record = F.regexp_replace(renamed, r"</[^<>]*>$", "</record>")
+    parsed = found.select("kind", F.from_xml(resolve_entities(record), schemas.BIBLIOGRAPHY, {"rowTag": "record"}).alias("r"))
     joined = [
         F.when(F.col(f"r.`{tag}`").isNotNull(), F.concat_ws(delimiter, F.transform(f"r.`{tag}`", _own_text))).alias(tag) for tag in schemas.BIBLIOGRAPHY_TAGS
     ]
     return parsed.select("kind", *[F.col(f"r._{name}").alias(name) for name in schemas.BIBLIOGRAPHY_ATTRIBUTES], *joined)
 
 
-def xml_kinds(spark: SparkSession, path: str, kinds: list[str], delimiter: str = ",") -> dict[str, DataFrame]:
-    """One table per record tag of a bibliography dump, all from one pass over it."""
-    found = stage(xml_records(spark, path, delimiter), "kinds")
+def xml_kinds(spark: SparkSession, path: str, kinds: list[str], delimiter: str = ",", root: str = "dblp") -> dict[str, DataFrame]:
+    """One table per record tag of a bibliography dump, all from one reading of it."""
+    found = stage(xml_records(spark, path, delimiter, root), "kinds")
     return {kind: found.where(F.col("kind") == kind).drop("kind") for kind in kinds}
 
 
@@ -327,9 +320,11 @@ def _decoded(text: Column) -> Column:
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """N-Triples files as (s, p, o, lang); comments and blank lines are skipped.
 
-    Blank nodes keep their ``_:`` name; escapes are decoded.
+    Blank nodes keep their ``_:`` name; escapes are decoded. Any other line is an error.
     """
-    lines = spark.read.text(path).where(F.col("value").rlike(_TRIPLE))
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+    wrong = F.raise_error(F.concat(F.lit("not a triple: "), F.substring("value", 1, 200))).cast("string")
+    lines = lines.select(F.when(F.col("value").rlike(_TRIPLE), F.col("value")).otherwise(wrong).alias("value"))
 
     def group(i: int) -> Column:
         return F.regexp_extract("value", _TRIPLE, i)
@@ -343,26 +338,30 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_turtle(spark: SparkSession, path: str, separator: str = " .\n") -> DataFrame:
-    """Turtle files as (s, p, o, lang): prefixed names, and lists of predicates and objects.
+_DIRECTIVE = r"(?i)^(?:\s++|#[^\n]*+\n)*+@?(?:prefix|base)\s"
 
-    Files are cut where a statement ends, as dumps write it (``separator``); a split of a huge
-    file knows the prefixes from a first look for their declarations, which are few.
-    """
-    statements = spark.read.option("lineSep", separator).text(path)
-    declared = r"(?i)^\s*@?prefix\s+([^\s:]*):\s*<([^>]*)>"
-    heads = spark.read.text(path).where(F.col("value").rlike(declared))
-    names = heads.select(F.regexp_extract("value", declared, 1), F.regexp_extract("value", declared, 2)).distinct().collect()
-    prefixes = {row[0]: row[1] for row in names}
-    body = F.regexp_replace("value", r"(?im)^\s*@?(?:prefix|base)\s[^\n]*(?:\n|$)", "")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [t for text in batch.column(0).to_pylist() for t in records.turtle_triples(text, prefixes)]
-            columns = list(zip(*found, strict=True)) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["s", "p", "o", "lang"])
+def read_turtle(spark: SparkSession, path: str) -> DataFrame:
+    """Turtle files as (s, p, o, lang): prefixed names, lists, nested blank nodes, collections.
 
-    return statements.select(body.alias("value")).mapInArrow(run, "s string, p string, o string, lang string")
+    Files are cut into statements inside their splits, whatever their literals hold; see
+    :mod:`eventloom.sources.cutting`. Prefixes and the base hold from their place in a file to
+    the next declaration in it. Blank nodes without a label are named by file and place. What is
+    not Turtle, or uses a prefix that is not declared, is an error.
+    """
+    statements = cutting.cut(spark, path, cutting.Statements)
+    schema = "file bigint, start bigint, seq int, n int, name string, iri string"
+    directives = statements.where(F.col("text").rlike(_DIRECTIVE)).mapInArrow(turtle.find_directives, schema)
+    # a file may repeat its directives often; only those that change something are kept
+    order = ["start", "seq", "n"]
+    base = F.last(F.when(F.col("name").isNull(), F.col("iri")), ignorenulls=True).over(W.partitionBy("file").orderBy(*order))
+    given = F.struct("iri", F.when(~F.col("iri").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("base")).alias("base"))
+    before = F.lag("given").over(W.partitionBy("file", "name").orderBy(*order))
+    same = F.col("given").eqNullSafe(F.col("before")) & (F.col("name").isNotNull() | F.col("given.base").isNull())
+    changes = directives.withColumn("base", base).withColumn("given", given).withColumn("before", before).where(~same)
+    place = F.struct("start", "seq", "n", "name", "iri")
+    known = changes.groupBy("file").agg(F.to_json(F.array_sort(F.collect_list(place))).alias("directives"))
+    return statements.join(known, "file", "left").mapInArrow(turtle.read_statements, "s string, p string, o string, lang string")
 
 
 def escaped(text: Column) -> Column:

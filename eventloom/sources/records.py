@@ -1,88 +1,11 @@
-"""Small readers for text that regular expressions cannot take apart: dumps, markup, triples.
+"""Small readers for text that regular expressions cannot take apart: markup, escapes.
 
-Each works on one record or one line at a time inside a task's Arrow batches.
+Each works on one page or one literal at a time inside a task's Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-
-_START = re.compile(r"<([A-Za-z][\w.-]*)\s(?:[^<>]*\s)?key\s*=")
-
-
-class RecordCutter:
-    """Cuts the lines of one split into records: elements that have a ``key`` attribute.
-
-    What comes before the first record, and an unfinished one at the end, are kept as
-    ``head`` and ``tail``: they belong to a record that lies across splits. A record must
-    be shorter than a split.
-    """
-
-    def __init__(self):
-        self.text = ""
-        self.head: str | None = None
-
-    def add(self, line: str) -> Iterator[tuple[str, str]]:
-        self.text += line + "\n"
-        while True:
-            start = _START.search(self.text)
-            if start is None:
-                return
-            if self.head is None:
-                self.head = self.text[: start.start()]
-            close = f"</{start.group(1)}>"
-            end = self.text.find(close, start.end())
-            if end < 0:
-                return
-            # the outer tag gets one name for all kinds
-            yield start.group(1), "<record" + self.text[start.start() + 1 + len(start.group(1)) : end] + "</record>"
-            self.text = self.text[end + len(close) :]
-
-    def rest(self) -> tuple[str, str]:
-        if self.head is None:
-            return self.text, ""
-        return self.head, self.text
-
-
-def cut_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with their split (path, start, length) to records, heads and tails of the splits."""
-    split, cutter = None, RecordCutter()
-    for batch in batches:
-        rows: list[tuple] = []
-        for line, *place in zip(*[batch.column(n).to_pylist() for n in ("value", "path", "start", "length")], strict=True):
-            if split != place:
-                rows += _ends(split, cutter)
-                split, cutter = place, RecordCutter()
-            rows += [("record", kind, text, None, None) for kind, text in cutter.add(line)]
-        yield _rows(rows)
-    yield _rows(_ends(split, cutter))
-
-
-def _ends(split: list | None, cutter: RecordCutter) -> list[tuple]:
-    if split is None:
-        return []
-    path, start, length = split
-    head, tail = cutter.rest()
-    return [("head", None, head, path, start), ("tail", None, tail, path, start + length)]
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["part", "kind", "record", "path", "border"])
-
-
-def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records made of the tail of a split and the head of the next."""
-    for batch in batches:
-        rows: list[tuple] = []
-        for tail, head in zip(batch.column("tail").to_pylist(), batch.column("head").to_pylist(), strict=True):
-            rows += [("record", kind, text, None, None) for kind, text in RecordCutter().add(tail + head)]
-        yield _rows(rows)
-
 
 _TOKEN = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
 
@@ -127,54 +50,3 @@ def unescape(text: str) -> str:
     if "\\" not in text:
         return text
     return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _PLAIN.get(m[3], m[3]), text)
-
-
-_TURTLE = re.compile(
-    r"""\s+|\#[^\n]*|(?P<iri><[^>]*>)|(?P<long>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\")|(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
-    r"""|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<type>\^\^)|(?P<blank>_:[^\s;,<>"]*[^\s;,.<>"])|(?P<mark>[;,.\[\]()])|(?P<name>[^\s;,<>"\[\]()]*[^\s;,.<>"\[\]()])""",
-    re.DOTALL | re.VERBOSE,
-)
-
-
-def turtle_triples(statement: str, prefixes: dict[str, str]) -> list[tuple[str, str, str, str | None]]:
-    """(s, p, o, lang) of one Turtle statement (or several); inner blank nodes are not supported."""
-
-    def iri(token: re.Match) -> str:
-        if token.lastgroup == "iri":
-            return unescape(token.group()[1:-1])
-        if token.lastgroup == "blank":
-            return token.group()
-        prefix, colon, local = token.group().partition(":")
-        return prefixes[prefix] + local.replace("\\", "") if colon and prefix in prefixes else token.group()
-
-    out: list[tuple[str, str, str, str | None]] = []
-    subject = predicate = None
-    literal = False
-    tokens = [t for t in _TURTLE.finditer(statement) if t.lastgroup]
-    skip = False
-    for token in tokens:
-        kind, text = token.lastgroup, token.group()
-        if skip:  # the type behind ^^
-            skip = False
-        elif kind == "lang" and literal and out:
-            out[-1] = (*out[-1][:3], text[1:])
-        elif kind == "type":
-            skip = True
-        elif kind == "mark":
-            if text in "[]()":
-                raise ValueError(f"inner blank nodes and lists are not supported: {statement[:200]}")
-            if text == ".":
-                subject = predicate = None
-            elif text == ";":
-                predicate = None
-        elif subject is None:
-            subject = iri(token)
-        elif predicate is None:
-            predicate = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type" if text == "a" else iri(token)
-        else:
-            literal = kind in ("text", "long")
-            value = unescape(text[3:-3] if kind == "long" else text[1:-1]) if literal else iri(token)
-            out.append((subject, predicate, value, None))
-            continue
-        literal = literal and kind == "type"
-    return out

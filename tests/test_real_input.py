@@ -4,6 +4,9 @@ import json
 import os
 import subprocess
 import sys
+import time
+from contextlib import contextmanager
+from functools import partial
 
 import pytest
 from conftest import ROOT
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import titles
 from eventloom.operators import calls, locations, matching, quality, stats, words
-from eventloom.sources import files, pages, records
+from eventloom.sources import cutting, files, pages
 from eventloom.streaming import crawl
 
 
@@ -45,6 +48,65 @@ _:n1 gndo:place g:2, _:n2 .
     }
 
 
+def turtle_rows(spark, folder):
+    return sorted((tuple(r) for r in files.read_turtle(spark, str(folder)).collect()), key=repr)
+
+
+def test_prefixes_belong_to_files(spark, tmp_path):
+    """Also where a file changes one, and where a base makes it."""
+    (tmp_path / "a.ttl").write_text('@prefix p: <http://a/> .\np:s p:p "1" .\n@prefix p: <http://c/> .\np:s p:p "2" .\n')
+    (tmp_path / "b.ttl").write_text('@base <http://b/x/y> .\nPREFIX p: <p#>\np:s <q> <#f>, <> .\n<s1> <q> "z" .\nBASE <http://d/>\n<s1> a p:t .\n')
+    b = "http://b/x/"
+    assert turtle_rows(spark, tmp_path) == sorted(
+        [
+            ("http://a/s", "http://a/p", "1", None), ("http://c/s", "http://c/p", "2", None), (b + "p#s", b + "q", b + "y#f", None), (b + "p#s", b + "q", b + "y", None),
+            (b + "s1", b + "q", "z", None), ("http://d/s1", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", b + "p#t", None),
+        ],
+        key=repr,
+    )
+
+
+def test_literals_that_look_like_ends(spark, tmp_path):
+    """Long literals hold full stops, quotes and line breaks, in splits of any size."""
+    long = "line .\n\"two\" \"\" .\n# three ' .\n"
+    text = "@prefix x: <http://x/> .\n" + "".join(f'x:s{n} x:p """{long}"""@en, \'\'\'{long}\'\'\' ; x:q "a . \\"b" , 1.5 . # it\'s .\n' for n in range(300))
+    (tmp_path / "a.ttl").write_text(text)
+    wanted = sorted(
+        (row for n in range(300) for row in [(f"http://x/s{n}", "http://x/p", long, "en"), (f"http://x/s{n}", "http://x/p", long, None), (f"http://x/s{n}", "http://x/q", 'a . "b', None), (f"http://x/s{n}", "http://x/q", "1.5", None)]),
+        key=repr,
+    )
+    for size in (3_000, 1 << 20):
+        with split_size(spark, size):
+            assert turtle_rows(spark, tmp_path) == wanted
+
+
+def test_nested_nodes_and_collections(spark, tmp_path):
+    (tmp_path / "a.ttl").write_text('@prefix : <u:> .\n:s :p [ :q ( "a"@en [ :r 1 ] () ) ; a :T ; ], [] .\n[ :x :y ] .\n[ :x :y ] :z () .\n( 1 ) :p true .\n')
+    rows = turtle_rows(spark, tmp_path)
+    rdf = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    shape = sorted(tuple("_" if v and v.startswith("_:") else v for v in row) for row in [tuple(x or "" for x in r) for r in rows])
+    assert shape == sorted(
+        [("u:s", "u:p", "_", "")] * 2
+        + [("_", "u:q", "_", ""), ("_", rdf + "first", "a", "en"), ("_", rdf + "first", "_", ""), ("_", rdf + "first", rdf + "nil", ""), ("_", "u:r", "1", "")]
+        + [("_", rdf + "rest", "_", "")] * 2 + [("_", rdf + "rest", rdf + "nil", "")] * 2 + [("_", rdf + "type", "u:T", "")]
+        + [("_", "u:x", "u:y", "")] * 2 + [("_", "u:z", rdf + "nil", ""), ("_", rdf + "first", "1", ""), ("_", "u:p", "true", "")]
+    )
+    assert len({r[0] for r in rows if r[0].startswith("_:")}) == 8
+
+
+@pytest.mark.parametrize("text", ['x:s x:p "1" .', '<s> "p" <o> .', "<s> <p> .", "<s> <p> <o> ; <q> .", "<s> <p> <o>", "<s> <p> [ <q> .", '<s> <p> """x .\n', "<s> <p> o .", "<s> <p> <o> <o> ) ."])
+def test_what_is_not_turtle(spark, tmp_path, text):
+    (tmp_path / "a.ttl").write_text(text + "\n")
+    with pytest.raises(Exception, match="declared|not a Turtle|ends inside"):
+        files.read_turtle(spark, str(tmp_path)).collect()
+
+
+def test_lines_that_are_no_triples(spark, tmp_path):
+    (tmp_path / "a.nt").write_text("<a> <b> <c> .\n<a> <b> .\n")
+    with pytest.raises(Exception, match="not a triple"):
+        files.read_triples(spark, str(tmp_path)).collect()
+
+
 def test_template_values_hold_links_and_templates(spark):
     markup = "{{Event\n|Title=[[X|Y]] day\n|Series={{S|a=1|{{T}}}}\n|City=Rome\n|Empty=\n|note\n}} {{Event|City=other}}"
     df = spark.createDataFrame([("a", markup), ("b", "{{Event}}"), ("c", None), ("d", "{{Event series|City=x}}")], "pageTitle string, wikiMarkup string")
@@ -119,17 +181,69 @@ def test_records_of_many_kinds_and_across_splits(spark, tmp_path):
     body = "".join(f'<article mdate="2020-01-01" key="j/{n}">\n<title>T{n}</title>\n<ee>http://x/{n}</ee>\n</article>\n' for n in range(4000))
     rare = '<proceedings key="c/{0}" publtype="informal"><title>First\nline</title></proceedings>'
     (tmp_path / "dump.xml").write_text('<?xml version="1.0"?>\n<dblp>\n' + rare.format(1) + "\n" + body + rare.format(2) + "</dblp>\n")
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")
-    try:
+    with split_size(spark, 7001):
         found = files.xml_records(spark, str(tmp_path)).toPandas()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found["kind"].value_counts().to_dict() == {"article": 4000, "proceedings": 2}
     assert found["key"].nunique() == 4002 and set(found[found["kind"] == "proceedings"]["publtype"]) == {"informal"}
     assert set(found[found["kind"] == "article"]["title"]) == {f"T{n}" for n in range(4000)}
-    cutter = records.RecordCutter()
-    assert max(len(text) for line in (rare.format(1) + "\n" + body).split("\n") for _, text in cutter.add(line)) < 130
+
+
+@contextmanager
+def split_size(spark, size):
+    """Splits of so many bytes, also of files that would be cut by the number of cores."""
+    settings = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_records_of_any_length(spark, tmp_path):
+    """One record over many splits, some without a key, markup in comments, data and attributes."""
+    odd = '<www mdate="2020-01-01" x="a > b" y=\'"\'><!-- <www> --><title>T</title><note><![CDATA[ </www> ]]></note></www>\n<www/>'
+    long = "".join(f"<cite>c > {n}</cite>" for n in range(12000))
+    rows = [f'<article key="{n}"><title>T{n}</title>{long if n == 7 else ""}</article>' for n in range(20)]
+    (tmp_path / "dump.xml").write_text("<!DOCTYPE dblp [ <!ENTITY x '<y>'> ]>\n<dblp>" + "\n".join([odd, *rows, odd]) + "\n</dblp>\n")
+    for size in (30_000, 8 << 20):
+        with split_size(spark, size):
+            found = files.xml_records(spark, str(tmp_path)).toPandas()
+        assert found["kind"].value_counts().to_dict() == {"article": 20, "www": 4} and set(found["key"].dropna()) == {str(n) for n in range(20)}
+        assert found["cite"].str.len().max() == len(",".join(f"c > {n}" for n in range(12000)))
+        assert found[found["kind"] == "www"]["title"].dropna().tolist() == ["T", "T"]
+
+
+def test_records_between_many_others(spark, tmp_path):
+    """Two records of a tag, one nested in itself, between 200,000 foreign ones in one line."""
+    other = "<o><t>x</t></o>" * 200_000
+    hit = "<r id='{0}'><t>{0}</t><r id='inner'><t>no</t></r></r>"
+    (tmp_path / "a.xml").write_text("<all>" + hit.format(1) + other + hit.format(2) + "</all>")
+    with split_size(spark, 300_000):
+        texts = cutting.cut(spark, str(tmp_path), partial(cutting.Elements, row_tag="r")).collect()
+        rows = files.read_xml(spark, str(tmp_path), "r", "_id string, t array<string>").collect()
+    assert sorted(r["text"] for r in texts) == [hit.format(1), hit.format(2)]
+    assert sorted((r["_id"], r["t"]) for r in rows) == [("1", ["1"]), ("2", ["2"])]
+
+
+@pytest.mark.parametrize("body", ["<dblp><a><b></a></dblp>", "<dblp><a>", "<dblp><a></a></a></dblp>", "<dblp><!-- x <a></a></dblp>", '<dblp><a x="></a></dblp>'])
+def test_broken_dumps(spark, tmp_path, body):
+    (tmp_path / "dump.xml").write_text(body)
+    with pytest.raises(ValueError, match="inside a record|end tag"):
+        files.xml_records(spark, str(tmp_path))
+
+
+def test_cutting_is_linear():
+    """Text that ends no record is searched once, and many records are cut from one text."""
+    began = time.perf_counter()
+    for text in ("<a><b>x</b>" + "<b>y > z</b>" * 700_000, "<r>x</r>" * 200_000):
+        scanner, size = cutting.Elements(), 0
+        for first in range(0, len(text), 100_000):
+            part = text[first : first + 100_000]
+            size += len(scanner.feed(part[: part.rindex(">") + 1]))
+    assert time.perf_counter() - began < 20
 
 
 def test_newer_file_wins_within_one_batch(spark, tmp_path):
