@@ -12,8 +12,12 @@ from eventloom.fixed_values import (
     ORDINAL_WORDS,
     PLACE_TIME_PATTERN,
     TENS_WORDS,
+    TITLE_CITIES,
+    TITLE_COUNTRIES,
+    TITLE_PROVINCES,
     TITLE_SEPARATORS,
     TITLE_VOCABULARY,
+    TITLE_YEARS,
     VOLUME_DISTRIBUTION_PATTERN,
     VOLUME_LETTERS,
     VOLUME_PATTERN,
@@ -51,10 +55,11 @@ def ordinal_word_values() -> dict[str, int]:
     return words
 
 
-def title_dictionary() -> list[tuple[str, str, int | None]]:
-    """(word, type, value) rows: fixed categories, and month names and ordinals built by rule.
+def title_dictionary() -> list[tuple[str, str, int | None, str | None]]:
+    """(word, type, value, item) rows: fixed categories, and years, months and ordinals built by rule.
 
-    Entries may have several words.
+    Entries may have several words. ``value`` is the number a word stands for, ``item`` the
+    Wikidata item of a country.
     """
     rows = [(word, kind, None) for word, kind in TITLE_VOCABULARY]
     rows += [(name, "month", i) for i, name in enumerate(MONTHS, start=1)]
@@ -63,7 +68,10 @@ def title_dictionary() -> list[tuple[str, str, int | None]]:
     for roman, value in roman_values().items():
         suffix = {1: "st", 2: "nd", 3: "rd"}.get(value % 10 if value // 10 != 1 else 0, "th")
         rows += [(f"{value}{suffix}", "enum", value), (f"{value}.", "enum", value), (f"{roman}.", "enum", value)]
-    return rows + [(word, "enum", value) for word, value in ODD_ORDINALS]
+    rows += [(word, "enum", value) for word, value in ODD_ORDINALS]
+    rows += [(str(year), "year", year) for year in range(TITLE_YEARS[0], TITLE_YEARS[1] + 1)]
+    rows += [(name, "province", None) for name in TITLE_PROVINCES] + [(name, "city", None) for name in TITLE_CITIES]
+    return [(*row, None) for row in rows] + [(name, "country", None, item) for name, item in TITLE_COUNTRIES]
 
 
 def ordinals(title: Column) -> Column:

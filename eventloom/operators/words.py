@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,74 +11,107 @@ from eventloom.functions.titles import title_dictionary, title_words
 from eventloom.session import literal_rows
 
 
-def dictionary(spark: SparkSession) -> DataFrame:
-    """The fixed title dictionary: about 700 rows, whatever the data.
+def _normal(name: str) -> Column:
+    """The words of a name as those of a title are written, one space between them."""
+    return F.array_join(F.filter(title_words(F.col(name)), lambda w: w != ""), " ")
+
+
+def _first(phrase: str) -> Column:
+    return F.substring_index(phrase, " ", 1)
+
+
+def _length(phrase: str) -> Column:
+    return F.size(F.split(phrase, " "))
+
+
+def dictionary(spark: SparkSession, cities: bool = True) -> DataFrame:
+    """The fixed title dictionary: about 950 rows, whatever the data.
 
     Entries are written as the words of a title are; what a title's separators leave nothing
     of (``-``) can be no word of it.
     """
-    rows = literal_rows(spark, "entry string,type string,value int", title_dictionary())
-    phrase = F.array_join(F.filter(title_words(F.col("entry")), lambda w: w != ""), " ")
-    return rows.select(phrase.alias("word"), "type", "value").where("word <> ''")
+    entries = [row for row in title_dictionary() if cities or row[1] != "city"]
+    rows = literal_rows(spark, "entry string,type string,value int,item string", entries)
+    return rows.select(_normal("entry").alias("word"), "type", "value", "item").where("word <> ''")
+
+
+def _split(titles: DataFrame, key: str, text: str, more: Iterable[Column] = ()) -> DataFrame:
+    """Titles with their words that are not empty: ``pos`` counts the empty ones, too."""
+    placed = F.transform(title_words(F.col(text)), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    return titles.select(key, *more, F.filter(placed, lambda w: w["word"] != "").alias("_words"))
 
 
-def _phrases(titles: DataFrame, key: str, text: str, longest: int, *more: Column) -> DataFrame:
-    """Phrases of one to ``longest`` words: ``nth`` and ``pos`` of the first word, ``length``, ``phrase``.
+def _entries(titles: DataFrame, key: str, text: str, entries: DataFrame, more: Iterable[Column] = (), keep: bool = False) -> DataFrame:
+    """Entries of the dictionary in titles: ``pos``, ``word`` and what else the entries have.
 
-    ``pos`` counts the empty words between two separators, ``nth`` does not. Every word is
-    laid side by side with those behind it, so a row holds a few words however long the text.
+    The dictionary has a fixed size. Its first words are part of the plan: a title's words meet
+    them in place, and only those that begin an entry become rows with the words behind
+    them. ``keep`` keeps titles without any, and words that only begin like an entry, as rows without an entry.
     """
-    placed = F.transform(title_words(F.col(text)), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
-    split = titles.select(key, *more, F.filter(placed, lambda w: w["word"] != "").alias("_words"))
-    behind = [F.slice("_words", n + 1, F.greatest(F.size("_words"), F.lit(1))).alias(f"w{n}") for n in range(longest)]
+    rows = entries.withColumns({"first": _first("word"), "n": _length("word")}).collect()
+    firsts, longest = sorted({row["first"] for row in rows}), max(row["n"] for row in rows)
+    numbered = F.transform("_words", lambda w, n: F.struct(n.alias("nth"), w["word"].alias("word"), w["pos"].alias("pos")))
+    begun = F.filter(numbered, lambda w: w["word"].isin(firsts))
+    hits = F.transform(begun, lambda w: F.struct(w["pos"].alias("pos"), w["word"].alias("first"), F.slice(F.col("_words"), w["nth"] + 1, longest)["word"].alias("words")))
+    split = _split(titles, key, text, more)
     kept = [c for c in split.columns if c != "_words"]
-    rows = split.select(*kept, F.posexplode_outer(F.arrays_zip(*behind)).alias("nth", "w"))
-    word = [F.col(f"w.w{n}") for n in range(longest)]
-    phrases = [
-        F.when(word[n].isNotNull(), F.struct(F.lit(n + 1).alias("length"), F.concat_ws(" ", *[w["word"] for w in word[: n + 1]]).alias("phrase")))
-        for n in range(longest)
-    ]
-    found = rows.select(*kept, "nth", F.col("w.w0.pos").alias("pos"), F.explode_outer(F.filter(F.array(*phrases), lambda f: f.isNotNull())).alias("f"))
-    return found.select(*kept, "nth", "pos", "f.length", "f.phrase")
+    found = split.select(*kept, (F.explode_outer if keep else F.explode)(hits).alias("h")).select(*kept, "h.*")
+    known = F.broadcast(entries.withColumns({"_first": _first("word"), "_n": _length("word")}))
+    same = (F.col("first") == F.col("_first")) & (F.array_join(F.slice("words", 1, F.col("_n")), " ") == F.col("word"))
+    return found.join(known, same, "left" if keep else "inner").select(*kept, "pos", *entries.columns)
+
+
+def _named(titles: DataFrame, key: str, text: str, names: DataFrame, name: str, more: Iterable[Column] = ()) -> DataFrame:
+    """Names of a table of any size in titles: ``nth`` and ``pos`` of the first word, ``length``, and the name's row.
+
+    The names' first words with the lengths of the names that they begin are an index; a
+    title's words meet it, and a phrase is built only where one begins a name. Both steps are
+    equi-joins; the planner broadcasts a side only if its size allows it. Names are compared as
+    titles are written, so hyphens and apostrophes count as spaces.
+    """
+    named = names.withColumn("_phrase", _normal(name)).where("_phrase <> ''").distinct()
+    index = named.select(_first("_phrase").alias("_first"), _length("_phrase").alias("length")).distinct()
+    longest = index.agg(F.max("length")).first()[0] or 1
+    split = _split(titles, key, text, more)
+    kept = [c for c in split.columns if c != "_words"]
+    # every word side by side with those behind it, so a row holds a few words however long the text
+    behind = [F.slice("_words", n + 1, F.greatest(F.size("_words"), F.lit(1))).alias(f"w{n}") for n in range(longest)]
+    rows = split.select(*kept, F.posexplode(F.arrays_zip(*behind)).alias("nth", "w"))
+    rows = rows.select(*kept, "nth", F.col("w.w0.pos").alias("pos"), F.col("w.w0.word").alias("_first"), F.array(*[F.col(f"w.w{n}.word") for n in range(longest)]).alias("_behind"))
+    begun = rows.join(index, "_first")
+    whole = F.element_at("_behind", F.col("length")).isNotNull()
+    phrases = begun.where(whole).select(*kept, "nth", "pos", "length", F.array_join(F.slice("_behind", 1, F.col("length")), " ").alias("_phrase"))
+    return phrases.join(named, "_phrase").drop("_phrase")
 
 
 def annotate(titles: DataFrame, key: str, text: str, cities: DataFrame | None = None) -> DataFrame:
-    """Dictionary entries in titles as (key, pos, word, type, value).
+    """Dictionary entries in titles as (key, pos, word, type, value, item).
 
-    The dictionary has a fixed size, so it is broadcast and no title is moved. Names of
-    ``cities`` (column ``city``) are annotated too, by an equi-join.
+    A table of ``cities`` (columns ``city`` and, if known, ``item``) takes the place of the few that the
+    dictionary has.
     """
-    longest = max(len(word.split()) for word, *_ in title_dictionary())
-    phrases = _phrases(titles, key, text, longest + 1)  # a hyphen makes two words
-    words = phrases.select(key, "pos", F.col("phrase").alias("word"))
-    found = words.join(F.broadcast(dictionary(titles.sparkSession)), "word").select(key, "pos", "word", "type", "value")
+    columns = [key, "pos", "word", "type", "value", "item"]
+    found = _entries(titles, key, text, dictionary(titles.sparkSession, cities is None)).select(*columns)
     if cities is None:
         return found
-    named = city_phrases(titles, key, text, cities, raw_positions=True)
-    return found.unionByName(named.select(key, "pos", F.col("city").alias("word"), F.lit("city").alias("type"), F.lit(None).cast("int").alias("value")))
+    item = F.col("item") if "item" in cities.columns else F.lit(None).cast("string")
+    named = _named(titles, key, text, cities.select("city", item.alias("item")), "city")
+    return found.unionByName(named.select(key, "pos", F.col("city").alias("word"), F.lit("city").alias("type"), F.lit(None).cast("int").alias("value"), "item"))
 
 
-def city_phrases(titles: DataFrame, key: str, text: str, cities: DataFrame, longest: int | None = None, raw_positions: bool = False) -> DataFrame:
-    """City names as (key, pos, length, city); positions count words, or with empty ones.
+def city_phrases(titles: DataFrame, key: str, text: str, cities: DataFrame) -> DataFrame:
+    """City names in titles as (key, pos, length, city); positions and lengths count words.
 
-    Phrases have up to as many words as the longest name, if ``longest`` does not say
-    otherwise. They meet the names in an equi-join; the planner broadcasts the names only if
-    their size allows it.
+    ``city`` is the name as the table writes it; hyphens and apostrophes count as spaces.
     """
-    names = cities.select("city").distinct()
-    if longest is None:
-        longest = names.agg(F.max(F.size(F.split("city", " ")))).first()[0] or 1
-    place = "pos" if raw_positions else "nth"
-    phrases = _phrases(titles, key, text, longest).select(key, F.col(place).alias("pos"), "length", F.col("phrase").alias("city"))
-    return phrases.join(names, "city").select(key, "pos", "length", "city")
+    found = _named(titles, key, text, cities.select("city"), "city")
+    return found.select(key, F.col("nth").alias("pos"), "length", "city")
 
 
 def _categories(titles: DataFrame, key: str, text: str) -> DataFrame:
     """Per title its co-location flag and the entries of it that are in the dictionary, or nulls."""
-    longest = max(len(word.split()) for word, *_ in title_dictionary())
-    phrases = _phrases(titles, key, text, longest + 1, F.col(text).contains("co-located").alias("coLocated"))
-    words = phrases.select(key, "coLocated", F.col("phrase").alias("word"))
-    return words.join(F.broadcast(dictionary(titles.sparkSession)), "word", "left")
+    colocated = F.col(text).contains("co-located").alias("coLocated")
+    return _entries(titles, key, text, dictionary(titles.sparkSession), [colocated], keep=True).select(key, "coLocated", "word", "type", "value")
 
 
 def category_distribution(titles: DataFrame, key: str, text: str, category: str) -> DataFrame:
@@ -102,12 +137,12 @@ def category_combinations(titles: DataFrame, key: str, text: str, category: str)
 
 def contradictions(titles: DataFrame, key: str, text: str, acronyms: DataFrame) -> DataFrame:
     """Titles naming several ordinals or several known acronyms, counted by co-location."""
-    words = _categories(titles, key, text).join(
-        acronyms.select(F.col("acronym").alias("word")).distinct().withColumn("acronym", F.col("word")), "word", "left"
-    )
-    ordinal = F.when(F.col("type") == "enum", F.col("value"))
+    ordinal = F.when(F.col("type") == "enum", F.col("value")).alias("ordinal")
+    entries = _categories(titles, key, text).select(key, "coLocated", ordinal, F.lit(None).cast("string").alias("acronym"))
+    named = _named(titles, key, text, acronyms.select(F.col("acronym").cast("string").alias("acronym")), "acronym", [F.col(text).contains("co-located").alias("coLocated")])
+    words = entries.unionByName(named.select(key, "coLocated", F.lit(None).cast("int").alias("ordinal"), "acronym"))
     per_title = words.groupBy(key, "coLocated").agg(
-        (F.min(ordinal) < F.max(ordinal)).alias("ordinals"), (F.min("acronym") < F.max("acronym")).alias("acronyms")
+        (F.min("ordinal") < F.max("ordinal")).alias("ordinals"), (F.min("acronym") < F.max("acronym")).alias("acronyms")
     )
     ordinals, names = F.coalesce("ordinals", F.lit(False)), F.coalesce("acronyms", F.lit(False))
     return per_title.groupBy("coLocated").agg(

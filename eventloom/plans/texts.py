@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.fixed_values import ORDINAL_WORDS, TENS_WORDS, TITLE_VOCABULARY
+from eventloom.fixed_values import ORDINAL_WORDS, TENS_WORDS, TITLE_CITIES, TITLE_COUNTRIES, TITLE_PROVINCES, TITLE_VOCABULARY
 from eventloom.functions import dates, titles
 from eventloom.functions.text import isbn_type, to_isbn13
 from eventloom.operators import calls, words
@@ -186,7 +186,9 @@ def title_words(t: Tables):
     return per_title.groupBy("word").agg(F.sum("n").alias("count"), F.count("*").alias("titles"))
 
 
-_CATEGORIES = ", ".join(f"""('{word.replace("'", "''")}', '{kind}')""" for word, kind in TITLE_VOCABULARY)
+_PLACES = [(name, "city") for name in TITLE_CITIES] + [(name, "province") for name in TITLE_PROVINCES] + [(name, "country") for name, _ in TITLE_COUNTRIES]
+_CATEGORIES = ", ".join(f"""('{word.replace("'", "''")}', '{kind}')""" for word, kind in TITLE_VOCABULARY + _PLACES)
+_ITEMS = ", ".join(f"('{name}', '{item}')" for name, item in TITLE_COUNTRIES)
 
 # ordinals and months by rules of their own; entries split as titles are
 _DICTIONARY = f""", n(v) AS (SELECT unnest(range(1, 100))),
@@ -204,11 +206,14 @@ _DICTIONARY = f""", n(v) AS (SELECT unnest(range(1, 100))),
     UNION ALL SELECT * FROM (VALUES ('1', 'enum', 1), ('2', 'enum', 2), ('11st', 'enum', 11), ('12nd', 'enum', 12), ('13rd', 'enum', 13), ('21th', 'enum', 21),
       ('31th', 'enum', 31), ('41th', 'enum', 41), ('51th', 'enum', 51), ('II', 'enum', 2), ('III', 'enum', 3), ('Eight', 'enum', 8),
       ('Twenty-third', 'enum', 23), ('Twenty-seventh', 'enum', 27))
-    UNION ALL SELECT monthname(make_date(2000, CAST(v AS INTEGER), 1)), 'month', v FROM n WHERE v < 13),
-  d AS (SELECT trim(regexp_replace(translate(entry, '/()#,;-@''´`', '           '), ' +', ' ', 'g')) AS word, type, value FROM entries)"""
+    UNION ALL SELECT monthname(make_date(2000, CAST(v AS INTEGER), 1)), 'month', v FROM n WHERE v < 13
+    UNION ALL SELECT CAST(y AS VARCHAR), 'year', y FROM range(1960, 2030) r(y)),
+  items(name, item) AS (VALUES {_ITEMS}),
+  d AS (SELECT trim(regexp_replace(translate(entry, '/()#,;-@''´`', '           '), ' +', ' ', 'g')) AS word, type, value, item
+    FROM entries LEFT JOIN items ON name = entry AND type = 'country')"""
 
 
-_LINES = "('10. Workshop XIV. held at Rome' || chr(10) || text)"
+_LINES = "('10. Workshop XIV. held at Rome, New York City, (California) and Great Britain / Québec in 1999 ' || chr(10) || text)"
 
 
 @query(
@@ -221,17 +226,18 @@ _LINES = "('10. Workshop XIV. held at Rome' || chr(10) || text)"
   g AS (SELECT doc_id, pos, word FROM l UNION ALL SELECT doc_id, pos, word || ' ' || w2 FROM l WHERE w2 IS NOT NULL
     UNION ALL SELECT doc_id, pos, word || ' ' || w2 || ' ' || w3 FROM l WHERE w3 IS NOT NULL
     UNION ALL SELECT doc_id, pos, word || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM l WHERE w4 IS NOT NULL)
-SELECT doc_id, CAST(pos AS INTEGER) AS pos, g.word, type, CAST(value AS INTEGER) AS value FROM g JOIN d ON g.word = d.word WHERE d.word <> ''""",
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, g.word, type, CAST(value AS INTEGER) AS value, item FROM g JOIN d ON g.word = d.word WHERE d.word <> ''""",
 )
 def title_annotate(t: Tables):
-    """Documents behind a line of title words: numbers with full stops, and a phrase of two words."""
-    titled = t.documents.select("doc_id", F.concat(F.lit("10. Workshop XIV. held at Rome\n"), "text").alias("text"))
+    """Documents behind a line of title words: numbers with full stops, places, a year, and phrases."""
+    line = F.lit("10. Workshop XIV. held at Rome, New York City, (California) and Great Britain / Québec in 1999 \n")
+    titled = t.documents.select("doc_id", F.concat(line, "text").alias("text"))
     return words.annotate(titled, "doc_id", "text")
 
 
 def _place():
-    """Names of two words, every seventh of five."""
-    return F.when(F.col("p_partkey") % 7 == 0, F.concat("p_name", F.lit(" of the coast"))).otherwise(F.col("p_name"))
+    """Names of two words, every seventh of five, with a hyphen and an apostrophe."""
+    return F.when(F.col("p_partkey") % 7 == 0, F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(" of th' coast"))).otherwise(F.col("p_name"))
 
 
 def _held_in(t: Tables):
@@ -248,7 +254,7 @@ def _held_in(t: Tables):
     """WITH n AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS "titleId", p_name, p_partkey % 7 = 0 AS far
   FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT "titleId", 3 AS pos, 2 AS length, p_name AS city FROM n WHERE p_name IN (SELECT p_name FROM part WHERE p_partkey % 7 <> 0)
-UNION ALL SELECT "titleId", 3, 5, p_name || ' of the coast' FROM n WHERE far
+UNION ALL SELECT "titleId", 3, 5, replace(p_name, ' ', '-') || ' of th'' coast' FROM n WHERE far
 UNION ALL SELECT "titleId", CASE WHEN far THEN 9 ELSE 6 END, 1, 'ring' FROM n UNION ALL SELECT "titleId", 4, 1, 'ring' FROM n WHERE p_name LIKE '% ring'""",
 )
 def city_phrases(t: Tables):

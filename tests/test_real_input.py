@@ -134,9 +134,10 @@ def test_ordinal_forms(spark, title, expected):
 
 def test_vocabulary_is_complete(spark):
     rows = titles.title_dictionary()
-    kinds = {kind: len({w for w, k, _ in rows if k == kind}) for kind in {k for _, k, _ in rows}}
+    kinds = {kind: len({row[0] for row in rows if row[1] == kind}) for kind in {row[1] for row in rows}}
     assert kinds == {
         "enum": 509, "field": 86, "scope": 31, "syntax": 24, "eventType": 20, "organization": 16, "month": 12, "frequency": 12, "extract": 11, "publish": 6, "delimiter": 4,
+        "country": 95, "province": 19, "year": 70, "city": 63,
     }
     df = spark.createDataFrame([(1, "Summit & round-table discussion, held at New York")], "k int, t string")
     cities = spark.createDataFrame([("New York",), ("York",)], "city string")
@@ -144,6 +145,32 @@ def test_vocabulary_is_complete(spark):
     assert found == {("Summit", "eventType"), ("&", "delimiter"), ("round table discussion", "eventType"), ("held at", "syntax"), ("at", "syntax"), ("New York", "city"), ("York", "city")}
 
 
+def test_places_and_years(spark):
+    df = spark.createDataFrame([(1, "Days in Québec, New Zealand and Las Vegas, 1961/2029 (2030)")], "k int, t string")
+    found = {(r.pos, r.word, r.type, r.value, r.item) for r in words.annotate(df, "k", "t").where("type IN ('country', 'province', 'city', 'year')").collect()}
+    assert found == {
+        (2, "Québec", "province", None, None), (4, "New Zealand", "country", None, "Q664"), (7, "Las Vegas", "city", None, None), (10, "1961", "year", 1961, None),
+        (11, "2029", "year", 2029, None),
+    }
+
+
+def test_city_of_published_titles(spark):
+    """One city each, with its item; names with separators; a first word that begins several names."""
+    rows = [
+        ("Q1297", "Proceedings of the Twenty-Third AAAI Conference on Artificial Intelligence and the Twentieth Innovative Applications of Artificial Intelligence Conference : 13-17 July 2008, Chicago, Illinois, USA ; Vol. 2"),
+        ("Q65", "12th IEEE International Conference on Nano/Micro Engineered and Molecular Systems, NEMS 2017, Los Angeles, CA, USA, April 9-12, 2017"),
+        ("Q8678", "1st Latin American Network Operations and Management Symposium, LANOMS 1999, Rio de Janeiro, Brazil, December 3-5, 1999"),
+        ("Q60", "1960 proceedings of Instrument Society of America 15th Annual Instrument-Automation Conference and Exhibit, New York City, New York, September 26 - 30, 1960 ; Pt. 2"),
+        ("Q46", "Days, Saint-Denis"), ("Q47", "Days at St. John's, Canada"), ("Q48", "Days, St. Louis; Xi'an"),
+    ]
+    names = [("Chicago", "Q1297"), ("Los Angeles", "Q65"), ("Los Alamos", "Q1"), ("Rio de Janeiro", "Q8678"), ("New York City", "Q60"), ("Saint-Denis", "Q46"), ("St. John's", "Q47"), ("St. Louis", "Q48"), ("-", "Q0")]
+    df = spark.createDataFrame(rows, "k string, t string")
+    found = words.annotate(df, "k", "t", spark.createDataFrame(names, "city string, item string")).where("type = 'city'").collect()
+    assert sorted((r.k, r.item) for r in found) == sorted((k, k) for k, _ in rows)
+    empty = words.city_phrases(df, "k", "t", spark.createDataFrame([], "city string"))
+    assert empty.collect() == []
+
+
 def test_zipf_search_is_unbounded(spark):
     counts = spark.createDataFrame([(1, 10**9), (2, 1)], "x int, f long")
     assert stats.zipf_fit(counts).first()["b"] == pytest.approx(29.897, abs=0.002)
