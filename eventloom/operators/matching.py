@@ -19,6 +19,9 @@ from eventloom.operators.joins import match_records
 from eventloom.operators.series import dedup_by_title
 from eventloom.session import stage
 
+# Ids that more labels hold than this are not joined with all of them.
+_MANY = 64
+
 # Label of each outcome, and the one the original evaluation stores for it.
 REFERENCE_LABELS = {"TP": "TP", "FP": "TN", "FN": "FN", "TN": "FP"}
 
@@ -46,14 +49,32 @@ def truth_lookup(truth: DataFrame) -> DataFrame:
 
 
 def prepare_truth(truth: DataFrame) -> DataFrame:
-    """Distinct (name, id, label) rows with ``last`` 1 on the record an id stands for.
+    """Distinct (name, id, label) rows with ``last`` 1 on the record an id stands for, and how many ``labels`` hold it.
 
     Written to the staging folder, as every step of an evaluation joins it.
     """
     members = truth.groupBy("name", "id", "label").agg(F.max("pos").alias("pos"))
-    newest = members.groupBy("name", "id").agg(F.max(F.struct("pos", "label")).alias("_newest"))
+    newest = members.groupBy("name", "id").agg(F.max(F.struct("pos", "label")).alias("_newest"), F.count("*").alias("labels"))
     last = F.when(F.struct("pos", "label") == F.col("_newest"), 1).otherwise(0)
-    return stage(members.join(newest, ["name", "id"]).select("name", "id", "label", last.alias("last")), "truth")
+    return stage(members.join(newest, ["name", "id"]).select("name", "id", "label", last.alias("last"), "labels"), "truth")
+
+
+def _held(ids: DataFrame, prepared: DataFrame, many: int) -> DataFrame:
+    """(record, name, id, label, last): the truth labels that hold each id of a record, null if none does.
+
+    Of an id with ``many`` labels these are its last one and those that other ids of its record
+    stand for, as only they can make a match. So no id costs more rows than it has in records and truth.
+    """
+    few = prepared.where((F.col("labels") <= many) | (F.col("last") == 1))
+    found = ids.join(few, ["name", "id"], "left").select("record", "name", "id", "label", "last", "labels")
+    frequent = prepared.where((F.col("labels") > many) & (F.col("last") == 0))
+    if frequent.isEmpty():
+        return found.drop("labels")
+    found = stage(found, "held")
+    known = found.where("last = 1").select("record", F.col("label").alias("other")).distinct()
+    wanted = found.where(F.col("labels") > many).join(known, "record").where("other <> label").select("record", "name", "id", F.col("other").alias("label"))
+    more = wanted.join(frequent.select("name", "id", "label"), ["name", "id", "label"], "left_semi")
+    return found.drop("labels").unionByName(more.select("record", "name", "id", "label", F.lit(0).alias("last")))
 
 
 def _name_pairs(names: list[str]) -> list[tuple[str, str]]:
@@ -95,74 +116,70 @@ def present_pairs(records: DataFrame, names: list[str]) -> DataFrame:
     return left.join(right, "record").where("_at1 < _at2").drop("_at1", "_at2")
 
 
-def missed_pairs(records: DataFrame, prepared: DataFrame, names: list[str]) -> DataFrame:
+def missed_pairs(ids: DataFrame, prepared: DataFrame, names: list[str]) -> DataFrame:
     """Related truth ids that a record lacks: the negative predictions that are wrong.
 
-    Found by joining labels, so only related ids are ever paired.
+    Ids are related if a label is the last one of either. Related ids are found once for each
+    id that records use, not for each record.
     """
     pairs = [(a, b) for a, b in _name_pairs(names) if "series" not in a.lower()]
+    first, second = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
     allowed = F.concat("name1", F.lit(">"), "name2").isin([f"{a}>{b}" for a, b in pairs])
-    own = prepared.select(F.col("name").alias("name1"), F.col("id").alias("id1"), "label", F.col("last").alias("last1"))
-    other = prepared.select(F.col("name").alias("name2"), F.col("id").alias("id2"), "label", F.col("last").alias("last2"))
-    ids = records.where(F.col("name").isin([a for a, _ in pairs])).select(
-        "record", F.col("name").alias("name1"), F.col("id").alias("id1")
-    )
-    # related: the label is the last one of either id
-    related = ids.join(own, ["name1", "id1"]).join(other, "label").where(allowed & ((F.col("last1") == 1) | (F.col("last2") == 1)))
-    present = records.select("record", F.col("name").alias("name2"), F.col("id").alias("id2"))
-    missing = related.select("record", "name1", "id1", "name2", "id2").join(present, ["record", "name2", "id2"], "left_anti")
-    return missing.distinct()
-
-
-def evaluate(records: DataFrame, truth: DataFrame, names: list[str]) -> DataFrame:
+    used = ids.where(F.col("name").isin(first)).select("name", "id").distinct()
+    own = prepared.where(F.col("name").isin(first)).join(used, ["name", "id"], "left_semi")
+    own = own.select(F.col("name").alias("name1"), F.col("id").alias("id1"), "label", F.col("last").alias("last1"))
+    other = prepared.where(F.col("name").isin(second)).select(F.col("name").alias("name2"), F.col("id").alias("id2"), "label", F.col("last").alias("last2"))
+    by_own = own.where("last1 = 1").join(other, "label").where(allowed)
+    by_other = own.where("last1 = 0").join(other.where("last2 = 1"), "label").where(allowed)
+    columns = ["name1", "id1", "name2", "id2"]
+    related = by_own.select(*columns).unionByName(by_other.select(*columns)).distinct()
+    present = ids.select("record", F.col("name").alias("name2"), F.col("id").alias("id2"))
+    named = ids.select("record", F.col("name").alias("name1"), F.col("id").alias("id1"))
+    return named.join(related, ["name1", "id1"]).join(present, ["record", "name2", "id2"], "left_anti").select("record", *columns)
+
+
+def evaluate(records: DataFrame, truth: DataFrame, names: list[str], many: int = _MANY) -> DataFrame:
     """Result rows (record, name1, id1, name2, id2, label, refLabel).
 
     Holds all positive predictions and the wrong negative ones; the right negative ones
-    (``TN``) only exist as counts, see :func:`confusion`.
+    (``TN``) only exist as counts, see :func:`confusion`. Every id carries the label it stands for
+    and those that hold it, so a pair is judged by its own two rows.
     """
     prepared = prepare_truth(truth)
-    lookup = prepared.where("last = 1").select("name", "id", "label")
-    labelled = stage(records.join(lookup, ["name", "id"], "left").select("record", "name", "id", "label"), "labelled")
-    pairs = present_pairs(labelled, names)
-    for own, other in ((1, 2), (2, 1)):
-        hit = prepared.select(
-            F.col("label").alias(f"label{own}"),
-            F.col("name").alias(f"name{other}"),
-            F.col("id").alias(f"id{other}"),
-            F.lit(True).alias(f"_hit{own}"),
-        )
-        pairs = pairs.join(hit, [f"label{own}", f"name{other}", f"id{other}"], "left")
-    outcome = F.when(F.coalesce("_hit1", "_hit2", F.lit(False)), "TP").otherwise("FP")
-    positive = pairs.select("record", "name1", "id1", "name2", "id2", outcome.alias("label"))
-    missed = missed_pairs(labelled.drop("label"), prepared, names).withColumn("label", F.lit("FN"))
+    ids = stage(records.select("record", "name", "id").distinct(), "ids")
+    label = F.max(F.when(F.col("last") == 1, F.col("label"))).alias("label")
+    labelled = stage(_held(ids, prepared, many).groupBy("record", "name", "id").agg(label, F.collect_set("label").alias("held")), "labelled")
+    hit = F.coalesce(F.array_contains("held2", F.col("label1")), F.lit(False)) | F.coalesce(F.array_contains("held1", F.col("label2")), F.lit(False))
+    outcome = F.when(hit, "TP").otherwise("FP")
+    positive = present_pairs(labelled, names).select("record", "name1", "id1", "name2", "id2", outcome.alias("label"))
+    missed = missed_pairs(ids, prepared, names).withColumn("label", F.lit("FN"))
     rows = positive.unionByName(missed.select(*positive.columns))
     labels = F.create_map(*[F.lit(x) for pair in REFERENCE_LABELS.items() for x in pair])
     return rows.withColumn("refLabel", labels[F.col("label")])
 
 
-def confusion(records: DataFrame, truth: DataFrame, names: list[str]) -> DataFrame:
+def confusion(records: DataFrame, truth: DataFrame, names: list[str], many: int = _MANY) -> DataFrame:
     """TP, FP, FN and TN per pair of id names without writing any pair.
 
     Ids are related if the label of one (the last record naming it) also holds the other.
     With S the labels of an id and L the last of them, pairs with L1 in S2 and with L2 in S1
     are counted, and those with L1 = L2, which are both, taken off once.
 
-    Within a record only the last labels of its own ids matter. Over the whole truth the sums
-    are made once per truth id and weighted by how many records use it. So an id that a third
-    of all records share costs no more rows than it has.
+    Within a record, the ids are counted by label and name. Over the whole truth, the ids of each
+    label are counted by name, weighted by how many records use them. So an id that a third
+    of all records share, or a label that holds a third of all ids, costs no more rows than it has.
     """
     marked = prepare_truth(truth)
-    # the ids are joined three times: write them once
     ids = stage(records.select("record", "name", "id").distinct(), "ids")
     pairs = _name_pairs(names)
-    indexed = list(enumerate(names))
+    known = F.col("label").isNotNull()
 
     def of(column: str, name: str):
         return F.coalesce(F.col(f"{column}{names.index(name)}"), F.lit(0))
 
     def per_name(**columns) -> list:
         """Sums per name side by side, so that both names of a pair sit in one row."""
-        return [F.sum(F.when(F.col("name") == n, c)).alias(f"{label}{i}") for i, n in indexed for label, c in columns.items()]
+        return [F.sum(F.when(F.col("name") == n, c)).alias(f"{label}{i}") for i, n in enumerate(names) for label, c in columns.items()]
 
     def sums(rows: DataFrame, **expressions) -> DataFrame:
         """All sums of all name pairs in one aggregate."""
@@ -172,36 +189,32 @@ def confusion(records: DataFrame, truth: DataFrame, names: list[str]) -> DataFra
         ]
         return rows.agg(F.array(*cells).alias("c")).select(F.inline("c"))
 
-    # positive predictions: ids of each record by the labels any of them stands for
-    lookup = marked.where("last = 1").select("name", "id", "label")
-    looked_up = ids.join(lookup, ["name", "id"], "left")
-    labels = looked_up.where("label IS NOT NULL").select("record", "label").distinct()
-    cells = ids.join(labels, "record").join(marked, ["name", "id", "label"]).groupBy("record", "label").agg(
-        *per_name(held=F.lit(1), last=F.col("last"))
+    # positive predictions; the sums by label and those by record share one shuffle
+    cells = _held(ids, marked, many).repartition("record").groupBy("record", "label").agg(*per_name(held=F.lit(1), last=F.col("last")))
+    per_record = cells.groupBy("record").agg(
+        *[
+            F.sum(F.when(known, of("last", a) * of("held", b) + of("held", a) * of("last", b) - of("last", a) * of("last", b))).alias(f"tp_{a}>{b}")
+            for a, b in pairs
+        ],
+        *[F.sum(of("last", n)).alias(f"known{i}") for i, n in enumerate(names)],
+        *[F.sum(F.when(known, of("last", n)).otherwise(of("held", n))).alias(f"ids{i}") for i, n in enumerate(names)],
     )
-    found = sums(cells, tp=lambda a, b: of("last", a) * of("held", b) + of("held", a) * of("last", b) - of("last", a) * of("last", b))
-    sizes = looked_up.groupBy("record").agg(*per_name(ids=F.lit(1), known=F.when(F.col("label").isNotNull(), 1).otherwise(0)))
     counted = sums(
-        sizes,
+        per_record,
+        tp=lambda a, b: F.col(f"`tp_{a}>{b}`"),
         predictedTrue=lambda a, b: of("ids", a) * of("ids", b),
         firstIds=lambda a, b: of("ids", a),
         overlap=lambda a, b: of("ids", a) * of("known", b),
     )
 
-    # all related truth ids of each truth id, times the records that use it
-    label_sizes = marked.groupBy("label").agg(*per_name(held=F.lit(1), last=F.col("last")))
-    at_last = F.col("last") == 1
-    reach = marked.join(label_sizes, "label").groupBy("name", "id").agg(
-        *[
-            F.sum(F.coalesce(f"last{i}", F.lit(0)) + F.when(at_last, F.coalesce(f"held{i}", F.lit(0)) - F.coalesce(f"last{i}", F.lit(0))).otherwise(0)).alias(f"related{i}")
-            for i, _ in indexed
-        ]
-    )
-    used = ids.groupBy("name", "id").agg(F.count("*").alias("uses")).join(reach, ["name", "id"])
-    everywhere = sums(used, relatedAll=lambda a, b: F.when(F.col("name") == a, F.col("uses") * of("related", b)).otherwise(0))
+    # all related truth ids of each truth id, times the records that use it, by label
+    uses = ids.groupBy("name", "id").agg(F.count("*").alias("uses"))
+    weighted = marked.join(uses, ["name", "id"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    per_label = weighted.groupBy("label").agg(*per_name(held=F.lit(1), last=F.col("last"), uses=F.col("uses"), lastUses=F.col("uses") * F.col("last")))
+    everywhere = sums(per_label, relatedAll=lambda a, b: of("last", b) * of("uses", a) + (of("held", b) - of("last", b)) * of("lastUses", a))
 
-    truth_ids = lookup.groupBy(F.col("name").alias("name2")).agg(F.count("*").alias("truthIds"))
-    table = counted.join(found, ["name1", "name2"]).join(everywhere, ["name1", "name2"]).join(truth_ids, "name2", "left")
+    truth_ids = marked.where("last = 1").groupBy(F.col("name").alias("name2")).agg(F.count("*").alias("truthIds"))
+    table = counted.join(everywhere, ["name1", "name2"]).join(truth_ids, "name2", "left")
     tp, all_related = F.coalesce("tp", F.lit(0)), F.coalesce("relatedAll", F.lit(0))
     checked = ~F.lower("name1").contains("series")
     fn = F.when(checked, all_related - tp).otherwise(0)

@@ -62,9 +62,11 @@ def test_evaluation_matches_brute_force(spark, seed):
     t = spark.createDataFrame(truth, "label string, pos int, name string, id string")
     r = spark.createDataFrame(records, "record string, name string, id string")
     counts, rows = brute_force_evaluation(truth, records, NAMES)
-    found = {(x.name1, x.name2): {k: x[k] for k in ("TP", "FP", "FN", "TN")} for x in matching.confusion(r, t, NAMES).collect()}
-    assert found == counts
-    assert {tuple(x)[:6] for x in matching.evaluate(r, t, NAMES).collect()} == rows
+    for many in (64, 1):  # with all ids joined, and with frequent ids by the labels their records know
+        found = {(x.name1, x.name2): {k: x[k] for k in ("TP", "FP", "FN", "TN")} for x in matching.confusion(r, t, NAMES, many).collect()}
+        assert found == counts
+        result = [tuple(x)[:6] for x in matching.evaluate(r, t, NAMES, many).collect()]
+        assert set(result) == rows and len(result) == len(rows)
     checked = matching.check_matches(matching.present_pairs(r, NAMES), t).collect()
     assert {(x.record, x.name1, x.id1, x.name2, x.id2, "TP" if x.actual else "FP") for x in checked} == {x for x in rows if x[5] != "FN"}
 
@@ -77,6 +79,60 @@ def test_perfect_match_scores(spark):
     assert (score.precision, score.recall, score.accuracy) == (1.0, 1.0, 1.0)
 
 
+#: Two records of a published training set of matches; a series' ids belong to both.
+PUBLISHED = {
+    "ACISP 1996": {
+        "openresearchId": ["ACISP 1996"], "wikidataId": ["Q106067066"], "dblpConferenceId": ["conf/acisp/1996"], "dblpSeriesId": ["conf/acisp"], "gndId": ["2159559-8"],
+        "seriesWikidataId": ["Q105695401"], "seriesWikicfpId": ["32"], "seriesOpenresearchId": ["ACISP"], "confrefId": ["acisp1996"], "confrefSeriesId": ["acisp"],
+    },
+    "ACISP 1997": {
+        "openresearchId": ["ACISP 1997"], "wikidataId": ["Q106067060"], "TibKatId": ["534995004"], "dblpConferenceId": ["conf/acisp/1997"], "dblpSeriesId": ["conf/acisp"],
+        "gndId": ["2164018-X"], "seriesWikidataId": ["Q105695401"], "seriesWikicfpId": ["32"], "seriesOpenresearchId": ["ACISP"], "confrefId": ["acisp1997"], "confrefSeriesId": ["acisp"],
+    },
+}
+
+
+def published(spark, records):
+    """Records as rows, and the truth."""
+    truth = [(label, pos, name, i) for pos, (label, ids) in enumerate(PUBLISHED.items()) for name, found in ids.items() for i in found]
+    rows = [(record, name, i) for record, ids in records.items() for name, found in ids.items() for i in ([found] if isinstance(found, str) else found)]
+    names = list(dict.fromkeys(n for ids in PUBLISHED.values() for n in ids))
+    return spark.createDataFrame(rows, "record string, name string, id string"), spark.createDataFrame(truth, "label string, pos int, name string, id string"), names
+
+
+def test_published_truth(spark):
+    """Perfect records, a record with one wrong id, and matches within and across the two events."""
+    r, t, names = published(spark, PUBLISHED)
+    score = matching.scores(matching.confusion(r, t, names)).first()
+    assert (score.precision, score.recall, score.accuracy) == (1.0, 1.0, 1.0)
+    wrong = {"x": {**PUBLISHED["ACISP 1996"], "openresearchId": "ACISP 1997"}}
+    r, t, _ = published(spark, wrong)
+    some = ["wikidataId", "openresearchId", "dblpConferenceId"]
+    rows = {(x.name1, x.id1, x.name2, x.id2, x.label) for x in matching.evaluate(r, t, some).collect()}
+    assert rows == {
+        ("wikidataId", "Q106067066", "openresearchId", "ACISP 1997", "FP"), ("wikidataId", "Q106067066", "openresearchId", "ACISP 1996", "FN"),
+        ("wikidataId", "Q106067066", "dblpConferenceId", "conf/acisp/1996", "TP"), ("openresearchId", "ACISP 1997", "dblpConferenceId", "conf/acisp/1996", "FP"),
+        ("openresearchId", "ACISP 1997", "dblpConferenceId", "conf/acisp/1997", "FN"),
+    }
+    one, two = PUBLISHED.values()
+    pairs = [(a, x[0], b, y[0], own is other) for own, other in ((one, one), (two, two), (one, two)) for a, x in own.items() for b, y in other.items()]
+    pairs = [p for p in pairs if p[4] or not ("series" in p[0].lower() or "series" in p[2].lower())]
+    df = spark.createDataFrame(pairs, "name1 string, id1 string, name2 string, id2 string, expected boolean")
+    assert all(x.actual == x.expected for x in matching.check_matches(df, t).collect())
+
+
+def test_a_hot_id_and_a_hot_label(spark):
+    """An id in all records and labels, and a label with all ids, are counted in few rows."""
+    size = 3000
+    truth = spark.range(size).select(F.concat(F.lit("l"), "id").alias("label"), F.col("id").alias("pos"), F.inline(F.array(
+        F.struct(F.lit("A").alias("name"), F.lit("hot").alias("id")), F.struct(F.lit("B").alias("name"), F.col("id").cast("string").alias("id")))))
+    truth = truth.unionByName(spark.range(size).select(F.lit("l0").alias("label"), F.lit(-1).cast("long").alias("pos"), F.lit("B").alias("name"), F.col("id").cast("string").alias("id")))
+    records = truth.select(F.col("label").alias("record"), "name", "id").where("record <> 'l0'")
+    row = matching.confusion(records, truth, ["A", "B"]).first()
+    # the id stands for the last label, and every label holds it
+    assert (row.TP, row.FP, row.FN, row.TN) == (size - 1, 0, (size - 1) * (size - 1), 0)
+
+
 def test_long_ids_split_stored_lists(spark):
     df = spark.createDataFrame([("r", "a⇹b", ["c", "a"]), ("s", None, None)], "k string, x string, y array<string>")
     assert {tuple(r) for r in matching.long_ids(df, "k", ["x", "y"]).collect()} == {("r", "x", "a"), ("r", "x", "b"), ("r", "y", "c"), ("r", "y", "a")}
