@@ -119,40 +119,53 @@ def present_pairs(records: DataFrame, names: list[str]) -> DataFrame:
 def missed_pairs(ids: DataFrame, prepared: DataFrame, names: list[str]) -> DataFrame:
     """Related truth ids that a record lacks: the negative predictions that are wrong.
 
-    Ids are related if a label is the last one of either. Related ids are found once for each
-    id that records use, not for each record.
+    Found by joining labels, so only related ids are ever paired: a label that is the last one of
+    the record's id with all of its ids, any other with those whose last one it is.
     """
     pairs = [(a, b) for a, b in _name_pairs(names) if "series" not in a.lower()]
-    first, second = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
     allowed = F.concat("name1", F.lit(">"), "name2").isin([f"{a}>{b}" for a, b in pairs])
-    used = ids.where(F.col("name").isin(first)).select("name", "id").distinct()
-    own = prepared.where(F.col("name").isin(first)).join(used, ["name", "id"], "left_semi")
-    own = own.select(F.col("name").alias("name1"), F.col("id").alias("id1"), "label", F.col("last").alias("last1"))
-    other = prepared.where(F.col("name").isin(second)).select(F.col("name").alias("name2"), F.col("id").alias("id2"), "label", F.col("last").alias("last2"))
-    by_own = own.where("last1 = 1").join(other, "label").where(allowed)
-    by_other = own.where("last1 = 0").join(other.where("last2 = 1"), "label").where(allowed)
-    columns = ["name1", "id1", "name2", "id2"]
-    related = by_own.select(*columns).unionByName(by_other.select(*columns)).distinct()
-    present = ids.select("record", F.col("name").alias("name2"), F.col("id").alias("id2"))
+    own = prepared.where(F.col("name").isin([a for a, _ in pairs])).select(
+        F.col("name").alias("name1"), F.col("id").alias("id1"), "label", F.explode(F.when(F.col("last") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("last")
+    )
+    other = prepared.where(F.col("name").isin([b for _, b in pairs])).select(F.col("name").alias("name2"), F.col("id").alias("id2"), "label", "last")
     named = ids.select("record", F.col("name").alias("name1"), F.col("id").alias("id1"))
-    return named.join(related, ["name1", "id1"]).join(present, ["record", "name2", "id2"], "left_anti").select("record", *columns)
+    related = named.join(own, ["name1", "id1"]).join(other, ["label", "last"]).where(allowed)
+    present = ids.select("record", F.col("name").alias("name2"), F.col("id").alias("id2"))
+    missing = related.select("record", "name1", "id1", "name2", "id2").join(present, ["record", "name2", "id2"], "left_anti")
+    return missing.distinct()
+
+
+def _labelled(ids: DataFrame, prepared: DataFrame, many: int) -> DataFrame:
+    """(record, name, id) with the ``label`` it stands for and the labels that hold it (``held``), as :func:`_held` has them."""
+    own = F.max(F.when(F.col("last") == 1, F.col("label"))).alias("label")
+    one = prepared.where((F.col("labels") == 1) | ((F.col("labels") > many) & (F.col("last") == 1)))
+    few = prepared.where((F.col("labels") > 1) & (F.col("labels") <= many)).groupBy("name", "id").agg(own, F.collect_list("label").alias("held"))
+    found = ids.join(one.select("name", "id", "label", F.array("label").alias("held")).unionByName(few), ["name", "id"], "left")
+    frequent = prepared.where((F.col("labels") > many) & (F.col("last") == 0)).select("name", "id", "label")
+    if frequent.isEmpty():
+        return found.select("record", "name", "id", "label", "held")
+    found = stage(found, "held")
+    known = found.where("label IS NOT NULL").select("record", F.col("label").alias("other")).distinct()
+    wanted = found.join(frequent.select("name", "id").distinct(), ["name", "id"], "left_semi").join(known, "record").where("other <> label")
+    more = wanted.select("record", "name", "id", F.col("other").alias("label")).join(frequent, ["name", "id", "label"], "left_semi")
+    more = more.groupBy("record", "name", "id").agg(F.collect_list("label").alias("more"))
+    held = F.when(F.col("more").isNull(), F.col("held")).otherwise(F.concat("held", "more"))
+    return found.join(more, ["record", "name", "id"], "left").select("record", "name", "id", "label", held.alias("held"))
 
 
 def evaluate(records: DataFrame, truth: DataFrame, names: list[str], many: int = _MANY) -> DataFrame:
-    """Result rows (record, name1, id1, name2, id2, label, refLabel).
+    """Result rows (record, name1, id1, name2, id2, label, refLabel) for distinct rows of ``records``.
 
     Holds all positive predictions and the wrong negative ones; the right negative ones
     (``TN``) only exist as counts, see :func:`confusion`. Every id carries the label it stands for
     and those that hold it, so a pair is judged by its own two rows.
     """
     prepared = prepare_truth(truth)
-    ids = stage(records.select("record", "name", "id").distinct(), "ids")
-    label = F.max(F.when(F.col("last") == 1, F.col("label"))).alias("label")
-    labelled = stage(_held(ids, prepared, many).groupBy("record", "name", "id").agg(label, F.collect_set("label").alias("held")), "labelled")
+    labelled = stage(_labelled(records.select("record", "name", "id"), prepared, many), "labelled")
     hit = F.coalesce(F.array_contains("held2", F.col("label1")), F.lit(False)) | F.coalesce(F.array_contains("held1", F.col("label2")), F.lit(False))
     outcome = F.when(hit, "TP").otherwise("FP")
     positive = present_pairs(labelled, names).select("record", "name1", "id1", "name2", "id2", outcome.alias("label"))
-    missed = missed_pairs(ids, prepared, names).withColumn("label", F.lit("FN"))
+    missed = missed_pairs(labelled.select("record", "name", "id"), prepared, names).withColumn("label", F.lit("FN"))
     rows = positive.unionByName(missed.select(*positive.columns))
     labels = F.create_map(*[F.lit(x) for pair in REFERENCE_LABELS.items() for x in pair])
     return rows.withColumn("refLabel", labels[F.col("label")])
