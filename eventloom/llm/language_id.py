@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.llm.arrays import LOWER, Prefixes, Slice, Words, find_words, slices
@@ -234,21 +235,25 @@ def _expected(model: Model, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return posterior, joint.sum((0, 1))
 
 
-def train(documents: DataFrame, rows_per_language: int = 500, chars: int = 3000, seed: int = 3) -> Model:
+def train(documents: DataFrame, rows_per_language: int = 500, seed: int = 3) -> Model:
     """A model from a bounded sample of ``documents`` with ``text`` and ``lang``.
 
-    Of each language about ``rows_per_language`` documents are taken, by the hash of their id,
-    and of each at most ``chars`` characters from a place that the same hash picks. The number
-    of languages bounds what reaches the driver.
+    Of each language about ``rows_per_language`` documents are taken, and never more than twice as
+    many, by the hash of their id and text; rows without an id, or that repeat one, are drawn by
+    their texts. Whole texts are read. The number of languages bounds what reaches the driver.
     """
-    known = documents.select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)).alias("draw")).where("text IS NOT NULL AND lang IS NOT NULL")
+    places = 1 << 40
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(places))
+    known = documents.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang", draw.alias("draw"))
     rows = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one a language
     if not rows:
         return fit_model([], [])
-    share = F.create_map(*[F.lit(x) for lang, count in rows.items() for x in (lang, rows_per_language * 1_000_000 // count)])
+    share = F.create_map(*[F.lit(x) for lang, count in rows.items() for x in (lang, max(1, rows_per_language * places // count))])
     taken = known.where(F.col("draw") < F.element_at(share, F.col("lang")))
-    place = 1 + F.col("draw") % F.greatest(F.lit(1), F.length("text") - chars)
-    sample = taken.select(F.substr("text", place, F.lit(chars)).alias("text"), "lang").orderBy("lang", "text").toPandas()
+    # equal rows have equal draws: the least ones of each language, so that they stay bounded
+    number = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
+    bounded = taken.withColumn("number", number).where(F.col("number") <= 2 * rows_per_language)
+    sample = bounded.select("text", "lang").orderBy("lang", "text").toPandas()
     return fit_model(list(sample["text"]), list(sample["lang"]), seed=seed)
 
 

@@ -64,14 +64,16 @@ MIXTURE = Mixture(
 
 
 def with_leaves(documents: DataFrame, mixture: Mixture, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``carry`` (as ``__name``), ``doc_id``, the nodes of each row, and its tokens (words).
+    """``carry`` (as ``__name``), ``doc_id``, ``__row``, the nodes of each row, and its tokens (words).
 
     A null text has no tokens. A row without language or source has the node its level names.
+    ``__row`` stands for the row in the seeded order: its ``doc_id``, or without one a hash of its text.
     """
     kept = [F.col(c).alias(f"__{c}") for c in carry]
     nodes = [F.expr(level.node).alias(level.name) for level in mixture.levels]
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"))
-    return documents.select(*kept, "doc_id", *nodes, words.cast("long").alias("n_tokens"))
+    row = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    return documents.select(*kept, "doc_id", row.alias("__row"), *nodes, words.cast("long").alias("n_tokens"))
 
 
 def budgets(leaves: DataFrame, mixture: Mixture) -> DataFrame:
@@ -113,7 +115,7 @@ def _fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
 
 
 def _order(mixture: Mixture, epoch: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(mixture.seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    return F.md5(F.concat_ws(":", F.lit(str(mixture.seed)), epoch.cast("string"), F.col("__row")))
 
 
 def _bucket(order: Column, part: int) -> Column:
@@ -168,13 +170,14 @@ def select(rows: DataFrame, cuts: DataFrame, mixture: Mixture) -> DataFrame:
     inside = (b1 < F.col("b1")) | ((b1 == F.col("b1")) & ((b2 < F.col("b2")) | ((b2 == F.col("b2")) & (F.col("__place") <= F.col("upto")))))
     taken = F.col("epochs") + F.when(F.col("partial") & F.coalesce(inside, F.lit(False)), 1).otherwise(0)
     epochs = F.when(taken > 0, F.sequence(F.lit(0).cast("long"), taken - 1))
-    return joined.withColumn("epoch", F.explode(epochs)).drop("epochs", "partial", "b1", "b2", "upto", "__place")
+    return joined.withColumn("epoch", F.explode(epochs)).drop("epochs", "partial", "b1", "b2", "upto", "__place", "__row")
 
 
 def mix(documents: DataFrame, mixture: Mixture = MIXTURE) -> DataFrame:
     """``doc_id``, its nodes, ``n_tokens`` and ``epoch`` (from 0), once for each use of a document.
 
-    Rows that repeat a ``doc_id`` are used each. An empty table gives no rows.
+    Rows that repeat a ``doc_id`` are used each, at one place of the order; rows without one have the
+    place of their text. An empty table gives no rows.
     """
     rows = stage(with_leaves(documents, mixture), "leaf-rows")
     return select(rows, cut(rows, mixture), mixture)
@@ -196,7 +199,7 @@ def oracle(mixture: Mixture = MIXTURE) -> str:
     """The same selection in DuckDB SQL, with one running sum a leaf."""
     names = mixture.names
     text = [
-        "WITH rows AS (SELECT doc_id, "
+        "WITH rows AS (SELECT doc_id, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS row_key, "
         + ", ".join(f"{level.node} AS {level.name}" for level in mixture.levels)
         + r", len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents)",
         f"leaves AS (SELECT {', '.join(names)}, sum(n_tokens)::HUGEINT AS tokens FROM rows GROUP BY ALL)",
@@ -215,7 +218,7 @@ def oracle(mixture: Mixture = MIXTURE) -> str:
             f"given{depth} AS (SELECT {path}, CASE WHEN whole THEN cap ELSE (budget - coalesce(sum(cap) FILTER (whole) OVER ({by}), 0)) * w"
             f" // sum(w) FILTER (NOT whole) OVER ({by}) END AS budget FROM marked{depth})",
         ]
-    key = f"md5('{mixture.seed}:' || epochs || ':' || coalesce(doc_id::VARCHAR, 'none'))"
+    key = f"md5('{mixture.seed}:' || epochs || ':' || row_key)"
     leaf = ", ".join(names)
     text += [
         f"shares AS (SELECT {leaf}, (budget // tokens)::BIGINT AS epochs, budget % tokens AS rest FROM leaves JOIN given{len(names)} USING ({leaf}))",

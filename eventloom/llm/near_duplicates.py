@@ -41,8 +41,13 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+def text_digest() -> Column:
+    """128 bits that tell texts apart; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
 def signature_table(documents: DataFrame, settings: Settings) -> DataFrame:
-    """``doc_id``, ``n`` (set size), ``s1``, ``s2`` (hash of the set), and ``bands`` of every row."""
+    """``doc_id``, ``digest`` (of the text), ``n`` (set size), ``s1``, ``s2`` (hash of the set), and ``bands`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,15 +58,16 @@ def signature_table(documents: DataFrame, settings: Settings) -> DataFrame:
                 ends = pa.array(np.arange(part.rows + 1, dtype=np.int32) * settings.bands)
                 columns = [
                     batch.column("doc_id").slice(part.first, part.rows),
+                    batch.column("digest").slice(part.first, part.rows),
                     pa.array(np.diff(sets.bounds)),
                     _signed(s1),
                     _signed(s2),
                     pa.ListArray.from_arrays(ends, _signed(bands.ravel())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "s1", "s2", "bands"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), "text")
+    return rows.mapInArrow(run, "doc_id long, digest binary, n long, s1 long, s2 long, bands array<long>")
 
 
 def class_sets(documents: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
@@ -162,15 +168,9 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, tested: DataFrame, sets: D
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Every row's ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
-
-    ``component_id`` is the least ``doc_id`` that links reach, the own one included; ``kept``
-    marks the document that has it. Documents without words (null, empty or white text) are
-    linked with nothing. Rows that repeat a ``doc_id`` are judged by their own texts. Rows
-    without ``doc_id`` come after all others: a group of such rows only has no component id,
-    and its rows are kept.
-    """
+def groups(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``doc_id``, ``digest`` of the text, ``n`` (set size), and the first node (``root``) of the
+    component of every row; no root without words."""
     signed = stage(signature_table(documents, settings), "signatures")
     some = signed.where("n > 0").withColumn("d", F.coalesce("doc_id", F.lit(_NO_ID)))
     classes = some.groupBy("s1", "s2").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -187,8 +187,39 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     more = verified(stage(_open_pairs(shared, labels, tested, sets, settings), "open-pairs"), sets, settings)
     labels = components(links.unionByName(more))
 
-    roots = classes.select("node").join(labels, "node", "left").select("node.s1", "node.s2", F.coalesce("root.d", "node.d").alias("root"))
-    found = signed.join(roots, ["s1", "s2"], "left")
-    group = F.when(F.col("n") > 0, F.nullif("root", F.lit(_NO_ID))).otherwise(F.col("doc_id"))
+    roots = classes.select("node").join(labels, "node", "left").select("node.s1", "node.s2", F.coalesce("root", "node").alias("root"))
+    return signed.join(roots, ["s1", "s2"], "left").select("doc_id", "digest", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+
+
+def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Every row's ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
+
+    ``component_id`` is the least ``doc_id`` that links reach, the own one included; ``kept``
+    marks the document that has it. Documents without words (null, empty or white text) are
+    linked with nothing. Rows that repeat a ``doc_id`` are judged by their own texts. Rows
+    without ``doc_id`` come after all others: a group of such rows only has no component id,
+    and its rows are kept.
+    """
+    found = groups(documents, settings)
+    group = F.when(F.col("n") > 0, F.nullif("root.d", F.lit(_NO_ID))).otherwise(F.col("doc_id"))
     result = found.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"))
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def first_copies(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row of each component, whole: the one with the least ``doc_id``, then the least digest of its text.
+
+    Rows count by their own texts: a row that repeats an id is judged like any other, rows
+    without an id come after all others, and of equal rows one stays. Rows without words (null, empty
+    or white text) are copies of nothing and all stay.
+    """
+    found = stage(groups(documents, settings).where("n > 0"), "near-groups")
+    row = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), "digest")
+    first = found.groupBy("root").agg(F.min(row).alias("row"))
+    first = found.join(first, "root").where(row == F.col("row")).groupBy("row").agg(F.count(F.lit(1)).alias("times"))
+    first = stage(first.select(F.col("row.d").alias("__d"), F.col("row.digest").alias("__digest"), "times"), "first-copies")
+    own = documents.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "__digest": text_digest()})
+    once = own.join(first.where("times = 1"), ["__d", "__digest"], "left_semi")
+    equal = own.join(first.where("times > 1"), ["__d", "__digest"], "left_semi").dropDuplicates(["__d", "__digest"])
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return once.unionByName(equal).drop("__d", "__digest").unionByName(documents.where(~words))

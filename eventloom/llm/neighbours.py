@@ -189,14 +189,14 @@ def _best(rows: DataFrame, by: str, order: list[str], count: int) -> DataFrame:
 def valid_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """``id``, ``vector``, and 128 bits of hash (``c1``, ``c2``) of the vectors that take part.
 
-    Not those null, zero, of another length than the longest, holding null or non-finite
+    Not those null, zero, of another length than most (the longer one in a tie), holding null or non-finite
     components, or without an id. Rows that repeat an id and its vector count once.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda x: x != 0))
-    size = rows.agg(F.max(F.size("vector"))).first()[0] or 0
-    return rows.where(F.size("vector") == size).select("id", "vector", F.xxhash64("vector").alias("c1"), F.xxhash64(F.lit(1), F.col("vector")).alias("c2"))
+    usual = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return rows.where(F.size("vector") == (usual["size"] if usual else 0)).select("id", "vector", F.xxhash64("vector").alias("c1"), F.xxhash64(F.lit(1), F.col("vector")).alias("c2"))
 
 
 def fit(classes: DataFrame, sample: DataFrame, count: int, settings: Settings) -> Index | None:

@@ -195,9 +195,9 @@ class QualityModel:
 
 
 def sampled(statistics: DataFrame, rows: int, seed: int, key: str = "doc_id") -> np.ndarray:
-    """Features of about ``rows`` documents, those with the least seeded hashes of their key."""
+    """Features of about ``rows`` documents, those with the least seeded hashes of their key and statistics."""
     names = [*COUNTS, *MORE]
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 40))
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), *names, F.lit(seed)), F.lit(1 << 40))
     share = min(1.0, rows / max(1, statistics.count()))
     taken = statistics.where(draw < int(share * (1 << 40))).select(*names).limit(2 * rows).toPandas().sort_values(names)
     return features({n: taken[n].to_numpy() for n in names})

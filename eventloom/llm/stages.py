@@ -26,19 +26,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least ``doc_id``."""
-    found = near_duplicates.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(stage(found, "kept-documents"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.select(*COLUMNS)
+    """One row of each group of near duplicates: the one with the least ``doc_id``.
+
+    Repeated and missing ids are told apart by their texts, see ``near_duplicates.first_copies``;
+    documents without words all stay.
+    """
+    return near_duplicates.first_copies(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, repeated or left out as the mixture's budgets say."""
+    """The documents, repeated or left out as the mixture's budgets say; rows without ``doc_id`` by their texts."""
     return mixing.mixed_documents(docs, COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, and a digest of the text that they decode to."""
+    """The token ids of every document, and a digest of the text that they decode to; a null text is empty."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

@@ -87,7 +87,7 @@ def test_query_against_sql(spark, connection, name):
 def test_all_are_registered():
     names = contract.queries()
     assert [n for n in names if n.startswith("op")] == list(corpus.QUERIES) and "pipeline" in names
-    assert [n.split("_")[0] for n in corpus.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in corpus.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_shortage_goes_to_siblings_first(spark):
@@ -114,6 +114,22 @@ def test_mixing_odd_rows(spark, frame, odd):
     assert (counts["count"] % 2 == 0).all()
 
 
+def test_one_row_of_a_group_stays(spark, frame):
+    """Repeated and missing ids are told apart by their texts; of equal rows one stays; empty texts all do."""
+    a, b, c = (" ".join(f"{x}{n}" for n in range(30)) for x in "abc")
+    near = a.replace("a29", "z")
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (2, near), (7, b), (7, None), (7, None), (None, " ")]
+    kept = stages.keep_first_copies(spark, frame([t for _, t in rows], [i for i, _ in rows]), SMALL).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(1, a), (2, b), (None, c), (7, None), (7, None), (None, " ")], key=repr)
+
+
+def test_rows_without_id_are_mixed_by_their_texts(spark, frame):
+    texts = [" ".join(f"{n}w{i}" for i in range(20)) for n in range(60)]
+    levels = (mixing.Level("lang", "'x'", {}),)
+    used = mixing.mix(frame(texts, [None] * 60), mixing.Mixture(levels, share=(1, 2), epochs=1)).toPandas()
+    assert len(used) == 30 and used["doc_id"].isna().all()
+
+
 def test_pipeline(spark):
     """Each stage against its own operator or a plain computation on its own input."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")

@@ -238,3 +238,13 @@ def test_path_lengths():
     rows = np.vstack([draw.normal(size=(500, 4)), [[9, 9, 9, 9]]])
     scores = quality.grow_forest(rows, 50, 128, 1).scores(rows)
     assert scores.argmax() == 500
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    """Rows without ids, with one id, or all equal: some are learned from, and never more than twice the wanted number."""
+    seen = []
+    monkeypatch.setattr(language_id, "fit_model", lambda texts, labels, seed=0: seen.append(len(texts)))
+    for ids, texts in ((None, 2000), (7, 2000), (None, 1)):
+        rows = [(ids, f"text {n % texts}", "en") for n in range(2000)]
+        language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=50)
+    assert all(0 < n <= 100 for n in seen[:2]) and seen[2] <= 100

@@ -109,7 +109,8 @@ VECTORS = T.StructType(
 
 
 def brute_neighbours(rows, k=10):
-    size = max((len(v) for _, v in rows if v is not None), default=0)
+    lengths = [len(v) for _, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) and _ is not None]
+    size = max(set(lengths), key=lambda n: (lengths.count(n), n), default=0)
     good = sorted({(i, tuple(v)) for i, v in rows if i is not None and v is not None and len(v) == size and all(x is not None and np.isfinite(x) for x in v) and any(v)})
     ids, matrix = np.array([i for i, _ in good]), np.array([v for _, v in good], np.float32).astype(np.float64).reshape(len(good), -1)
     out = {}
@@ -147,6 +148,13 @@ def test_odd_vectors(spark):
     close(neighbours_of(spark, rows), brute_neighbours(rows))
 
 
+def test_a_malformed_longer_vector(spark):
+    draw = np.random.default_rng(6)
+    rows = [(n, draw.normal(size=4).astype(np.float32).tolist()) for n in range(0, 300)] + [(1000, [1.0] * 5)]
+    got = neighbours_of(spark, rows)
+    assert sorted(got) == [0, 100, 200] and all(len(found) == 10 and 1000 not in dict(found) for found in got.values())
+
+
 def test_no_or_one_vector(spark):
     assert neighbours_of(spark, []) == {}
     assert neighbours_of(spark, [(100, [1.0, 2.0])]) == {}
