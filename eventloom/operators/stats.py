@@ -6,6 +6,7 @@ aggregated before, so a value that holds a third of all rows costs one row per t
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,16 +83,44 @@ def series_completeness(events: DataFrame, key: str) -> DataFrame:
     )
 
 
-def median_threshold(df: DataFrame, column: str) -> DataFrame:
-    """Middle element of the sorted values rounded to two digits.
+#: Bins of one pass of a selection.
+_BINS = 1024
+
+
+def value_at(values: DataFrame, column: str, share: float) -> float | None:
+    """The value at place ``floor(share * n)`` (from 0) of the sorted values; None without any.
 
-    The window runs over distinct rounded values with their counts, not over rows.
+    Each pass counts the values by bins of the range that still holds the place, and goes on
+    with the range of one bin's values, until they are all equal. Bins are summed in the tasks, so
+    a pass moves a thousand rows a task, whatever the number of values, and nothing is sorted.
+    Not-a-number is greater than all others.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.round(column, 2).alias("value")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.orderBy("value"))
-    total = F.sum("n").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    placed = counts.withColumns({"_upto": upto, "_middle": F.floor(total / 2)})
-    return placed.where("_upto > _middle").agg(F.min("value").alias("threshold"))
+    numbers = stage(values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), "values")
+    ordered = numbers.where(~F.isnan("v"))
+    count, low, high = ordered.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    total = numbers.count()
+    if not total:
+        return None
+    place = int(share * total)
+    if place >= count:
+        return math.nan
+    while low < high:
+        # halves, as the whole width may be beyond the largest number
+        inside = (F.col("v") / 2 - low / 2) / (high / 2 - low / 2)
+        part = F.least(F.lit(_BINS - 1), F.floor(inside * _BINS)).alias("bin")
+        bins = ordered.where(F.col("v").between(low, high)).groupBy(part).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for row in sorted(bins.collect(), key=lambda r: r["bin"]):  # at most _BINS
+            if place < row["n"]:
+                low, high = row["low"], row["high"]
+                break
+            place -= row["n"]
+    return low
+
+
+def median_threshold(df: DataFrame, column: str) -> DataFrame:
+    """Middle element of the sorted values rounded to two digits."""
+    middle = value_at(df.select(F.round(column, 2).alias("value")), "value", 0.5)
+    return df.sparkSession.range(1).select(F.lit(middle).cast("double").alias("threshold"))
 
 
 def acronym_completeness(events: DataFrame) -> DataFrame:

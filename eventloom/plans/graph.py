@@ -40,6 +40,33 @@ def entity_flatten_agg(t: Tables):
     return g.flatten_aggregated(p.triples(t), "type", "ECONOMY", ["label"], ["supplier"])
 
 
+@query(
+    "g2_value_pages",
+    with_proxies(
+        "triples",
+        """, d AS (SELECT DISTINCT s, p, o FROM triples WHERE p IN ('label', 'supplier')),
+  n AS (SELECT *, (row_number() OVER (PARTITION BY s, p ORDER BY o) - 1) // 3 AS page FROM d)
+SELECT s, p, CAST(page AS BIGINT) AS page, string_agg(o, '| ' ORDER BY o) AS "values" FROM n GROUP BY s, p, page""",
+    ),
+)
+def value_pages(t: Tables):
+    """Lists of labels and suppliers, three values a page."""
+    return g.value_pages(p.triples(t), ["label", "supplier"], 3).withColumn("values", F.array_join("values", "| "))
+
+
+@query(
+    "g2_entity_figures",
+    with_proxies(
+        "triples",
+        """, e AS (SELECT s FROM triples WHERE p = 'type' AND o = 'ECONOMY'), d AS (SELECT DISTINCT s, p, o FROM triples WHERE s IN (SELECT s FROM e))
+SELECT s, min(CASE WHEN p = 'label' THEN o END) AS label, count(CASE WHEN p = 'label' THEN 1 END) AS "labelCount",
+  min(CASE WHEN p = 'supplier' THEN o END) AS supplier, count(CASE WHEN p = 'supplier' THEN 1 END) AS "supplierCount" FROM d GROUP BY 1""",
+    ),
+)
+def entity_figures(t: Tables):
+    return g.flatten_figures(p.triples(t), "type", "ECONOMY", ["label"], ["supplier"])
+
+
 @query(
     "g3_entity_flatten_rows",
     with_proxies(

@@ -243,6 +243,17 @@ def store_table(df: DataFrame, path: str, sort: list[str]) -> None:
     rows.sortWithinPartitions("source", *sort).write.partitionBy("source").parquet(path)
 
 
+def store_bucketed(df: DataFrame, table: str, key: str, buckets: int = 64) -> None:
+    """A table of the catalog, bucketed and sorted by a key, with Bloom filters of the key.
+
+    Joins and groupings by the key read it without an exchange, with each other too if they have as
+    many buckets; a lookup reads the one bucket file, and of it only row groups that may hold
+    the key. Rows are dealt out to their buckets before the write, so that each bucket is one file.
+    """
+    rows = df.repartition(buckets, key)
+    rows.write.bucketBy(buckets, key).sortBy(key).option(f"parquet.bloom.filter.enabled#{key}", "true").format("parquet").mode("overwrite").saveAsTable(table)
+
+
 # -- wiki markup ----------------------------------------------------------------------
 
 

@@ -1,13 +1,17 @@
 """Incremental ingestion of crawled call batches.
 
 Arriving batch files are cleaned and appended as history, each micro-batch under its id. The
-latest record of each event is merged into a state table split by key bucket; only the
-buckets that a micro-batch touches are written again. Merging the same batch twice changes
-nothing, so a repeated batch after a failure leaves the result exact.
+latest record of each event is merged into a state table split by key bucket. The buckets that a
+micro-batch touches are written to a fresh version folder; one small file, added to the
+manifest at the end, makes them the live ones at once. A run that dies in between leaves the old
+state as it was. Merging the same batch twice changes nothing, so a repeated batch after a
+failure leaves the result exact.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +23,7 @@ from eventloom.sources.schemas import CALL
 
 CLEANED = ["eventId", "acronym", "title", "locality", "seriesId", "startDate", "endDate", "url", "wikiCfpId", "source", "year"]
 _FIELDS = ", ".join(f"{c} {'date' if c.endswith('Date') else 'int' if c in ('wikiCfpId', 'year') else 'string'}" for c in CLEANED)
+_MANIFEST = "bucket int, number bigint, version string"
 _ARRIVAL = "struct<batch:bigint,modified:timestamp,number:bigint,path:string,block:bigint,position:bigint>"
 
 
@@ -58,8 +63,9 @@ def ingest(spark: SparkSession, incoming: str, table: str, checkpoint: str, file
         touched = [row["bucket"] for row in new.select("bucket").distinct().collect()]  # at most ``buckets``
         old = latest(batch.sparkSession, table)
         merged = new if old is None else _latest(new.unionByName(old.where(F.col("bucket").isin(touched))))
-        rows = stage(merged, "merged").repartition("bucket")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{table}/state")
+        version = f"{batch_id}-{uuid.uuid4().hex}"
+        stage(merged, "merged").repartition("bucket").write.partitionBy("bucket").parquet(f"{table}/state/version={version}")
+        _commit(batch.sparkSession, table, touched, version)
         done.add(batch_id)
 
     query = calls.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -82,16 +88,41 @@ def ingested(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.schema(f"{_FIELDS}, arrival {_ARRIVAL}").parquet(f"{table}/history").drop("batch")
 
 
-def latest(spark: SparkSession, table: str) -> DataFrame | None:
-    """The state: the latest cleaned record of each event with its arrival; None before the first."""
+def _read(spark: SparkSession, schema: str, *paths: str, **options: str) -> DataFrame | None:
+    """None if nothing was written there yet."""
     try:
-        return spark.read.schema(f"{_FIELDS}, arrival {_ARRIVAL}, bucket int").parquet(f"{table}/state")
+        return spark.read.schema(schema).options(**options).parquet(*paths)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
+def _commit(spark: SparkSession, table: str, buckets: list[int], version: str) -> None:
+    """Make a version the live one of its buckets, by one more file of the manifest."""
+    manifest = _read(spark, _MANIFEST, f"{table}/manifest")
+    number = 1 + ((manifest.agg(F.max("number")).first()[0] or 0) if manifest is not None else 0)
+    rows = spark.createDataFrame([(bucket, number, version) for bucket in buckets], _MANIFEST)
+    rows.coalesce(1).write.mode("append").parquet(f"{table}/manifest")
+
+
+def versions(spark: SparkSession, table: str) -> DataFrame | None:
+    """The live version of each bucket; what other versions hold may be deleted. None before the first."""
+    manifest = _read(spark, _MANIFEST, f"{table}/manifest")
+    return None if manifest is None else manifest.groupBy("bucket").agg(F.max_by("version", "number").alias("version"))
+
+
+def latest(spark: SparkSession, table: str) -> DataFrame | None:
+    """The state: the latest cleaned record of each event with its arrival; None before the first."""
+    live = versions(spark, table)
+    if live is None:
+        return None
+    paths = [f"{table}/state/version={row['version']}/bucket={row['bucket']}" for row in live.collect()]  # one a bucket
+    schema = f"{_FIELDS}, arrival {_ARRIVAL}, version string, bucket int"
+    state = _read(spark, schema, *paths, basePath=f"{table}/state") if paths else None
+    return None if state is None else state.drop("version")
+
+
 def current_state(existing: DataFrame, arrived: DataFrame) -> DataFrame:
     """The table after all arrived records (history or state) were merged in by event id."""
     return upsert(existing, arrived.drop("bucket"), "eventId", "arrival")

@@ -169,6 +169,69 @@ def test_median_threshold(spark):
     assert stats.median_threshold(df, "c").first()["threshold"] == 0.1
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_reach_labels_equal_closure(spark, seed):
+    """Random graphs with several parents, cycles, self-loops, and parts without a root."""
+    draw = random.Random(seed)
+    edges = {(f"n{draw.randint(0, 24)}", f"n{draw.randint(0, 24)}") for _ in range(26)} | {("x", "y"), ("y", "x"), ("z", "z")}
+    df = spark.createDataFrame(sorted(edges), "child string, parent string")
+    reach = triples.reach_labels(df)
+    places = {r["node"]: (r["low"], r["high"]) for r in reach.nodes.collect()}
+    assert sorted(low for low, _ in places.values()) == list(range(len(places)))
+    pairs = set(edges)
+    while True:
+        more = {(a, d) for a, b in pairs for c, d in edges if b == c} - pairs
+        if not more:
+            break
+        pairs |= more
+    for target in sorted(places)[:: 5 - seed]:
+        ranges = triples.ranges_below(reach, target)
+        below = {n for n, (place, _) in places.items() if any(low <= place <= high for low, high in ranges)}
+        assert below == {a for a, b in pairs if b == target} | {target}
+    assert triples.ranges_below(reach, "nowhere") == []
+    empty = spark.createDataFrame([], "child string, parent string")
+    types = spark.createDataFrame([("s", "c")], "s string, o string")
+    assert triples.instances_of(types, empty, "c").collect() == [("s",)] and triples.instances_of(types, empty, "d").collect() == []
+
+
+def test_value_pages(spark):
+    """One subject with most values: pages are full, in order, and hold each value once."""
+    rows = [("hot", "p", f"v{n % 5000:05d}") for n in range(12000)] + [("s", "p", "b"), ("s", "p", "a"), ("s", "q", "c"), ("s", "r", "d")]
+    pages = triples.value_pages(spark.createDataFrame(rows, "s string, p string, o string").repartition(4), ["p", "q"], 100).collect()
+    hot = sorted((r["page"], r["values"]) for r in pages if r["s"] == "hot")
+    assert [n for n, _ in hot] == list(range(50)) and [v for _, found in hot for v in found] == [f"v{n:05d}" for n in range(5000)]
+    assert sorted((r["p"], r["page"], r["values"]) for r in pages if r["s"] == "s") == [("p", 0, ["a", "b"]), ("q", 0, ["c"])]
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_path):
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("eventId"), (F.col("id") % 7).alias("x"))
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS stored LOCATION '{tmp_path}/stored'")
+    try:
+        for name in ("one", "two"):
+            files.store_bucketed(rows, f"stored.{name}", "eventId", 8)
+        one, two = spark.table("stored.one"), spark.table("stored.two")
+        joined = one.hint("merge").join(two, "eventId").groupBy("eventId").count()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and joined.count() == 2000
+        assert one.where("eventId = '77'").count() == 1
+    finally:
+        spark.sql("DROP DATABASE stored CASCADE")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_selection_equals_sorting(spark, seed):
+    """Wide and narrow ranges, equal values, both ends, and what is no number."""
+    draw = random.Random(seed)
+    values = [draw.choice([draw.uniform(-1, 1), draw.gauss(0, 1) * 10 ** draw.randint(-300, 300), 0.0, 7.0, -1.5e308, 1.7e308]) for _ in range(3000)] + [None] * 9
+    df = spark.createDataFrame([(v,) for v in values], "c double").repartition(5)
+    ordered = sorted(v for v in values if v is not None)
+    for share in (0.0, 0.1, 0.5, 0.9999):
+        assert stats.value_at(df, "c", share) == ordered[int(share * len(ordered))]
+    odd = spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "c double")
+    assert stats.value_at(odd, "c", 0.0) == 1.0 and stats.value_at(odd, "c", 0.5) != stats.value_at(odd, "c", 0.5)
+    assert stats.value_at(df.where("false"), "c", 0.5) is None and stats.median_threshold(df.where("false"), "c").first()["threshold"] is None
+
+
 def test_closure_and_descendants(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("x", "c"), ("y", "z")]
     df = spark.createDataFrame(edges, "child string, parent string")

@@ -288,16 +288,46 @@ def test_newer_file_wins_within_one_batch(spark, tmp_path):
     arrive("wikicfp_event10-19.json", "NEW", 5000, 1_600_000_000)
     assert crawl.ingest(spark, incoming, table, checkpoint, buckets=4) == 1
     assert {r["title"] for r in crawl.latest(spark, table).collect()} == {"NEW"}
-    untouched = {f"{b.name}/{e.name}": e.stat().st_mtime_ns for b in os.scandir(f"{table}/state") if b.is_dir() for e in os.scandir(b.path)}
     arrive("wikicfp_event20-29.json", "THIRD", 1, 1_600_000_001)
     assert crawl.ingest(spark, incoming, table, checkpoint, buckets=4) == 1
     state = {r["eventId"]: r["title"] for r in crawl.latest(spark, table).collect()}
     assert len(state) == 5000 and state["0"] == "THIRD" and state["1"] == "NEW"
-    now = {f"{b.name}/{e.name}": e.stat().st_mtime_ns for b in os.scandir(f"{table}/state") if b.is_dir() for e in os.scandir(b.path)}
-    assert sum(name in now for name in untouched if name.endswith(".parquet")) == 3  # of 4 buckets
+    versions = {r["bucket"]: r["version"] for r in crawl.versions(spark, table).collect()}
+    assert sorted(versions) == [0, 1, 2, 3] and sorted(v.split("-")[0] for v in versions.values()) == ["0", "0", "0", "1"]
     assert crawl.ingest(spark, incoming, table, checkpoint, buckets=4) == 0
 
 
+@pytest.mark.parametrize("broken", ["_commit", "done"])
+def test_a_run_that_dies_leaves_whole_state(spark, tmp_path, monkeypatch, broken):
+    """Before the manifest names the new version the old state is whole, behind it the new one."""
+    incoming, table, checkpoint = (str(tmp_path / n) for n in ("in", "table", "check"))
+    os.makedirs(incoming)
+
+    def arrive(number, title):
+        with open(f"{incoming}/wikicfp_event{number}-{number + 9}.json", "w") as out:
+            out.writelines(json.dumps({"eventId": str(n), "title": title}) + "\n" for n in range(50))
+        os.utime(out.name, (1_600_000_000 + number,) * 2)
+
+    titles = lambda: sorted({r["title"] for r in crawl.latest(spark, table).collect()})
+    arrive(0, "OLD")
+    crawl.ingest(spark, incoming, table, checkpoint, buckets=4)
+    arrive(10, "NEW")
+    commit = crawl._commit
+
+    def die(*arguments):
+        if broken == "done":
+            commit(*arguments)
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(crawl, "_commit", die)
+        with pytest.raises(Exception, match="killed"):
+            crawl.ingest(spark, incoming, table, checkpoint, buckets=4)
+    assert titles() == (["NEW"] if broken == "done" else ["OLD"])
+    crawl.ingest(spark, incoming, table, checkpoint, buckets=4)
+    assert titles() == ["NEW"] and crawl.latest(spark, table).count() == 50
+
+
 def test_predefined_places(spark):
     terms = {r["text"]: r["id"] for r in locations.predefined_terms(spark).collect()}
     assert terms["Amsterdam"] == "Q727" and terms["Online"] is None and terms["York, UK"] == "Q42462"
