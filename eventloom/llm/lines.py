@@ -2,18 +2,23 @@
 
 The lines of a batch of documents become one sorted run of hashes with the number of
 documents and the largest document that hold each. A new batch is anti-joined against the
-runs to find the lines that no earlier batch had, and is added as a run of its own; when a
-level is full, its runs are merged into one run of the next level. Column expressions only.
+runs: lines that no earlier batch had enter with the batch's own numbers, known ones with those of
+the runs added. The batch becomes a run of its own; when a level is full, its runs are merged into
+one run of the next level. Column expressions only.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.session import stage
+from eventloom.session import literal_rows, stage, staging_path
 
 KEY = ["h1", "h2"]
+_RUN = "h1 long, h2 long, docs long, max_doc long"
+_MANIFEST = "batches int, level int, place int, path string"
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,21 +58,39 @@ def long_lines(documents: DataFrame, min_chars: int, batches: int) -> DataFrame:
 class LineRuns:
     """The runs, by level. Every run is a written table sorted by hash, with at most one row a hash.
 
-    ``first`` marks the run whose batch had a line before all others.
+    A row has the number of documents and the largest document that hold the line in all batches up to
+    its own, so that the newest row of a hash is its verdict. A manifest below ``folder`` names the runs
+    after each batch; ``LineRuns.open`` goes on from the last one.
     """
 
-    def __init__(self, fanout: int = 3):
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 3):
+        self.spark = spark
+        self.folder = folder or staging_path(spark, "line-runs")
         self.fanout = fanout
-        self.levels: list[list[DataFrame]] = [[]]
+        self.batches = 0
+        self.levels: list[list[str]] = [[]]
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, fanout: int = 3) -> LineRuns:
+        """The runs that the last finished batch left in ``folder``."""
+        out = cls(spark, folder, fanout)
+        written = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
+        last = written.agg(F.max("batches")).first()[0]
+        out.batches = last
+        # one row a run: at most fanout a level
+        for row in written.where(F.col("batches") == last).orderBy("level", "place").collect():
+            while len(out.levels) <= row["level"]:
+                out.levels.append([])
+            out.levels[row["level"]].append(row["path"])
+        return out
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(_RUN).parquet(*paths)
 
     def rows(self) -> DataFrame | None:
-        runs = [run for level in self.levels for run in level]
-        if not runs:
-            return None
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out
+        """All rows of all runs; None before the first batch."""
+        paths = [path for level in self.levels for path in level]
+        return self._read(paths) if paths else None
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of ``long_lines``; its documents must not be in an earlier batch."""
@@ -77,44 +100,55 @@ class LineRuns:
             .groupBy(*KEY)
             .agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("max_doc"))
         )
-        seen = self.rows()
-        if seen is None:
-            marked = own.withColumn("first", F.lit(True))
-        else:
-            known = seen.where("first").select(*KEY)
-            fresh = own.join(known, KEY, "left_anti").withColumn("first", F.lit(True))
-            marked = fresh.unionByName(own.join(known, KEY, "left_semi").withColumn("first", F.lit(False)))
-        self._put(0, marked)
+        seen = self.totals()
+        if seen is not None:
+            own = stage(own, "line-batch")
+            seen = stage(seen.join(own.select(*KEY), KEY, "left_semi"), "line-known")
+            fresh = own.join(seen, KEY, "left_anti")
+            before = seen.withColumnsRenamed({"docs": "docs_before", "max_doc": "max_before"})
+            known = own.join(before, KEY).select(
+                *KEY, (F.col("docs") + F.col("docs_before")).alias("docs"), F.greatest("max_doc", "max_before").alias("max_doc")
+            )
+            own = fresh.unionByName(known)
+        self._put(0, own)
+        self.batches += 1
+        rows = [(self.batches, level, place, path) for level, paths in enumerate(self.levels) for place, path in enumerate(paths)]
+        literal_rows(self.spark, _MANIFEST, rows).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
 
     def _put(self, level: int, rows: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(stage(rows.repartitionByRange(*KEY).sortWithinPartitions(*KEY), f"line-run-{level}"))
+        path = f"{self.folder}/run-{self.batches}-{level}-{uuid.uuid4().hex}"
+        rows.select(*KEY, "docs", "max_doc").repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.parquet(path)
+        self.levels[level].append(path)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            union = full[0]
-            for run in full[1:]:
-                union = union.unionByName(run)
-            self._put(level + 1, merge(union))
+            self._put(level + 1, newest(self._read(full)))
 
-    def totals(self) -> DataFrame:
-        """One row a hash over all runs."""
-        return merge(self.rows())
+    def totals(self) -> DataFrame | None:
+        """The newest row of each hash over all runs."""
+        rows = self.rows()
+        return None if rows is None else newest(rows)
 
 
-def merge(runs: DataFrame) -> DataFrame:
-    return runs.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("max_doc").alias("max_doc"), F.max("first").alias("first"))
+def newest(runs: DataFrame) -> DataFrame:
+    """Documents and the largest one only grow from batch to batch."""
+    return runs.groupBy(*KEY).agg(F.max("docs").alias("docs"), F.max("max_doc").alias("max_doc"))
 
 
-def repeated_positions(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3) -> DataFrame:
+def repeated_positions(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, runs: LineRuns | None = None) -> DataFrame:
     """``doc_id``, ``copy`` and the sorted positions (from 0) of the lines that a document loses.
 
     A line goes if at least ``min_docs`` documents hold its key and one of them has a larger
     ``doc_id``. Rows without ``doc_id`` are one document, smaller than all others; rows that
     repeat a ``doc_id`` are one document. Documents that lose nothing have no row.
+
+    The documents are added to ``runs`` in ``batches``, by hash of their ids. Runs of earlier calls
+    count too: only the runs and the new documents are read, and only the new documents are judged.
+    An id of an earlier call must not come again.
     """
     lines = stage(long_lines(documents, min_chars, batches), "long-lines")
-    runs = LineRuns()
+    runs = runs or LineRuns(documents.sparkSession)
     for batch in range(batches):
         runs.add(lines.where(F.col("batch") == batch))
     often = runs.totals().where((F.col("docs") >= min_docs) & F.col("max_doc").isNotNull()).select(*KEY, "max_doc")

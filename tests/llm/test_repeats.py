@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from llm.helpers import LOWER, WORDS, sha
 
 from eventloom.llm import blocks, lines, phrases, suffixes
@@ -156,13 +157,28 @@ def test_maximal_repeats_have_all_members():
     assert found == {(0, 6, (0, 1, 2, 3)), (2, 9, (0, 1, 2)), (4, 9, (0, 1)), (2, 11, (0, 2))}
 
 
-def test_runs_mark_the_first_batch(frame, odd):
-    """Every hash is first in one run only, whatever was merged."""
-    long = lines.long_lines(frame(odd), 40, 4).cache()
-    runs = lines.LineRuns(fanout=2)
-    for batch in range(4):
+def test_runs_hold_the_newest_numbers(spark, frame, odd):
+    """Every batch adds its hashes once, with the documents of all batches so far."""
+    long = lines.long_lines(frame(odd), 40, 5).cache()
+    runs = lines.LineRuns(spark, fanout=2)
+    for batch in range(5):
         runs.add(long.where(long["batch"] == batch))
-    totals = runs.totals().toPandas()
-    assert totals["first"].all() and len(totals) == long.select("h1", "h2").distinct().count()
-    assert runs.rows().where("first").count() == len(totals)
-    assert sum(len(level) for level in runs.levels) < 4
+        whole = long.where(long["batch"] <= batch).groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("docs"), F.max("doc_id").alias("max_doc"))
+        assert {tuple(r) for r in runs.totals().collect()} == {tuple(r) for r in whole.collect()}
+        again = lines.LineRuns.open(spark, runs.folder, fanout=2)
+        assert (again.levels, again.batches) == (runs.levels, runs.batches)
+    assert sum(len(level) for level in runs.levels) < 5
+
+
+def test_later_call_reads_the_runs(spark, frame, odd):
+    """New documents are judged with all earlier ones, though only the runs of those are read."""
+    old, new = frame(odd).where("doc_id % 3 > 0"), frame(odd).where("doc_id % 3 = 0")
+    runs = lines.LineRuns(spark)
+    lines.repeated_positions(old, runs=runs)
+    later = lines.LineRuns.open(spark, runs.folder)
+    found = lines.repeated_positions(new, batches=1, runs=later).collect()
+    whole = lines.repeated_positions(frame(odd)).where("doc_id % 3 = 0").collect()
+    assert found and sorted(map(tuple, found)) == sorted(map(tuple, whole))
+    assert later.batches == 5
+
+
