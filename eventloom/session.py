@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_staging: str | None = None
 
@@ -76,6 +77,17 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/eventloom/{name}-{uuid.uuid4().hex}"
 
 
+def write_freeing(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet; Spark lets go of its shuffle files when the write has ended."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the staging folder and read it back.
 
@@ -83,7 +95,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executors, and gives the planner exact file sizes for its broadcast decision.
     """
     path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
+    write_freeing(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
