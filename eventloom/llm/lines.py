@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.session import literal_rows, stage, staging_path
+from eventloom.session import literal_rows, stage, staging_path, write_freeing
 
 KEY = ["h1", "h2"]
 _RUN = "h1 long, h2 long, docs long, max_doc long"
@@ -119,7 +119,7 @@ class LineRuns:
         if level == len(self.levels):
             self.levels.append([])
         path = f"{self.folder}/run-{self.batches}-{level}-{uuid.uuid4().hex}"
-        rows.select(*KEY, "docs", "max_doc").repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.parquet(path)
+        write_freeing(rows.select(*KEY, "docs", "max_doc").repartitionByRange(*KEY).sortWithinPartitions(*KEY), path)
         self.levels[level].append(path)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
