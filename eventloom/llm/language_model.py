@@ -9,7 +9,6 @@ arrays into memory and look up the n-grams of their texts in sorted order.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -118,6 +117,13 @@ def _unpacked(data: bytes, height: int, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint32 if len(data) == 4 * height * width else np.int64).reshape(height, width).astype(np.int64)
 
 
+def _write_numbers(folder: str, name: str, numbers: np.ndarray) -> None:
+    """One byte a number; rows with a larger one are kept whole beside them."""
+    large = np.flatnonzero((numbers > 254).any(1))
+    write_array(folder, f"{name}-numbers", np.minimum(numbers, 255).astype(np.uint8))
+    write_array(folder, f"{name}-large", np.concatenate([large[:, None], numbers[large]], axis=1).astype(np.int64))
+
+
 def _table(rows: list[tuple]) -> pa.Table:
     kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
     names = ("kind", "level", "shard", "entries", "numbers", "seen")
@@ -150,7 +156,7 @@ def _reduce(folder: str, shards: int):
         name = f"{kind}-{level}-{shard}"
         write_array(folder, f"{name}-keys", keys)
         # counts in the texts are looked up for words only
-        write_array(folder, f"{name}-numbers", _packed(numbers[:, :1] if kind == "grams" and level > 1 else numbers))
+        _write_numbers(folder, name, numbers[:, :1] if kind == "grams" and level > 1 else numbers)
         out, seen = [], [len(keys)]
         if kind == "grams":
             value = numbers[:, 0]
@@ -158,7 +164,8 @@ def _reduce(folder: str, shards: int):
             if level > 1:
                 follows = np.stack([value, value == 1, value == 2, value >= 3], axis=1).astype(np.int64)
                 out += _blobs("contexts", level, [_key(columns[:-1])], follows, shards)
-                left = np.stack([np.ones(len(value), np.int64), numbers[:, 1]], axis=1)
+                # nothing stands before a text's start: n-grams that begin there keep their counts
+                left = np.stack([np.where(columns[1] == BEGIN, numbers[:, 1], 1), numbers[:, 1]], axis=1)
                 out += _blobs("grams", level - 1, columns[1:], left, shards)
         out.append((f"{kind} done", level, shard, None, None, seen))
         return _table(out)
@@ -194,10 +201,11 @@ class KneserNey:
         return np.where(found > 0, np.minimum(found, [0, 1, 2, 3]), [0.0, 0.5, 1.0, 1.5])
 
 
-def train(documents: DataFrame, order: int = 2, text: str = "text") -> KneserNey:
+def train(documents: DataFrame, order: int = 3, text: str = "text") -> KneserNey:
     """Count all whole texts of ``documents``; a null text is empty, an empty one has its end only.
 
-    Repeated rows count each. An empty table gives a model without words.
+    Repeated rows count each. An empty table gives a model without words. Lower orders count distinct left
+    neighbours; n-grams that begin with the start of a text have none, and keep their plain counts.
     """
     spark = documents.sparkSession
     folder = staging_path(spark, "language-model")
@@ -211,9 +219,6 @@ def train(documents: DataFrame, order: int = 2, text: str = "text") -> KneserNey
         done = merged.where("kind = 'grams done'").agg(*[F.coalesce(F.sum(F.col("seen")[i]), F.lit(0)) for i in range(8)]).first()
         totals[level] = [int(x) for x in done]
         sent = merged.where("seen IS NULL")
-        # shuffle files of the order just written go when the driver collects its garbage
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     return KneserNey(folder, order, shards, totals)
 
 
@@ -226,7 +231,7 @@ class Lookup:
 
     def _arrays(self, name: str) -> tuple:
         if name not in self.open:
-            self.open[name] = map_array(self.model.folder, f"{name}-keys"), map_array(self.model.folder, f"{name}-numbers")
+            self.open[name] = tuple(map_array(self.model.folder, f"{name}-{part}") for part in ("keys", "numbers", "large"))
         return self.open[name]
 
     def find(self, kind: str, level: int, keys: np.ndarray, width: int) -> np.ndarray:
@@ -236,13 +241,16 @@ class Lookup:
         shard = _shard(wanted, self.model.shards)
         borders = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
         for begin, end in zip(borders[:-1], borders[1:], strict=True):
-            known, numbers = self._arrays(f"{kind}-{level}-{int(shard[begin])}")
+            known, numbers, large = self._arrays(f"{kind}-{level}-{int(shard[begin])}")
             if known is None or not len(known):
                 continue
             at = np.searchsorted(known, wanted[begin:end])
             np.minimum(at, len(known) - 1, out=at)
             hit = known[at] == wanted[begin:end]
-            out[begin:end][hit] = numbers[at[hit]]
+            values = numbers[at[hit]].astype(np.int64)
+            wide = np.flatnonzero((values == 255).any(1))
+            values[wide] = large[np.searchsorted(large[:, 0], at[hit][wide]), 1:]
+            out[begin:end][hit] = values
         return out[back]
 
     def score(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:

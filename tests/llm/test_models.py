@@ -33,7 +33,9 @@ class Brute:
             counts.update(tuple(padded[i : i + order]) for i in range(len(words)))
         self.values = {order: counts}
         for level in range(order - 1, 0, -1):
-            self.values[level] = Counter(gram[1:] for gram in self.values[level + 1])
+            self.values[level] = Counter()
+            for gram, value in self.values[level + 1].items():
+                self.values[level][gram[1:]] += value if gram[1] == "<s>" else 1
 
     def discount(self, level, value):
         n = Counter(self.values[level].values())
@@ -78,6 +80,15 @@ def test_model_against_dictionaries(frame, odd, order, monkeypatch):
         assert row["perplexity"] == pytest.approx(10 ** (-row["score"] / len(words)))
 
 
+def test_starts_keep_their_counts(frame):
+    """A first word's chance after the start mark comes from all texts, not from distinct neighbours."""
+    known = ["aa bb cc"] * 300 + ["dd bb cc", "ee aa dd"] * 2
+    brute, model = Brute(known, 3), language_model.train(frame(known))
+    assert brute.values[2][("<s>", "aa")] == 300
+    for row in language_model.score(frame(["aa", "dd", "ee bb", "bb"]), model, ["doc_id"]).collect():
+        assert row["score"] == pytest.approx(brute.score(["aa", "dd", "ee bb", "bb"][row["doc_id"]]))
+
+
 def test_model_of_nothing(frame):
     model = language_model.train(frame([]))
     rows = language_model.score(frame(["a b", None]), model, ["doc_id"]).collect()
@@ -87,7 +98,7 @@ def test_model_of_nothing(frame):
 
 def test_model_sums_to_one(frame, odd):
     known = odd[11:30]
-    model = language_model.train(frame(known))
+    model = language_model.train(frame(known), 2)
     words = sorted({w for t in known for w in tokens(t) if w})
     chances = language_model.score(frame([f"{words[3]} {w}" for w in words]), model, ["doc_id"]).toPandas()
     first = language_model.score(frame([words[3]]), model, ["doc_id"]).first()["score"]
