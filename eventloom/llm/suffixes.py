@@ -126,24 +126,39 @@ def _shard_repeats(width: int):
     return run
 
 
-def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Maximal repeats, and the ranges of windows that repeat.
+def find_candidates(documents: DataFrame) -> blocks.Candidates:
+    """The blocks of all texts whose anchor repeats."""
+    return blocks.candidates(blocks.block_table(documents, _symbols, SHAPE))
 
-    The repeats have ``h`` and ``number`` (which name a group), ``length``, ``doc_id``, ``copy``
-    and ``start`` of each occurrence in the blocks of anchors that have several blocks; equal
-    blocks are represented by the first. The ranges (``doc_id``, ``copy``, ``lo``, ``size``)
-    hold every window that starts anywhere else too.
-    """
-    found = blocks.candidates(blocks.block_table(documents, _symbols, SHAPE))
+
+def mixed_texts(documents: DataFrame, found: blocks.Candidates) -> tuple[DataFrame, DataFrame]:
+    """Distinct blocks that must be compared, with their texts: of anchors with few and with many of them."""
     cut = lambda text, lo, size: [text[a : a + n - 1 + WIDTH] for a, n in zip(lo.tolist(), size.tolist(), strict=True)]
     texts = stage(blocks.with_texts(found.mixed, documents, cut, "binary"), "block-texts")
-    few, many = texts.where(F.col("m") <= MEMBERS), texts.where(F.col("m") > MEMBERS)
+    return texts.where(F.col("m") <= MEMBERS), texts.where(F.col("m") > MEMBERS)
+
+
+def shard_groups(few: DataFrame) -> DataFrame:
+    """The maximal repeats of each anchor, one row for each distinct block that holds one."""
     shards = 1 + few.count() // SHARD_BLOCKS
     grouped = few.select("h", "doc_id", "copy", "lo", "at", "content", F.pmod("h", F.lit(shards)).alias("shard")).groupBy("shard")
-    groups = stage(
+    return stage(
         grouped.applyInArrow(_shard_repeats(WIDTH), "h long, number int, length int, doc_id long, copy long, start int"),
         "repeats",
     )
+
+
+def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Maximal repeats, and the ranges of windows that repeat.
+
+    The repeats have ``h`` and ``number`` (which name a group), ``length``, ``doc_id``, ``copy``
+    and ``start`` of each occurrence in the blocks of anchors that have several blocks; equal
+    blocks are represented by the first. The ranges (``doc_id``, ``copy``, ``lo``, ``size``)
+    hold every window that starts anywhere else too. ``repeat_groups`` gives whole groups.
+    """
+    found = find_candidates(documents)
+    few, many = mixed_texts(documents, found)
+    groups = shard_groups(few)
     ranges = blocks_that_repeat(found)
     ranges = ranges.unionByName(groups.select("doc_id", "copy", F.col("start").alias("lo"), (F.col("length") - WIDTH + 1).alias("size")).distinct())
     return groups, ranges.unionByName(_frequent(many))

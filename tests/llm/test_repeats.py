@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from llm.helpers import LOWER, WORDS, sha
 
-from eventloom.llm import blocks, lines, phrases, suffixes
+from eventloom.llm import blocks, lines, phrases, repeat_groups, suffixes
 
 
 def brute_suffixes(rows, width=200):
@@ -182,3 +182,43 @@ def test_later_call_reads_the_runs(spark, frame, odd):
     assert later.batches == 5
 
 
+
+
+def found_groups(frame, texts):
+    """Groups by id: length and sorted occurrences."""
+    groups = defaultdict(list)
+    for row in repeat_groups.repeat_groups(frame(texts)).collect():
+        groups[row["group"], row["length"]].append((row["doc_id"], row["start"]))
+    return [(length, sorted(places)) for (_, length), places in groups.items()]
+
+
+@pytest.mark.parametrize("members", [512, 2])
+def test_groups_hold_all_occurrences(frame, odd, members, monkeypatch):
+    """Of equal blocks, shared parts, and blocks of frequent anchors."""
+    monkeypatch.setattr(suffixes, "MEMBERS", members)
+    texts = odd[:30]
+    data = [(t or "").encode() for t in texts]
+    windows = defaultdict(list)
+    for i, b in enumerate(data):
+        for start in range(len(b) - 199):
+            windows[b[start : start + 200]].append((i, start))
+    groups = found_groups(frame, texts)
+    held = defaultdict(set)
+    for length, places in groups:
+        assert len(places) > 1 and len({data[i][s : s + length] for i, s in places}) == 1
+        assert all(s + length <= len(data[i]) for i, s in places)
+        for shift in range(length - 199):
+            held[places[0][0], places[0][1] + shift].add(tuple((i, s + shift) for i, s in places))
+    for places in windows.values():
+        if len(places) > 1:
+            assert tuple(places) in held[places[0]]
+
+
+def test_copies_are_one_group(frame):
+    """Exact copies recur as a whole: one group as long as the text, with every copy."""
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    copy, shared = text(864), text(500)
+    texts = [copy, None, copy, text(300) + shared + text(90), "", copy, shared + text(50), text(400)]
+    assert sorted(found_groups(frame, texts)) == [(500, [(3, 300), (6, 0)]), (864, [(0, 0), (2, 0), (5, 0)])]
+    assert repeat_groups.repeat_groups(frame([])).collect() == []
