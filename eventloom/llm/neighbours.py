@@ -7,8 +7,9 @@ merged and ranked by their exact distance. How many buckets are visited is fitte
 bounded sample of queries whose neighbours are known.
 
 Equal vectors are one class: it is indexed once, and found classes are expanded to the few
-members that can be among the nearest. The query set meets the vectors in blocks: tasks hold
-a block of queries, and go through their own vectors.
+members that can be among the nearest. The query set meets the vectors in blocks, which tasks
+write with their probes to the shared folder: other tasks hold a share of the vectors and go
+through the blocks. Only the fitting sample passes through the driver.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.llm.arrays import mix
-from eventloom.session import stage
+from eventloom.llm.shared_arrays import map_array, write_array
+from eventloom.session import stage, staging_path
 
-#: Queries that a task holds at most at once, and bucket keys of their probes.
+#: Queries of a block, and bucket keys of their probes.
 BLOCK = 4096
 BLOCK_KEYS = 2_000_000
-#: Vectors compared at once, and vectors of a task.
+#: Vectors looked up or compared at once, and vectors of a task.
 BATCH = 2048
-TASK = 4096
+TASK = 8192
 
 
 @dataclass(frozen=True)
@@ -138,46 +140,80 @@ def _nearest(scores: np.ndarray, ids: np.ndarray, count: int) -> np.ndarray:
     return places[np.lexsort((ids[places], scores[places]))][:count]
 
 
-def _search(classes: DataFrame, ids: np.ndarray, queries: np.ndarray, probes: np.ndarray | None, index: Index | None, count: int, vectors: bool = False) -> DataFrame:
-    """The ``count`` nearest classes that each task finds for each query of a block.
+def _write_blocks(queries: DataFrame, index: Index | None) -> tuple[str, int]:
+    """Folder and number of the blocks of the queries; tasks write them, by hash of the class.
 
-    Without an index every vector is a candidate.
+    A block's arrays are its classes, their vectors, and for each table the keys of all buckets to
+    visit, in order, with the place of the query that visits each.
     """
-    visits = None
-    if index is not None:
-        visits = []  # for each table: the keys in order, and the query that visits each
-        for table in range(probes.shape[1]):
-            keys = probes[:, table].ravel()
-            order = np.argsort(keys, kind="stable")
-            visits.append((keys[order], (order // probes.shape[2]).astype(np.int32)))
-    shared = classes.sparkSession.sparkContext.broadcast((ids, queries, visits, index))
-    schema = "query long, class long, score double" + (", vector array<float>" if vectors else "")
+    folder = staging_path(queries.sparkSession, "query-blocks")
+    most = max(1, min(BLOCK, BLOCK_KEYS // (index.probes * len(index.projections)))) if index else BLOCK
+    blocks = 1 + queries.count() // most
+
+    def write(table: pa.Table) -> pa.Table:
+        table = table.sort_by("class")
+        block = table.column("block")[0].as_py()
+        vectors = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        write_array(folder, f"class-{block}", table.column("class").to_numpy())
+        write_array(folder, f"vector-{block}", vectors)
+        if index is not None:
+            keys = probe_keys(index, vectors.astype(np.float64)).transpose(1, 0, 2)
+            visitors = np.empty(keys.shape, np.int32)
+            for table_keys, table_visitors in zip(keys, visitors, strict=True):
+                order = np.argsort(table_keys, axis=None, kind="stable")
+                table_visitors[:] = (order // keys.shape[2]).reshape(table_visitors.shape)
+                table_keys[:] = table_keys.ravel()[order].reshape(table_keys.shape)
+            write_array(folder, f"keys-{block}", keys.reshape(len(keys), -1))
+            write_array(folder, f"visitors-{block}", visitors.reshape(len(keys), -1))
+        return pa.table({"block": pa.array([block], pa.int64()), "rows": pa.array([len(table)], pa.int64())})
+
+    rows = queries.select(F.pmod(F.xxhash64("class"), F.lit(blocks)).alias("block"), "class", "vector")
+    stage(rows.groupBy("block").applyInArrow(write, "block long, rows long"), "block-sizes")
+    return folder, blocks
+
+
+def _search(classes: DataFrame, queries: DataFrame, index: Index | None, count: int) -> DataFrame:
+    """``query``, ``class``, ``score``, ``vector`` of the ``count`` nearest classes found for each query.
+
+    Each task holds its own vectors and goes through all blocks of queries, mapped from the shared
+    folder. Without an index every vector is a candidate.
+    """
+    folder, blocks = _write_blocks(queries, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries, visits, index = shared.value
-        best: list[list[tuple]] = [[] for _ in query_ids]
-        for whole in batches:
-            for begin in range(0, len(whole), BATCH):
-                batch = whole.slice(begin, BATCH)
-                own = batch.column("class").to_numpy()
-                rows = _matrix(batch.column("vector"), queries.shape[1])
-                held = None if index is None else _candidates(index, rows, visits, len(queries))
-                for at, query in enumerate(queries):
-                    places = np.arange(len(rows)) if held is None else np.flatnonzero(held[at])
-                    if not len(places):
-                        continue
-                    scores = np.sqrt(((rows[places] - query) ** 2).sum(1))
-                    chosen = _nearest(scores, own[places], count)
-                    found = [(scores[i], own[places[i]], rows[places[i]] if vectors else None) for i in chosen]
-                    best[at] = sorted(best[at] + found, key=lambda x: x[:2])[:count]
-        flat = [(q, *row) for q, rows in zip(query_ids, best, strict=True) for row in rows]
-        columns = [pa.array([x[0] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.float64())]
-        if vectors:
-            columns.append(pa.array([x[3] for x in flat], pa.list_(pa.float32())))
-        yield pa.RecordBatch.from_arrays(columns, names=["query", "class", "score", "vector"][: len(columns)])
+        whole = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if not whole:
+            return
+        own = whole.column("class").to_numpy()
+        stored = whole.column("vector").combine_chunks()
+        rows = _matrix(stored, len(stored[0]))
+        for block in range(blocks):
+            ids = map_array(folder, f"class-{block}")
+            if ids is None:  # no class has this hash
+                continue
+            queries = map_array(folder, f"vector-{block}").astype(np.float64)
+            asked, chosen, scores = [], [], []
+            visits = None
+            if index is not None:
+                visits = list(zip(map_array(folder, f"keys-{block}"), map_array(folder, f"visitors-{block}"), strict=True))
+            held = None
+            if visits is not None:
+                held = np.concatenate([_candidates(index, rows[i : i + BATCH], visits, len(queries)) for i in range(0, len(rows), BATCH)], axis=1)
+            for at in range(len(queries)) if held is None else np.flatnonzero(held.any(1)):
+                places = np.arange(len(rows)) if held is None else np.flatnonzero(held[at])
+                distances = np.concatenate([((rows[places[i : i + BATCH]] - queries[at]) ** 2).sum(1) for i in range(0, len(places), BATCH)])
+                distances = np.sqrt(distances)
+                best = _nearest(distances, own[places], count)
+                asked.append(np.full(len(best), ids[at]))
+                chosen.append(places[best])
+                scores.append(distances[best])
+            if chosen:
+                places = np.concatenate(chosen)
+                columns = [pa.array(np.concatenate(asked)), pa.array(own[places]), pa.array(np.concatenate(scores)), stored.take(pa.array(places))]
+                yield pa.RecordBatch.from_arrays(columns, names=["query", "class", "score", "vector"])
 
     tasks = 1 + classes.count() // TASK
-    found = classes.select("class", "vector").repartition(tasks, "class").mapInArrow(run, schema)
+    found = classes.select("class", "vector").repartition(tasks, "class").mapInArrow(run, "query long, class long, score double, vector array<float>")
     return _best(found, "query", ["score", "class"], count).drop("rank")
 
 
@@ -205,7 +241,7 @@ def fit(classes: DataFrame, sample: DataFrame, count: int, settings: Settings) -
     if not len(rows):
         return None
     queries = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-    found = _search(classes, rows["class"].to_numpy(), queries, None, None, count + 1, vectors=True).toPandas()
+    found = _search(classes, sample, None, count + 1).toPandas()
     found = found[found["query"] != found["class"]]
     if not len(found):
         return None
@@ -231,11 +267,12 @@ def fit(classes: DataFrame, sample: DataFrame, count: int, settings: Settings) -
 
 
 def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()) -> DataFrame:
-    """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` of the ``k`` nearest found to each query.
+    """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``, ``probes`` of the ``k`` nearest found to each query.
 
     ``is_query`` is a condition on ``id``. Every other row is a candidate. Distances are
     Euclidean in double precision, ties go to the smaller id. A query that finds fewer than
-    ``k`` rows by its buckets, though there are more, is compared with all classes.
+    ``k`` rows by its buckets, though there are more, is compared with all classes, and so are all
+    queries if the sample needs too many buckets; ``probes`` (buckets visited in each table) is null then.
     """
     valid = valid_vectors(vectors, key, vector)
     own = ["c1", "c2"]
@@ -247,37 +284,22 @@ def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vecto
     members = stage(ranked.join(names, own).select("class", "id"), "class-members")
     asked = stage(ids.where(is_query).join(names, own).select("class", "id"), "queries")
     query_classes = stage(classes.join(asked.select("class").distinct(), "class", "left_semi").select("class", "vector"), "query-classes")
-    sample = query_classes.orderBy(F.xxhash64("class", F.lit(settings.seed))).limit(settings.sample)
+    sample = stage(query_classes.orderBy(F.xxhash64("class", F.lit(settings.seed))).limit(settings.sample), "query-sample")
     index = fit(classes, sample, k, settings)
-    found = None
-    for block in _blocks(query_classes, index):
-        queries = np.stack(block["vector"].to_numpy()).astype(np.float64)
-        block_ids = block["class"].to_numpy()
-        if index is None:
-            part = _search(classes, block_ids, queries, None, None, k + 1)
-        else:
-            part = stage(_search(classes, block_ids, queries, probe_keys(index, queries), index, k + 1), "found-classes")
-            sizes = {row["query"]: row["count"] for row in part.groupBy("query").count().collect()}
-            short = np.array([sizes.get(int(i), 0) < min(k + 1, total) for i in block_ids])
-            if short.any():
-                rest = _search(classes, block_ids[short], queries[short], None, None, k + 1)
-                lost = F.col("query").isin([int(i) for i in block_ids[short]])
-                part = part.where(~lost).unionByName(rest)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return valid.where("false").select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    rows = found.join(members, "class").select(F.col("query").alias("class"), "id", "score")
+    found = _found(classes, query_classes, index, k + 1)
+    if index is not None:
+        enough = found.groupBy("query").count().where(F.col("count") >= min(k + 1, total)).select(F.col("query").alias("class"))
+        short = stage(query_classes.join(enough, "class", "left_anti"), "short-queries")
+        if not short.isEmpty():
+            others = found.join(short.select(F.col("class").alias("query")), "query", "left_anti")
+            found = others.unionByName(_found(classes, short, None, k + 1))
+    rows = found.join(members, "class").select(F.col("query").alias("class"), "id", "score", "probes")
     pairs = asked.select("class", F.col("id").alias("query_id")).join(rows, "class").where(F.col("query_id") != F.col("id"))
-    best = _best(pairs.select("query_id", "score", F.col("id").alias("vec_id")), "query_id", ["score", "vec_id"], k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _blocks(queries: DataFrame, index: Index | None) -> Iterator:
-    """Blocks of bounded size, by hash of the class."""
-    keys = index.probes * len(index.projections) if index else 1
-    most = max(1, min(BLOCK, BLOCK_KEYS // keys))
-    parts = 1 + queries.count() // most
-    for part in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64("class"), F.lit(parts)) == part).toPandas()
-        for first in range(0, len(rows), most):
-            yield rows.iloc[first : first + most]
+    best = _best(pairs.select("query_id", "score", F.col("id").alias("vec_id"), "probes"), "query_id", ["score", "vec_id"], k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "probes")
+
+
+def _found(classes: DataFrame, queries: DataFrame, index: Index | None, count: int) -> DataFrame:
+    """The nearest classes of each query, with the buckets visited in a table; written once."""
+    probes = F.lit(index.probes if index else None).cast("int").alias("probes")
+    return stage(_search(classes, queries, index, count).select("query", "class", "score", probes), "found-classes")

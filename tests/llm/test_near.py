@@ -168,6 +168,32 @@ def test_recall(spark):
     assert hits >= 0.9 * sum(map(len, wanted.values()))
 
 
+def test_many_blocks(spark, monkeypatch):
+    """Blocks of few queries, tasks of few vectors, and a crowd in one bucket: the same rows as one block gives."""
+    draw = np.random.default_rng(9)
+    middle = draw.normal(size=16)
+    near = lambda n: middle + draw.normal(size=16) * 1e-3 if n % 3 == 0 else draw.normal(size=16)
+    rows = [(n * 10, near(n).astype(np.float32).tolist()) for n in range(600)]
+    whole = neighbours_of(spark, rows)
+    for name, value in (("BLOCK", 7), ("BATCH", 50), ("TASK", 100)):
+        monkeypatch.setattr(neighbours, name, value)
+    assert neighbours_of(spark, rows) == whole
+    wanted = brute_neighbours(rows)
+    hits = sum(len({i for i, _ in whole[q]} & {i for i, _ in wanted[q]}) for q in wanted)
+    assert whole.keys() == wanted.keys() and hits >= 0.9 * 10 * len(wanted)
+
+
+def test_the_way_taken(spark):
+    """``probes`` tells a search by buckets from a comparison with all."""
+    draw = np.random.default_rng(10)
+    rows = [(n, draw.normal(size=8).astype(np.float32).tolist(), 0, "x") for n in range(500)]
+    df = spark.createDataFrame(rows, VECTORS)
+    few = neighbours.search(df, F.col("id") % 100 == 0, settings=neighbours.Settings(most_probes=1, hashes=20, width=0.2))
+    assert {r["probes"] for r in few.collect()} == {None}
+    many = neighbours.search(df, F.col("id") % 100 == 0).where("probes IS NOT NULL")
+    assert many.count() > 0
+
+
 @pytest.mark.parametrize("hashes", [1, 3, 6])
 def test_perturbations(hashes):
     """All sets without both borders of a cell, each once, in order of expected cost."""
