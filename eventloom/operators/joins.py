@@ -85,23 +85,22 @@ def doi_match(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def place_and_date_match(left: DataFrame, right: DataFrame, city_prefix: str) -> DataFrame:
-    """Events of two sources on the same days in the same city, labels cut for display."""
-    l, r = left.alias("l"), right.alias("r")
-    return l.where("startDate IS NOT NULL AND countryId IS NOT NULL").join(
-        r.where("country IS NOT NULL"),
-        (F.col("l.startDate") == F.col("r.startDate"))
-        & (F.col("l.endDate") == F.col("r.endDate"))
-        & (F.col("l.cityId") == F.concat(F.lit(city_prefix), F.col("r.cityWikidataid"))),
-    ).select(
-        F.col("l.eventId").alias("leftId"),
-        F.col("r.cityWikidataid").alias("cityId"),
-        F.col("r.city").alias("city"),
-        F.date_format("l.startDate", "yyyy-MM-dd").alias("startDate"),
-        F.date_format("l.endDate", "yyyy-MM-dd").alias("endDate"),
-        F.substring("l.title", 1, 40).alias("leftTitle"),
-        F.substring("r.title", 1, 40).alias("rightTitle"),
-        F.col("r.doi").alias("doi"),
-    ).distinct()
+    """Events of two sources on the same days in the same city, labels cut for display.
+
+    Both sides are made distinct before the join. Every column of a side comes out again, so
+    no two pairs are alike and the pairs, which may be many, are never shuffled.
+    """
+    days = {c: F.date_format(c, "yyyy-MM-dd") for c in ("startDate", "endDate")}
+    l = left.where("startDate IS NOT NULL AND countryId IS NOT NULL AND cityId IS NOT NULL AND endDate IS NOT NULL").select(
+        F.col("eventId").alias("leftId"), "cityId", *[d.alias(c) for c, d in days.items()], F.substring("title", 1, 40).alias("leftTitle")
+    )
+    r = right.where("country IS NOT NULL AND cityWikidataid IS NOT NULL AND startDate IS NOT NULL AND endDate IS NOT NULL").select(
+        F.concat(F.lit(city_prefix), "cityWikidataid").alias("cityId"), *[d.alias(c) for c, d in days.items()],
+        F.col("cityWikidataid"), "city", F.substring("title", 1, 40).alias("rightTitle"), "doi",
+    )
+    return l.distinct().join(r.distinct(), ["startDate", "endDate", "cityId"]).select(
+        "leftId", F.col("cityWikidataid").alias("cityId"), "city", "startDate", "endDate", "leftTitle", "rightTitle", "doi"
+    )
 
 
 def series_events(series: DataFrame, events: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom import session
-from eventloom.operators import calls, locations, matching, quality, ranking, stats, triples, views
+from eventloom.operators import calls, joins, locations, matching, quality, ranking, stats, triples, views
 from eventloom.sources import files, pages, schemas
 from eventloom.streaming import crawl
 
@@ -406,3 +406,18 @@ def test_staging_folder_comes_from_the_session():
 def test_schemas_are_valid(spark):
     for schema in (schemas.BIBLIOGRAPHY, schemas.CATALOGUE_DOCUMENT, schemas.VOLUME, schemas.WORK_PAGE, schemas.CONFERENCE, schemas.CALL, schemas.LIBRARY_EVENT):
         assert spark.createDataFrame([], schema).count() == 0
+
+
+def test_pairs_of_place_and_date_are_not_shuffled(spark):
+    """Repeated rows on both sides: every pair once, made distinct below the join."""
+    rows = [(f"e{n % 40}", "2020-01-01", "2020-01-02", f"t{n % 40}") for n in range(80)] + [("x", None, "2020-01-02", "t")]
+    days = [F.to_date(c).alias(c) for c in ("startDate", "endDate")]
+    both = spark.createDataFrame(rows, "eventId string, startDate string, endDate string, title string").select("eventId", *days, "title")
+    left = both.select("*", F.lit("c").alias("countryId"), F.lit("http://Q1").alias("cityId"))
+    right = both.select("startDate", "endDate", "title", F.lit("c").alias("country"), F.lit("c1").alias("city"), F.lit("Q1").alias("cityWikidataid"), F.col("eventId").alias("doi"))
+    found = joins.place_and_date_match(left, right, "http://")
+    pairs = [(r["leftId"], r["doi"]) for r in found.collect()]
+    assert sorted(pairs) == sorted(itertools.product({r[0] for r in rows[:80]}, repeat=2))
+    assert {(r["startDate"], r["endDate"], r["cityId"]) for r in found.collect()} == {("2020-01-01", "2020-01-02", "Q1")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
