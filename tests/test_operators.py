@@ -421,3 +421,13 @@ def test_pairs_of_place_and_date_are_not_shuffled(spark):
     assert {(r["startDate"], r["endDate"], r["cityId"]) for r in found.collect()} == {("2020-01-01", "2020-01-02", "Q1")}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
+
+
+def test_catalogue_takes_little_disk(spark, tables, monkeypatch, tmp_path):
+    """Files of the catalogue and the records cut from them lie compressed."""
+    monkeypatch.setattr(session, "staging_root", lambda spark: str(tmp_path))
+    from eventloom.plans import files as plans
+
+    rows = plans.ftx_documents(tables).count()
+    size = sum(os.path.getsize(os.path.join(folder, name)) for folder, _, names in os.walk(tmp_path) for name in names)
+    assert rows == tables.lineitem.count() and size < 200 * rows
