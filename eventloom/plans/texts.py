@@ -272,9 +272,17 @@ def month_day(t: Tables):
     return p.event_orders(t).select("eventId", dates.month_day(F.col("startDate")).alias("monthDay"))
 
 
+#: Rendered pages of a task; an order is a small row, so a split of them makes very many pages.
+PAGES_A_TASK = 20_000
+
+
 def call_pages(t: Tables):
-    """A call page per order with embedded triples; every ninth page says it was deleted."""
-    e = p.event_orders(t)
+    """A call page per order with embedded triples; every ninth page says it was deleted.
+
+    The orders are spread over tasks by their number before they become pages.
+    """
+    tasks = max(t.spark.sparkContext.defaultParallelism, t.orders.count() // PAGES_A_TASK)
+    e = p.event_orders(t).repartition(tasks, "eventId")
     n = F.col("eventId").cast("long")
     stamp = lambda column: F.concat(text(column), F.lit("T00:00:00"))
     prop = lambda name, value: F.concat(F.lit(f'<span property="v:{name}" content="'), value, F.lit('"></span>'))

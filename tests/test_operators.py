@@ -431,3 +431,29 @@ def test_catalogue_takes_little_disk(spark, tables, monkeypatch, tmp_path):
     rows = plans.ftx_documents(tables).count()
     size = sum(os.path.getsize(os.path.join(folder, name)) for folder, _, names in os.walk(tmp_path) for name in names)
     assert rows == tables.lineitem.count() and size < 200 * rows
+
+
+def test_plain_pages_need_no_parser(spark, tables, monkeypatch):
+    """Plain markup is read without the parser and as it reads it; the call pages are spread over tasks."""
+    from html.parser import HTMLParser
+
+    from eventloom.plans import texts as plans
+
+    def seen(page):
+        number = {id(e): n for n, e in enumerate(page.elements)}
+        elements = [(e.tag, e.attributes, e.text, [number[id(f)] for f in e.found]) for e in page.elements]
+        return elements, [(t, f and number[id(f)]) for t, f in page.texts], page.triples()
+
+    def parsed(html):
+        with monkeypatch.context() as patch:
+            patch.setattr(pages._Page, "_plain", lambda self, html: False)
+            return seen(pages._Page(html))
+
+    calls_of = plans.call_pages(tables)
+    plain = [r["html"] for r in calls_of.limit(50).collect()]
+    plain += ['<P A="1" a="2">x &amp &lt;b&gt;<br/>y<p\n id="&quot;">z</div></p> &', "", "a &nbsp"]
+    for html in plain + ["<p>a < b</p>", "<title>a<b></title>", '<p a=1 b="&copy;">', "<script><p></script><p>", "<!-- <p> --><p a='>'>", "<p"]:
+        assert seen(pages._Page(html)) == parsed(html)
+    monkeypatch.setattr(HTMLParser, "feed", lambda self, html: pytest.fail("parsed"))
+    assert all(pages._Page(html) for html in plain)
+    assert calls_of.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
