@@ -6,7 +6,7 @@ text, or one longer document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,6 +67,22 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     pa.default_memory_pool().release_unused()  # a worker may idle for long after this batch
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """A large object that a worker keeps for its next tasks, in place of the one it kept before."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Drop what an earlier operator's tasks left in this worker."""
+    _HELD.clear()
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.arrays import slices
+from eventloom.llm.arrays import held, slices
 
 #: Pieces kept with their ids in one worker, and the longest piece that is kept.
 CACHED_PIECES = 150_000
@@ -216,15 +216,9 @@ class EditableText:
         return out
 
 
-_LOADED: dict[tuple, Vocabulary] = {}
-
-
 def _vocabulary(key: tuple, tables, pattern: str) -> Vocabulary:
     """One per worker, shared by its tasks."""
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary(*tables.value, pattern)
-    return _LOADED[key]
+    return held(("vocabulary", *key), lambda: Vocabulary(*tables.value, pattern))
 
 
 def encode(documents: DataFrame, path: str, pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
