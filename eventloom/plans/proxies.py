@@ -143,14 +143,13 @@ def triples(t: Tables) -> DataFrame:
         )
     )
     facts = t.part.select(subject.alias("s"), literals.alias("f")).select("s", "f.p", "f.o", "f.lang")
-    links = (
-        t.lineitem.select(
-            F.concat(F.lit("part"), _text("l_partkey")).alias("s"),
-            F.lit("supplier").alias("p"),
-            F.concat(F.lit("supplier"), _text("l_suppkey")).alias("o"),
-            F.lit(None).cast("string").alias("lang"),
-        )
-        .distinct()
+    # made distinct as numbers: a task's table of pairs is a fraction of that of their texts
+    pairs = t.lineitem.select("l_partkey", "l_suppkey").distinct()
+    links = pairs.select(
+        F.concat(F.lit("part"), _text("l_partkey")).alias("s"),
+        F.lit("supplier").alias("p"),
+        F.concat(F.lit("supplier"), _text("l_suppkey")).alias("o"),
+        F.lit(None).cast("string").alias("lang"),
     )
     makers = t.supplier.select(
         F.concat(F.lit("supplier"), _text("s_suppkey")).alias("s"),

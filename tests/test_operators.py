@@ -457,3 +457,11 @@ def test_plain_pages_need_no_parser(spark, tables, monkeypatch):
     monkeypatch.setattr(HTMLParser, "feed", lambda self, html: pytest.fail("parsed"))
     assert all(pages._Page(html) for html in plain)
     assert calls_of.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_links_are_made_distinct_as_numbers(tables):
+    """The map-side table of distinct links holds two numbers a link."""
+    from eventloom.plans import proxies
+
+    plan = proxies.triples(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [l_partkey#" in plan
