@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators import matching as m
@@ -19,24 +20,24 @@ NAMES = ["A", "B", "seriesC"]
 def _volumes(t: Tables):
     return t.lineitem.select(
         F.col("l_orderkey").alias("k"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("ppn")
-    ).distinct()
+    )
 
 
-def truth(t: Tables):
-    """An order, its volumes and its customer belong together."""
+def truth(t: Tables, volumes: DataFrame | None = None):
+    """An order, its volumes and its customer belong together; a volume may have several rows."""
     label, pos = F.concat(F.lit("o"), text("o_orderkey")), F.col("o_orderkey")
     cells = F.array(
         F.struct(F.lit("A").alias("name"), text("o_orderkey").alias("id")),
         F.struct(F.lit("seriesC").alias("name"), text("o_custkey").alias("id")),
     )
-    volumes = _volumes(t).select(F.concat(F.lit("o"), text("k")).alias("label"), F.col("k").alias("pos"), F.lit("B").alias("name"), F.col("ppn").alias("id"))
+    volumes = (_volumes(t) if volumes is None else volumes).select(F.concat(F.lit("o"), text("k")).alias("label"), F.col("k").alias("pos"), F.lit("B").alias("name"), F.col("ppn").alias("id"))
     return t.orders.select(label.alias("label"), pos.alias("pos"), F.inline(cells)).unionByName(volumes)
 
 
 def records(t: Tables):
-    """The truth with the wrong order number on every sixth record."""
+    """The truth with the wrong order number on every sixth record, as distinct rows."""
     wrong = F.when((F.col("name") == "A") & (F.col("pos") % 6 == 0), text(F.col("pos") + 1)).otherwise(F.col("id"))
-    return truth(t).select(F.col("label").alias("record"), "name", wrong.alias("id"))
+    return truth(t, _volumes(t).distinct()).select(F.col("label").alias("record"), "name", wrong.alias("id"))
 
 
 _TRUTH = """WITH v AS (SELECT DISTINCT l_orderkey AS k, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ppn FROM lineitem),
@@ -72,7 +73,7 @@ def evaluate_matches(t: Tables):
 
 @query("m3_check_match", _TRUTH + _PAIRS + " SELECT 'o' || record AS record, name1, id1, name2, id2, actual FROM checked")
 def check_match(t: Tables):
-    return m.check_matches(m.present_pairs(records(t), NAMES), truth(t))
+    return m.check_records(records(t), truth(t), NAMES)
 
 
 _CONFUSION = """, neg AS (SELECT a.name AS name1, b.name AS name2, CAST(sum((b.truth_ids - coalesce(k.n, 0)) * a.n) AS BIGINT) AS n

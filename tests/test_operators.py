@@ -71,6 +71,22 @@ def test_evaluation_matches_brute_force(spark, seed):
     assert {(x.record, x.name1, x.id1, x.name2, x.id2, "TP" if x.actual else "FP") for x in checked} == {x for x in rows if x[5] != "FN"}
 
 
+def test_evaluation_shuffles_records_once(spark):
+    """All steps of an evaluation read one shuffle by record, and ids get their labels before they are paired."""
+    truth = [(f"r{k}", k, name, f"{name}{k // 3 if name == 'seriesC' else k}") for k in range(30) for name in NAMES]
+    t = spark.createDataFrame(truth, "label string, pos int, name string, id string")
+    r = t.selectExpr("label AS record", "name", "CASE WHEN name = 'A' AND pos % 6 = 0 THEN concat('A', pos + 1) ELSE id END AS id").localCheckpoint()
+    result = matching.evaluate(r, t, NAMES)
+    _, rows = brute_force_evaluation(truth, [tuple(x) for x in r.collect()], NAMES)
+    assert sorted(tuple(x)[:6] for x in result.collect()) == sorted(rows) and any(x[5] == "FN" for x in rows)
+    plan = result._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    shuffles = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
+    assert len([line for line in shuffles if "Reused" not in line]) == 1 and len(shuffles) > 3
+    for many in (64, 1):
+        checked = matching.check_records(r, t, NAMES, many).collect()
+        assert sorted((x.record, x.name1, x.id1, x.name2, x.id2, "TP" if x.actual else "FP") for x in checked) == sorted(x for x in rows if x[5] != "FN")
+
+
 def test_perfect_match_scores(spark):
     truth = [("a", 0, "A", "1"), ("a", 0, "B", "2"), ("b", 1, "A", "3"), ("b", 1, "B", "4")]
     t = spark.createDataFrame(truth, "label string, pos int, name string, id string")
