@@ -273,6 +273,18 @@ def test_cutting_is_linear():
     assert time.perf_counter() - began < 20
 
 
+def test_cutting_at_any_place():
+    """Pieces of any size give the records of the whole text."""
+    text = """<?xml version="1.0"?><!DOCTYPE d [ <!ENTITY x "</y>"> ] ><d a="/"><a x="1 > 0" y='"'/><!-- <a> -- > </a> - --><b ><![CDATA[ ]] </b> ]]></b ><c
+ k="/"  ><b/><c>x > y</c ></c><a /></d>"""
+    whole = cutting.Elements(root="d").feed(text)
+    assert whole == ["""<a x="1 > 0" y='"'/>""", "<b ><![CDATA[ ]] </b> ]]></b >", '<c\n k="/"  ><b/><c>x > y</c ></c>', "<a />"]
+    for step in range(1, len(text)):
+        scanner = cutting.Elements(root="d")
+        pieces = [scanner.feed(text[at : at + step]) for at in range(0, len(text), step)]
+        assert sum(pieces, []) == whole and (scanner.state, scanner.depth, scanner.carry) == (0, 0, "")
+
+
 def test_newer_file_wins_within_one_batch(spark, tmp_path):
     incoming, table, checkpoint = (str(tmp_path / n) for n in ("in", "table", "check"))
     os.makedirs(incoming)
