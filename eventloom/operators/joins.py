@@ -9,7 +9,7 @@ from eventloom.functions.text import link, split_list
 from eventloom.functions.titles import title_words
 from eventloom.operators.series import dedup_by_title
 from eventloom.operators.views import Corpus, common_view, restrict_to_ids, view_tables, with_source
-from eventloom.session import stage
+from eventloom.session import spread, stage
 
 
 def event_series_lookup(
@@ -172,15 +172,10 @@ def format_links(df: DataFrame, formats: dict[str, str]) -> DataFrame:
 def scholar_enrich(scholars: DataFrame, triples: DataFrame, properties: list[str], id_column: str) -> DataFrame:
     """Scholars with an id, completed by the joined values of optional properties.
 
-    Only triples of known scholars and wanted properties are grouped, after the distinct
-    values were found with map-side aggregation.
+    Triples are dealt out by subject once, to as many tasks as there is input for; distinct
+    values, lists and the join with the scholars are found there, subjects that are no scholar go with the join.
     """
-    wanted = (
-        triples.where(F.col("p").isin(properties))
-        .join(scholars.select(F.col(id_column).alias("s")), "s", "left_semi")
-        .select("s", "p", "o")
-        .distinct()
-    )
+    wanted = spread(triples.where(F.col("p").isin(properties) & F.col("o").isNotNull()).select("s", "p", "o"), "s").distinct()
     columns = [
         F.nullif(
             F.array_join(F.sort_array(F.collect_list(F.when(F.col("p") == name, F.col("o")))), "|"), F.lit("")

@@ -4,6 +4,7 @@ import itertools
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -372,6 +373,29 @@ def test_table_store_and_lookup_file(spark, tmp_path):
     assert spark.read.schema(df.schema).json(str(tmp_path / "l")).count() == 2
 
 
+def tasks_of(capsys, df):
+    """Numbers of tasks that rows are dealt out to by name."""
+    df.explain()
+    return [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", capsys.readouterr().out)]
+
+
+@pytest.fixture
+def large_facts(spark, tmp_path, monkeypatch):
+    """Triples in a file that calls for 50 tasks and some, with a repeated one."""
+    rows = [(f"s{n}", p, f"{o}{n}") for n in range(300) for p, o in (("type", "T"), ("label", "a"), ("label", "b"), ("label", "a"))]
+    spark.createDataFrame(rows, "s string, p string, o string").coalesce(1).write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    monkeypatch.setattr(session, "TASK_BYTES", sum(os.path.getsize(f.removeprefix("file://")) for f in facts.inputFiles()) // 50)
+    return facts
+
+
+def test_scholars_take_as_many_tasks_as_there_is_input(spark, large_facts, capsys):
+    scholars = spark.createDataFrame([("s1", "x"), ("none", "x"), (None, "x")], "s string, label string")
+    found = joins.scholar_enrich(scholars, large_facts, ["label"], "s")
+    assert min(tasks_of(capsys, found)) >= 50
+    assert sorted(map(tuple, found.collect())) == [("none", "x"), ("s1", "a1|b1")]
+
+
 def test_triples_file(spark, tmp_path):
     (tmp_path / "a.nt").write_text('<u:s> <u:p> "say \\"x\\""@en .\n# comment\n<u:s> <u:q> <u:o> .\n<u:s> <u:r> "5"^^<u:int> .\n')
     assert sorted(tuple(r) for r in files.read_triples(spark, str(tmp_path)).collect()) == sorted(
