@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators.ranking import global_running
-from eventloom.session import stage
+from eventloom.session import spread, stage
 
 
 def property_usage(triples: DataFrame, more_than: int = 0) -> DataFrame:
@@ -33,12 +33,12 @@ def flatten_aggregated(
     """One row per entity of a class: smallest value, distinct count and list per property.
 
     Only needed predicates are read; duplicates go before grouping, and all properties come
-    from one aggregate.
+    from one aggregate. Both take as many tasks as there is input for.
     """
     classes = [cls] if isinstance(cls, str) else cls
     columns = required + optional
     needed = triples.where(F.col("p").isin(columns) | ((F.col("p") == type_property) & F.col("o").isin(classes)))
-    distinct = needed.select("s", "p", "o").distinct()
+    distinct = spread(spread(needed.select("s", "p", "o"), "s", "p", "o").distinct(), "s")
 
     def value(name: str) -> Column:
         return F.when(F.col("p") == name, F.col("o"))
@@ -78,7 +78,7 @@ def flatten_figures(triples: DataFrame, type_property: str, cls: str | list[str]
     columns = required + optional
     typed = (F.col("p") == type_property) & F.col("o").isin(classes)
     # counted by property first, so that no subject's values meet in one task
-    distinct = triples.where(F.col("p").isin(columns) | typed).select("s", "p", "o").distinct()
+    distinct = spread(triples.where(F.col("p").isin(columns) | typed).select("s", "p", "o"), "s", "p", "o").distinct()
     counted = distinct.groupBy("s", "p").agg(F.min("o").alias("least"), F.count("*").alias("n"), F.max(typed).alias("typed"))
     figures = [
         f

@@ -396,6 +396,14 @@ def test_scholars_take_as_many_tasks_as_there_is_input(spark, large_facts, capsy
     assert sorted(map(tuple, found.collect())) == [("none", "x"), ("s1", "a1|b1")]
 
 
+def test_entities_take_as_many_tasks_as_there_is_input(spark, large_facts, capsys):
+    lists = triples.flatten_aggregated(large_facts, "type", "T1", ["label"], [])
+    figures = triples.flatten_figures(large_facts, "type", "T1", ["label"], [])
+    assert min(tasks_of(capsys, lists)) >= 50 and min(tasks_of(capsys, figures)) >= 50
+    assert [tuple(r) for r in lists.collect()] == [("s1", "a1", 2, "a1| b1")]
+    assert [tuple(r) for r in figures.collect()] == [("s1", "a1", 2)]
+
+
 def test_triples_file(spark, tmp_path):
     (tmp_path / "a.nt").write_text('<u:s> <u:p> "say \\"x\\""@en .\n# comment\n<u:s> <u:q> <u:o> .\n<u:s> <u:r> "5"^^<u:int> .\n')
     assert sorted(tuple(r) for r in files.read_triples(spark, str(tmp_path)).collect()) == sorted(
