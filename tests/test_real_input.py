@@ -309,6 +309,20 @@ def test_newer_file_wins_within_one_batch(spark, tmp_path):
     assert crawl.ingest(spark, incoming, table, checkpoint, buckets=4) == 0
 
 
+def test_state_is_not_written_again_by_every_batch(spark, tmp_path):
+    """Ten batches of equal size: old rows are merged a few times, and the last title of an event holds."""
+    incoming, table, checkpoint = (str(tmp_path / n) for n in ("in", "table", "check"))
+    os.makedirs(incoming)
+    for batch in range(10):
+        with open(f"{incoming}/wikicfp_event{batch}0-{batch}9.json", "w") as out:
+            out.writelines(json.dumps({"eventId": str(n), "title": f"T{batch}"}) + "\n" for n in (0, *range(batch * 19 + 1, batch * 19 + 20)))
+        os.utime(out.name, (1_600_000_000 + batch,) * 2)
+    assert crawl.ingest(spark, incoming, table, checkpoint, files_per_batch=1, buckets=1) == 10
+    assert spark.read.parquet(f"{table}/state").count() < 30 * 20  # 55 times 20 rows if each batch wrote all
+    state = {r["eventId"]: r["title"] for r in crawl.latest(spark, table).collect()}
+    assert len(state) == 191 and state["0"] == "T9" and state["1"] == "T0" and crawl.latest(spark, table).count() == 191
+
+
 @pytest.mark.parametrize("broken", ["_commit", "done"])
 def test_a_run_that_dies_leaves_whole_state(spark, tmp_path, monkeypatch, broken):
     """Before the manifest names the new version the old state is whole, behind it the new one."""
