@@ -334,14 +334,16 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     Blank nodes keep their ``_:`` name; escapes are decoded. Any other line is an error.
     """
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
-    wrong = F.raise_error(F.concat(F.lit("not a triple: "), F.substring("value", 1, 200))).cast("string")
-    lines = lines.select(F.when(F.col("value").rlike(_TRIPLE), F.col("value")).otherwise(wrong).alias("value"))
+    # one match a line: its groups between separators, which no line holds, as it ends before them
+    parts = F.split(F.regexp_replace("value", _TRIPLE + r"\R?", "\n$1\n$2\n$3\n$4\n$5"), "\n", -1).alias("g")
+    wrong = F.raise_error(F.concat(F.lit("not a triple: "), F.substring("value", 1, 200))).cast("array<string>")
+    lines = lines.select("value", parts).select(F.when(F.size("g") == 6, F.col("g")).otherwise(wrong).alias("g"))
 
     def group(i: int) -> Column:
-        return F.regexp_extract("value", _TRIPLE, i)
+        return F.col("g")[i]
 
     def node(i: int) -> Column:
-        return F.when(group(i).startswith("<"), _decoded(F.regexp_replace(group(i), "^<|>$", ""))).otherwise(group(i))
+        return F.when(group(i).startswith("<"), _decoded(F.substring(group(i), F.lit(2), F.length(group(i)) - 2))).otherwise(group(i))
 
     return lines.select(
         node(1).alias("s"), _decoded(group(2)).alias("p"),

@@ -27,6 +27,15 @@ def test_triples_with_blank_nodes_and_escapes(spark, tmp_path):
     }
 
 
+def test_a_triple_line_is_matched_once(spark, tmp_path, capsys):
+    (tmp_path / "a.nt").write_text('<u:s> <u:p> "$1 \u2028 x"@en .\u2028\n_:b <u:p> "" .\n')
+    found = files.read_triples(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("u:s", "u:p", "$1 \u2028 x", "en"), ("_:b", "u:p", "", None)}
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("regexp_replace(value") == 1 and "regexp_extract(value" not in plan
+
+
 def test_turtle(spark, tmp_path):
     (tmp_path / "a.ttl").write_text(
         """@prefix gndo: <https://d-nb.info/gndo#> .
