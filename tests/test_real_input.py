@@ -8,13 +8,14 @@ import time
 from contextlib import contextmanager
 from functools import partial
 
+import pyarrow as pa
 import pytest
 from conftest import ROOT
 from pyspark.sql import functions as F
 
 from eventloom.functions import titles
 from eventloom.operators import calls, locations, matching, quality, stats, words
-from eventloom.sources import cutting, files, pages
+from eventloom.sources import cutting, files, pages, turtle
 from eventloom.streaming import crawl
 
 
@@ -294,6 +295,34 @@ def test_cutting_at_any_place():
         assert sum(pieces, []) == whole and (scanner.state, scanner.depth, scanner.carry) == (0, 0, "")
 
 
+def test_first_pass_scans_once(monkeypatch):
+    """Summary and records of a split come from one scan, with the results of separate ones."""
+    text = "".join(f'x:s{n} x:p """a . "" {n}\n. """, "b" .\n' for n in range(2000)).splitlines()
+    batches = [pa.table({"value": text[at : at + 100], "file": [1] * 100, "start": [0] * 100}).to_batches()[0] for at in range(0, 4000, 100)]
+    scanned, feed = [], cutting.Statements.feed
+
+    def counted(self, part, keep=True):
+        scanned.append(len(part))
+        return feed(self, part, keep)
+
+    monkeypatch.setattr(cutting.Statements, "feed", counted)
+    rows = [r for batch in cutting._first_pass(cutting.Statements)(iter(batches)) for r in batch.to_pylist()]
+    assert sum(scanned) < 3.5 * len("\n".join(text))  # all three states are followed to the end; 4 with a second scan
+    whole = cutting.Statements()
+    assert [r["text"] for r in rows[:-1]] == [*feed(whole, "\n".join(text)), *([whole.parts[-1]] if whole.parts[-1] else [])]
+    states = [cutting.Statements(state=n, depth=0) for n in range(3)]
+    for scanner in states:
+        feed(scanner, "\n".join(text), False)
+    assert rows[-1]["ends"] == [s.state for s in states] and rows[-1]["changes"] == [s.depth for s in states] and rows[-1]["lows"] == [s.low for s in states]
+
+
+def test_directives_are_found_in_the_head():
+    """What follows them is not read for them."""
+    text = '# x\n@prefix a: <u:a> . @base <u:b> .\nPREFIX p: <u:p>\np:s p:p ' + '"x", ' * 1000 + '"y" .'
+    assert len(turtle._head(text)) < 15
+    assert turtle._directives(turtle._head(text))[0] == turtle._directives(turtle._tokens(text))[0] == [("a", "u:a"), (None, "u:b"), ("p", "u:p")]
+
+
 def test_newer_file_wins_within_one_batch(spark, tmp_path):
     incoming, table, checkpoint = (str(tmp_path / n) for n in ("in", "table", "check"))
     os.makedirs(incoming)
