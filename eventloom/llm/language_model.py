@@ -1,10 +1,10 @@
 """Interpolated modified Kneser-Ney n-gram model.
 
-Tasks count the n-grams of their texts and send them, as sorted arrays, to shards by ranges
-of a 64-bit hash. A shard merges what it gets into sorted arrays in the shared folder, and
-sends on what the next lower order needs: distinct left neighbours of the shorter n-grams, and
-for each context how many n-grams follow it once, twice, or more often. Workers map the
-arrays into memory and look up the n-grams of their texts in sorted order.
+Words are numbered first, frequent ones low. Tasks count the n-grams of their texts and send them, as sorted
+and packed word numbers, to shards by ranges of a 64-bit hash. A shard merges what it gets, writes it as arrays
+into the shared folder, and sends on what the next lower order needs: distinct left neighbours of the shorter
+n-grams, and for each of them how many n-grams follow it once, twice, or more often. Workers map the arrays into
+memory and look up the n-grams of their texts in sorted order.
 """
 
 from __future__ import annotations
@@ -18,18 +18,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.arrays import find_words, pair_hash, slices, word_hashes
+from eventloom.llm.arrays import find_words, mix, pair_hash, slices, word_hashes
 from eventloom.llm.shared_arrays import map_array, write_array
 from eventloom.session import stage, staging_path
 
-BEGIN, END = np.uint64(0x51ED270B), np.uint64(0x2545F491)
+END = np.uint64(0x2545F491)
+#: Numbers that no word has.
+BEGIN, UNKNOWN = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
 #: Tokens gathered in a task before they are counted, and before they are scored.
 COUNTED = 1_200_000
 SCORED = 500_000
 #: Bytes of training text for each shard.
 SHARD_BYTES = 10 << 20
+#: Turns in which the shards of a lower order are merged; the shuffle of a turn is gone before the next.
+TURNS = 3
 
-_BLOBS = "kind string, level int, shard int, entries binary, numbers binary, seen array<long>"
+_BLOBS = "shard int, entries binary, numbers binary, seen array<long>"
 
 
 @dataclass
@@ -40,13 +44,13 @@ class Tokens:
     position: np.ndarray
     bounds: np.ndarray
 
-    def columns(self, order: int) -> list[np.ndarray]:
-        """Columns of the n-grams that end at each token, the oldest word first."""
+    def columns(self, numbers: np.ndarray, order: int) -> list[np.ndarray]:
+        """Columns of the n-grams that end at each token, the oldest word first; ``numbers`` has the word of each token."""
         out = []
         for back in range(order - 1, -1, -1):
-            shifted = self.hashes
+            shifted = numbers
             if back:
-                shifted = np.concatenate([np.full(back, BEGIN), self.hashes[:-back]])[: len(self.hashes)]
+                shifted = np.concatenate([np.full(back, BEGIN), numbers[:-back]])[: len(numbers)]
                 shifted = np.where(self.position >= back, shifted, BEGIN)
             out.append(shifted)
         return out
@@ -78,7 +82,7 @@ def _gathered(texts: pa.Array, most: int) -> Iterator[tuple[int, Tokens]]:
 
 
 def _key(columns: list[np.ndarray]) -> np.ndarray:
-    return reduce(pair_hash, columns[1:], columns[0])
+    return reduce(pair_hash, columns[1:], mix(columns[0]))
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -86,88 +90,173 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
-def _merged(keys: np.ndarray, columns: list[np.ndarray], numbers: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def _shards(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """The shards of sorted keys, and the part of each."""
+    shard = _shard(keys, shards)
+    borders = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(keys) else [0]
+    for begin, end in zip(borders[:-1], borders[1:], strict=True):
+        yield int(shard[begin]), slice(begin, end)
+
+
+def _merged(keys: np.ndarray, columns: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """One entry a key, in order, with the sums of its numbers."""
     order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    sums = np.add.reduceat(numbers[order], first, axis=0) if len(first) else numbers[:0]
+    sums = [np.add.reduceat(n[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64) for n in numbers]
     return keys[first], [c[order[first]] for c in columns], sums
 
 
-def _blobs(kind: str, level: int, columns: list[np.ndarray], numbers: np.ndarray, shards: int) -> Iterator[tuple]:
-    """One row for each shard that gets any of the entries."""
-    keys, columns, numbers = _merged(_key(columns), columns, numbers)
-    shard = _shard(keys, shards)
-    borders = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(keys) else [0]
-    for begin, end in zip(borders[:-1], borders[1:], strict=True):
-        own = slice(begin, end)
-        # in order of the first column equal values lie side by side, which compresses well
-        order = np.argsort(columns[0][own], kind="stable")
-        entries = np.stack([c[own][order] for c in columns])
-        yield kind, level, int(shard[begin]), entries.tobytes(), _packed(numbers[own][order].T).tobytes(), None
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """No more bytes a number than the largest one needs."""
+    return values.astype(np.min_scalar_type(int(values.max()) if values.size else 0))
 
 
-def _packed(numbers: np.ndarray) -> np.ndarray:
-    """Four bytes a number where they are enough."""
-    return np.ascontiguousarray(numbers, np.uint32 if not numbers.size or numbers.max() < 1 << 32 else np.int64)
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of one type, compressed; bytes of the same weight lie side by side."""
+    values = np.stack(columns)
+    planes = values.view(np.uint8).reshape(*values.shape, values.itemsize).transpose(0, 2, 1)
+    return np.array([values.nbytes, values.itemsize]).tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(data: bytes, height: int, width: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint32 if len(data) == 4 * height * width else np.int64).reshape(height, width).astype(np.int64)
+def _unpacked(data: pa.Buffer, height: int) -> np.ndarray:
+    size, width = np.frombuffer(data[:16], np.int64)
+    planes = np.frombuffer(pa.decompress(data[16:], int(size), codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(height, width, -1).transpose(0, 2, 1)).view(f"u{width}").reshape(height, -1)
 
 
-def _write_numbers(folder: str, name: str, numbers: np.ndarray) -> None:
-    """One byte a number; rows with a larger one are kept whole beside them."""
-    large = np.flatnonzero((numbers > 254).any(1))
-    write_array(folder, f"{name}-numbers", np.minimum(numbers, 255).astype(np.uint8))
-    write_array(folder, f"{name}-large", np.concatenate([large[:, None], numbers[large]], axis=1).astype(np.int64))
+def _blobs(columns: list[np.ndarray], numbers: list[np.ndarray], shards: int) -> Iterator[tuple]:
+    """One row for each shard that gets any of the n-grams."""
+    keys, columns, numbers = _merged(_key(columns), columns, numbers)
+    for shard, own in _shards(keys, shards):
+        # in order of the first two words equal ones lie side by side, which compresses well
+        order = np.argsort(reduce(lambda high, low: high << np.uint64(32) | low[own], columns[1:2], columns[0][own].astype(np.uint64)))
+        entries = [c[own][order] for c in columns]
+        entries[0] = np.diff(entries[0], prepend=np.uint32(0))
+        yield shard, _packed(entries), _packed(list(_narrow(np.stack([n[own][order] for n in numbers])))), None
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-    names = ("kind", "level", "shard", "entries", "numbers", "seen")
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    names = ("shard", "entries", "numbers", "seen")
     values = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
     return pa.table([pa.array(list(v), k) for v, k in zip(values, kinds, strict=True)], names=list(names))
 
 
-def _count(order: int, shards: int):
+def _received(table: pa.Table, name: str, height: int) -> list[np.ndarray]:
+    return [_unpacked(b.as_buffer(), height) for b in table.column(name)]
+
+
+def _count_words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, tokens in _gathered(batch.column(0), COUNTED):
-                once = np.ones((len(tokens.hashes), 2), np.int64)
-                yield from _table(list(_blobs("grams", order, tokens.columns(order), once, shards))).to_batches()
+                keys, counts = np.unique(tokens.hashes, return_counts=True)
+                rows = [(shard, _packed([keys[own]]), _packed([_narrow(counts[own])]), None) for shard, own in _shards(keys, shards)]
+                yield from _table(rows).to_batches()
 
     return run
 
 
-def _reduce(folder: str, shards: int):
-    """Merge one shard of n-grams or contexts, write it, and send on what lower orders need."""
+def _number_words(folder: str, shards: int):
+    """Number the words of one shard from frequent to rare; the shards' numbers alternate, so all frequent words have low ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        kind, level, shard = (table.column(n)[0].as_py() for n in ("kind", "level", "shard"))
-        width = level if kind == "grams" else 1
-        height = 2 if kind == "grams" else 4
-        columns = [np.frombuffer(b.as_buffer(), np.uint64).reshape(width, -1) for b in table.column("entries")]
-        numbers = [_unpacked(b.as_buffer(), height, c.shape[1]) for b, c in zip(table.column("numbers"), columns, strict=True)]
-        columns = list(np.concatenate(columns, axis=1))
-        numbers = np.concatenate(numbers, axis=1).T
-        keys, columns, numbers = _merged(_key(columns), columns, numbers)
-        name = f"{kind}-{level}-{shard}"
-        write_array(folder, f"{name}-keys", keys)
-        # counts in the texts are looked up for words only
-        _write_numbers(folder, name, numbers[:, :1] if kind == "grams" and level > 1 else numbers)
-        out, seen = [], [len(keys)]
-        if kind == "grams":
-            value = numbers[:, 0]
-            seen += [int((value == n).sum()) for n in (1, 2, 3, 4)] + [int((value >= 3).sum()), int(value.sum()), int(numbers[:, 1].sum())]
-            if level > 1:
-                follows = np.stack([value, value == 1, value == 2, value >= 3], axis=1).astype(np.int64)
-                out += _blobs("contexts", level, [_key(columns[:-1])], follows, shards)
-                # nothing stands before a text's start: n-grams that begin there keep their counts
-                left = np.stack([np.where(columns[1] == BEGIN, numbers[:, 1], 1), numbers[:, 1]], axis=1)
-                out += _blobs("grams", level - 1, columns[1:], left, shards)
-        out.append((f"{kind} done", level, shard, None, None, seen))
+        shard = table.column("shard")[0].as_py()
+        keys, counts = (np.concatenate(_received(table, name, 1), axis=1)[0] for name in ("entries", "numbers"))
+        keys, _, (counts,) = _merged(keys, [], [counts])
+        numbers = np.zeros(len(keys), np.int64)
+        numbers[np.argsort(-counts, kind="stable")] = np.arange(len(keys)) * shards + shard
+        if numbers.max() >= UNKNOWN:
+            raise OverflowError("more different words than 32 bits can number")
+        _write_parts(folder, f"words-{shard}", [keys, numbers.astype(np.uint32), _narrow(counts)])
+        return _table([(shard, None, None, [len(keys), int(counts.sum())])])
+
+    return run
+
+
+def _count(order: int, folder: str, shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = _lookup(folder, shards)
+        for batch in batches:
+            for _, tokens in _gathered(batch.column(0), COUNTED):
+                numbers, _ = lookup.words(tokens.hashes)
+                yield from _table(list(_blobs(tokens.columns(numbers, order), [np.ones(len(numbers), np.uint8)], shards))).to_batches()
+
+    return run
+
+
+def _first_bucket(shard: int, shards: int, bits: int) -> int:
+    """The high bits of the least key that a shard can have."""
+    return (shard << 32) // shards >> 32 - bits
+
+
+def _write_parts(folder: str, name: str, parts: list[np.ndarray]) -> None:
+    """Several arrays of unsigned numbers in one file: their widths and shapes, then each of them from a multiple of 8 bytes."""
+    head = np.array([(p.itemsize, len(p), p.size // max(1, len(p))) for p in parts])
+    padded = [p.tobytes() + bytes(-p.nbytes % 8) for p in parts]
+    write_array(folder, name, np.frombuffer(b"".join([np.int64(len(parts)).tobytes(), head.tobytes(), *padded]), np.uint8))
+
+
+def _map_parts(folder: str, name: str) -> list[np.ndarray] | None:
+    data = map_array(folder, name)
+    if data is None:
+        return None
+    data = np.asarray(data)
+    count = int(data[:8].view(np.int64)[0])
+    at, parts = 8 + 24 * count, []
+    for width, rows, columns in data[8:at].view(np.int64).reshape(count, 3).tolist():
+        size = width * rows * columns
+        parts.append(data[at : at + size].view(f"u{width}").reshape((rows, columns) if columns > 1 else rows))
+        at += size + -size % 8
+    return parts
+
+
+def _write_entries(folder: str, name: str, keys: np.ndarray, numbers: list[np.ndarray], shard: int, shards: int) -> None:
+    """Six bytes a key, as the high 16 bits or more are known by its bucket of up to about 32 keys, and one for its numbers.
+
+    The byte names one of the 255 most frequent rows of numbers; other rows are kept whole beside them.
+    """
+    bits = min(32, max(16, (len(keys) * shards // 32).bit_length()))
+    buckets = np.arange(_first_bucket(shard, shards, bits), _first_bucket(shard + 1, shards, bits) + 1)
+    starts = np.append(np.searchsorted(keys >> np.uint64(64 - bits), buckets.astype(np.uint64)), len(keys))
+    _, sample, kind, counts = np.unique(_key([n.astype(np.uint64) for n in numbers]), return_index=True, return_inverse=True, return_counts=True)
+    often = np.argsort(-counts, kind="stable")[:255]
+    codes = np.full(len(counts), 255, np.uint8)
+    codes[often] = np.arange(len(often))
+    codes = codes[kind]
+    large = np.flatnonzero(codes == 255)
+    rows = np.stack([n[sample[often]] for n in numbers], axis=1)
+    middle = (keys >> np.uint64(32)).astype(np.uint16)
+    _write_parts(folder, name, [np.array([bits], np.uint8), _narrow(starts), keys.astype(np.uint32), middle, codes, _narrow(rows), _narrow(large), *[_narrow(n[large]) for n in numbers]])
+
+
+def _reduce(level: int, order: int, folder: str, shards: int):
+    """Merge one shard of n-grams, write it, and send on what the next lower order needs.
+
+    Their numbers are the value, and for lower orders the sum of the values that follow, and how many of those are 1, 2, and 3 or more.
+    """
+    height = 1 if level == order else 5
+
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        parts = _received(table, "entries", level)
+        for part in parts:
+            np.cumsum(part[0], out=part[0])
+        columns = list(np.concatenate(parts, axis=1))
+        keys, columns, numbers = _merged(_key(columns), columns, list(np.concatenate(_received(table, "numbers", height), axis=1)))
+        _write_entries(folder, f"order-{level}-{shard}", keys, numbers, shard, shards)
+        value, out = numbers[0], []
+        seen = [*[int((value == n).sum()) for n in (1, 2, 3, 4)], int((value >= 3).sum()), int(value.sum())]
+        if level > 1:
+            # an entry without value is only the context of others
+            columns, value = [c[value > 0] for c in columns], _narrow(value[value > 0])
+            # nothing stands before a text's start: n-grams that begin there keep their counts
+            left, none = np.where(columns[1] == BEGIN, value, 1), np.zeros(len(value), np.uint8)
+            follows = [value, value == 1, value == 2, value >= 3]
+            both = [np.concatenate([after, before]) for after, before in zip(columns[1:], columns[:-1], strict=True)]
+            out += _blobs(both, [np.concatenate([left, none]), *[np.concatenate([none, f]) for f in follows]], shards)
+        out.append((shard, None, None, seen))
         return _table(out)
 
     return run
@@ -175,25 +264,20 @@ def _reduce(folder: str, shards: int):
 
 @dataclass
 class KneserNey:
-    """Where the arrays lie, and the totals of each order: few numbers, whatever the corpus."""
+    """Where the arrays lie, and the totals: few numbers, whatever the corpus."""
 
     folder: str
     order: int
     shards: int
-    #: for each order: entries, entries with value 1, 2, 3, 4, with 3 or more, sum of values, sum of counts
+    #: different words, and all
+    words: int
+    tokens: int
+    #: for each order: entries with value 1, 2, 3, 4, with 3 or more, and the sum of values
     totals: dict[int, list[int]]
 
-    @property
-    def words(self) -> int:
-        return self.totals[1][0]
-
-    @property
-    def tokens(self) -> int:
-        return self.totals[1][7]
-
     def discounts(self, level: int) -> np.ndarray:
         """For values 0, 1, 2, and 3 or more; halves where counts of counts are missing."""
-        _, n1, n2, n3, n4, *_ = self.totals[level]
+        n1, n2, n3, n4, *_ = self.totals[level]
         if not (n1 and n2 and n3 and n4):
             return np.array([0.0, 0.5, 1.0, 1.5])
         y = n1 / (n1 + 2 * n2)
@@ -201,6 +285,11 @@ class KneserNey:
         return np.where(found > 0, np.minimum(found, [0, 1, 2, 3]), [0.0, 0.5, 1.0, 1.5])
 
 
+def _seen(rows: DataFrame, size: int) -> list[int]:
+    found = rows.where("seen IS NOT NULL").agg(*[F.coalesce(F.sum(F.col("seen")[i]), F.lit(0)) for i in range(size)]).first()
+    return [int(x) for x in found]
+
+
 def train(documents: DataFrame, order: int = 3, text: str = "text") -> KneserNey:
     """Count all whole texts of ``documents``; a null text is empty, an empty one has its end only.
 
@@ -212,77 +301,101 @@ def train(documents: DataFrame, order: int = 3, text: str = "text") -> KneserNey
     texts = documents.select(F.col(text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 + int(size) // SHARD_BYTES
-    sent, totals = texts.mapInArrow(_count(order, shards), _BLOBS), {}
+    found = texts.mapInArrow(_count_words(shards), _BLOBS).repartition(shards, "shard").groupBy("shard").applyInArrow(_number_words(folder, shards), _BLOBS)
+    words, tokens = _seen(stage(found, "words"), 2)
+    sent, totals = [texts.mapInArrow(_count(order, folder, shards), _BLOBS)], {}
     for level in range(order, 0, -1):
-        merged = sent.groupBy("kind", "level", "shard").applyInArrow(_reduce(folder, shards), _BLOBS)
-        merged = stage(merged, f"order-{level}")
-        done = merged.where("kind = 'grams done'").agg(*[F.coalesce(F.sum(F.col("seen")[i]), F.lit(0)) for i in range(8)]).first()
-        totals[level] = [int(x) for x in done]
-        sent = merged.where("seen IS NULL")
-    return KneserNey(folder, order, shards, totals)
+        merged = [stage(s.repartition(1 + shards // len(sent), "shard").groupBy("shard").applyInArrow(_reduce(level, order, folder, shards), _BLOBS), f"order-{level}") for s in sent]
+        merged = reduce(DataFrame.union, merged)
+        totals[level] = _seen(merged, 6)
+        sent = [merged.where((F.col("shard") % TURNS == turn) & F.col("seen").isNull()) for turn in range(TURNS)]
+    return KneserNey(folder, order, shards, words, tokens, totals)
 
 
 class Lookup:
     """The mapped arrays of a model, opened as a worker needs them."""
 
-    def __init__(self, model: KneserNey):
-        self.model = model
-        self.open: dict[str, tuple] = {}
+    def __init__(self, folder: str, shards: int):
+        self.folder, self.shards = folder, shards
+        self.open: dict[str, list[np.ndarray] | None] = {}
 
-    def _arrays(self, name: str) -> tuple:
+    def _parts(self, name: str) -> list[np.ndarray] | None:
         if name not in self.open:
-            self.open[name] = tuple(map_array(self.model.folder, f"{name}-{part}") for part in ("keys", "numbers", "large"))
+            self.open[name] = _map_parts(self.folder, name)
         return self.open[name]
 
-    def find(self, kind: str, level: int, keys: np.ndarray, width: int) -> np.ndarray:
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and training count of each word."""
+        wanted, back = np.unique(hashes, return_inverse=True)
+        numbers, counts = np.full(len(wanted), UNKNOWN), np.zeros(len(wanted), np.int64)
+        for shard, own in _shards(wanted, self.shards):
+            parts = self._parts(f"words-{shard}")
+            if parts is None:
+                continue
+            keys, number, count = parts
+            at = np.minimum(np.searchsorted(keys, wanted[own]), len(keys) - 1)
+            hit = keys[at] == wanted[own]
+            numbers[own][hit], counts[own][hit] = number[at[hit]], count[at[hit]]
+        return numbers[back], counts[back]
+
+    def find(self, level: int, keys: np.ndarray, height: int) -> np.ndarray:
         """The numbers of each key; zeros for a key that was not counted."""
         wanted, back = np.unique(keys, return_inverse=True)
-        out = np.zeros((len(wanted), width), np.int64)
-        shard = _shard(wanted, self.model.shards)
-        borders = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-        for begin, end in zip(borders[:-1], borders[1:], strict=True):
-            known, numbers, large = self._arrays(f"{kind}-{level}-{int(shard[begin])}")
-            if known is None or not len(known):
+        out = np.zeros((len(wanted), height), np.int64)
+        for shard, own in _shards(wanted, self.shards):
+            parts = self._parts(f"order-{level}-{shard}")
+            if parts is None:
                 continue
-            at = np.searchsorted(known, wanted[begin:end])
-            np.minimum(at, len(known) - 1, out=at)
-            hit = known[at] == wanted[begin:end]
-            values = numbers[at[hit]].astype(np.int64)
-            wide = np.flatnonzero((values == 255).any(1))
-            values[wide] = large[np.searchsorted(large[:, 0], at[hit][wide]), 1:]
-            out[begin:end][hit] = values
+            (bits,), starts, low, middle, codes, rows, large, *wide = parts
+            bucket = (wanted[own] >> np.uint64(64 - bits)).astype(np.int64) - _first_bucket(shard, self.shards, int(bits))
+            rest = wanted[own] & np.uint64((1 << 48) - 1)
+            at, end = starts[bucket].astype(np.int64), starts[bucket + 1]
+            stop, last = end.astype(np.int64), len(low) - 1
+            for _ in range(int((stop - at).max()).bit_length()):
+                half = (at + stop) >> 1
+                place = np.minimum(half, last)
+                less = (at < stop) & ((middle[place].astype(np.uint64) << np.uint64(32) | low[place]) < rest)
+                at, stop = np.where(less, half + 1, at), np.where(less, stop, half)
+            place = np.minimum(at, last)
+            hit = (at < end) & ((middle[place].astype(np.uint64) << np.uint64(32) | low[place]) == rest)
+            at = at[hit]
+            code = codes[at]
+            values = rows.reshape(len(rows), -1)[np.minimum(code, len(rows) - 1)].astype(np.int64)
+            rare = np.flatnonzero(code == 255)
+            values[rare] = np.stack([w[np.searchsorted(large, at[rare])] for w in wide], axis=1)
+            out[own][hit] = values
         return out[back]
 
-    def score(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, tokens: Tokens, model: KneserNey) -> tuple[np.ndarray, np.ndarray]:
         """Probability and training count of each token."""
-        model = self.model
-        columns = tokens.columns(model.order)
-        found = self.find("grams", 1, columns[-1], 2)
-        total, discount = max(1, model.totals[1][6]), model.discounts(1)
-        _, n1, n2, _, _, n3, *_ = model.totals[1]
-        rest = discount[1:] @ [n1, n2, n3] / total if model.words else 1.0
-        value = found[:, 0]
-        chance = (value - discount[np.minimum(value, 3)]) / total + rest / (model.words + 1)
-        for level in range(2, model.order + 1):
-            used = columns[model.order - level :]
-            value = self.find("grams", level, _key(used), 1)[:, 0]
-            context = self.find("contexts", level, _key(used[:-1]), 4)
-            discount = model.discounts(level)
-            total = np.maximum(context[:, 0], 1)
-            rest = np.where(context[:, 0] > 0, context[:, 1:] @ discount[1:] / total, 1.0)
-            chance = (value - discount[np.minimum(value, 3)]) / total + rest * chance
-        return chance, found[:, 1]
+        numbers, count = self.words(tokens.hashes)
+        columns = tokens.columns(numbers, model.order)
+        # the context of a token is the n-gram that ends before it, or starts only
+        before = np.where(tokens.position > 0, np.arange(-1, len(numbers) - 1), len(numbers))
+        chance, context = 1.0 / (model.words + 1), None
+        for level in range(1, model.order + 1):
+            keys = np.append(_key(columns[model.order - level :]), _key([np.array([BEGIN])] * level))
+            found = self.find(level, keys, 1 if level == model.order else 5)
+            value, discount = found[:-1, 0], model.discounts(level)
+            n1, n2, _, _, n3, total = model.totals[level]
+            if level > 1:
+                total, n1, n2, n3 = context.T
+            least = np.maximum(total, 1)
+            rest = np.where(total > 0, (n1 * discount[1] + n2 * discount[2] + n3 * discount[3]) / least, 1.0)
+            chance = (value - discount[np.minimum(value, 3)]) / least + rest * chance
+            context = found[before, 1:]
+        return chance, count
 
 
 _LOOKUPS: dict[str, Lookup] = {}
 
 
-def _lookup(model: KneserNey) -> Lookup:
+def _lookup(folder: str, shards: int) -> Lookup:
     """One per worker, shared by its tasks."""
-    if model.folder not in _LOOKUPS:
+    if folder not in _LOOKUPS:
         _LOOKUPS.clear()
-        _LOOKUPS[model.folder] = Lookup(model)
-    return _LOOKUPS[model.folder]
+        _LOOKUPS[folder] = Lookup(folder, shards)
+    return _LOOKUPS[folder]
 
 
 def score(documents: DataFrame, model: KneserNey, keep: list[Column | str], text: str = "text") -> DataFrame:
@@ -297,11 +410,11 @@ def score(documents: DataFrame, model: KneserNey, keep: list[Column | str], text
     schema = rows.select(*kept, *[F.lit(0).cast("long").alias(n) for n in counts], *[F.lit(0.0).alias(n) for n in scores]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _lookup(model)
+        lookup = _lookup(model.folder, model.shards)
         whole = model.tokens + model.words + 1
         for batch in batches:
             for first, tokens in _gathered(batch.column("__text"), SCORED):
-                chance, count = lookup.score(tokens)
+                chance, count = lookup.score(tokens, model)
                 starts, sizes = tokens.bounds[:-1], np.diff(tokens.bounds)
                 total = np.add.reduceat(np.log10(chance), starts)
                 base = np.add.reduceat(np.log10((count + 1) / whole), starts)

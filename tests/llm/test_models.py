@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from llm.helpers import LOWER, SMALL, WORDS
 from eventloom.llm import language_id, language_model, quality
 from eventloom.llm import queries as corpus
 from eventloom.llm.arrays import slices
+from eventloom.session import staging_root
 
 
 def tokens(text):
@@ -125,6 +127,31 @@ def test_registered_model_has_trigrams(spark):
         assert np.allclose(found["score"], wanted["score"]) == (order == 3)
 
 
+def test_model_takes_little_disk(spark):
+    """Everything that training leaves on disk, for each token: numbered words and packed keys, not whole hashes."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    place = Path(staging_root(spark)) / "eventloom"
+    before = set(place.glob("*"))
+    model = language_model.train(documents)
+    left = sum(f.stat().st_size for new in set(place.glob("*")) - before for f in new.rglob("*") if f.is_file())
+    assert left < 25 * model.tokens
+
+
+@pytest.mark.parametrize("shards", [1, 7, 70_000])
+def test_entries_are_found_again(tmp_path, shards):
+    """Frequent and rare rows of numbers, large ones, and keys at the ends of the shards; others give zeros."""
+    draw = np.random.default_rng(shards)
+    edges = [(s << 64) // shards + d for s in range(min(shards, 8) + 1) for d in (-1, 0, 1)]
+    keys = np.unique(np.concatenate([draw.integers(0, 1 << 64, 30_000, np.uint64), np.array([e for e in edges if 0 <= e < 1 << 64], np.uint64)]))
+    keys, others = keys[::2], keys[1::2]
+    numbers = draw.integers(0, 40, (5, len(keys))) ** draw.integers(1, 7, (5, len(keys)))
+    for shard, own in language_model._shards(keys, shards):
+        language_model._write_entries(str(tmp_path), f"order-2-{shard}", keys[own], list(numbers[:, own]), shard, shards)
+    lookup, order = language_model.Lookup(str(tmp_path), shards), draw.permutation(len(keys))
+    assert (lookup.find(2, keys[order], 5) == numbers.T[order]).all()
+    assert not lookup.find(2, others, 5).any()
+
+
 def test_marginals_are_exact():
     draw = np.random.default_rng(0)
     model = language_id.Model(["a", "b", "c"], None, draw.normal(size=(3, 3)), draw.normal(size=3), None)
