@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -227,8 +228,8 @@ def _write_entries(folder: str, name: str, keys: np.ndarray, numbers: list[np.nd
     codes = codes[kind]
     large = np.flatnonzero(codes == 255)
     rows = np.stack([n[sample[often]] for n in numbers], axis=1)
-    middle = (keys >> np.uint64(32)).astype(np.uint16)
-    _write_parts(folder, name, [np.array([bits], np.uint8), _narrow(starts), keys.astype(np.uint32), middle, codes, _narrow(rows), _narrow(large), *[_narrow(n[large]) for n in numbers]])
+    middle = (keys >> np.uint64(16)).astype(np.uint32)
+    _write_parts(folder, name, [np.array([bits], np.uint8), _narrow(starts), middle, keys.astype(np.uint16), codes, _narrow(rows), _narrow(large), *[_narrow(n[large]) for n in numbers]])
 
 
 def _reduce(level: int, order: int, folder: str, shards: int):
@@ -301,14 +302,17 @@ def train(documents: DataFrame, order: int = 3, text: str = "text") -> KneserNey
     texts = documents.select(F.col(text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 + int(size) // SHARD_BYTES
-    found = texts.mapInArrow(_count_words(shards), _BLOBS).repartition(shards, "shard").groupBy("shard").applyInArrow(_number_words(folder, shards), _BLOBS)
+    found = texts.mapInArrow(_count_words(shards), _BLOBS).repartitionById(shards, "shard").groupBy("shard").applyInArrow(_number_words(folder, shards), _BLOBS)
     words, tokens = _seen(stage(found, "words"), 2)
-    sent, totals = [texts.mapInArrow(_count(order, folder, shards), _BLOBS)], {}
+    sent, totals = [(shards, texts.mapInArrow(_count(order, folder, shards), _BLOBS))], {}
+    borders = [shards * turn // TURNS for turn in range(TURNS + 1)]
     for level in range(order, 0, -1):
-        merged = [stage(s.repartition(1 + shards // len(sent), "shard").groupBy("shard").applyInArrow(_reduce(level, order, folder, shards), _BLOBS), f"order-{level}") for s in sent]
-        merged = reduce(DataFrame.union, merged)
+        # a task for each shard, however many there are
+        parts = [rows.repartitionById(size, "shard").groupBy("shard").applyInArrow(_reduce(level, order, folder, shards), _BLOBS) for size, rows in sent]
+        merged = reduce(DataFrame.union, [stage(part, f"order-{level}") for part in parts])
         totals[level] = _seen(merged, 6)
-        sent = [merged.where((F.col("shard") % TURNS == turn) & F.col("seen").isNull()) for turn in range(TURNS)]
+        left = merged.where("seen IS NULL")
+        sent = [(last - first, left.where(F.col("shard").between(first, last - 1))) for first, last in pairwise(borders) if first < last]
     return KneserNey(folder, order, shards, words, tokens, totals)
 
 
@@ -346,18 +350,23 @@ class Lookup:
             parts = self._parts(f"order-{level}-{shard}")
             if parts is None:
                 continue
-            (bits,), starts, low, middle, codes, rows, large, *wide = parts
+            (bits,), starts, middle, low, codes, rows, large, *wide = parts
             bucket = (wanted[own] >> np.uint64(64 - bits)).astype(np.int64) - _first_bucket(shard, self.shards, int(bits))
-            rest = wanted[own] & np.uint64((1 << 48) - 1)
-            at, end = starts[bucket].astype(np.int64), starts[bucket + 1]
-            stop, last = end.astype(np.int64), len(low) - 1
-            for _ in range(int((stop - at).max()).bit_length()):
+            high, rest = (wanted[own] >> np.uint64(16)).astype(np.uint32), wanted[own].astype(np.uint16)
+            at, end = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
+            stop = end
+            for _ in range(int((end - at).max()).bit_length()):
                 half = (at + stop) >> 1
-                place = np.minimum(half, last)
-                less = (at < stop) & ((middle[place].astype(np.uint64) << np.uint64(32) | low[place]) < rest)
+                less = (at < stop) & (middle.take(half, mode="clip") < high)
                 at, stop = np.where(less, half + 1, at), np.where(less, stop, half)
-            place = np.minimum(at, last)
-            hit = (at < end) & ((middle[place].astype(np.uint64) << np.uint64(32) | low[place]) == rest)
+            hit, left = np.zeros(len(at), bool), np.arange(len(at))
+            while len(left):
+                # keys that differ in their last bits only lie side by side
+                left = left[(at[left] < end[left]) & (middle.take(at[left], mode="clip") == high[left])]
+                same = low[at[left]] == rest[left]
+                hit[left[same]] = True
+                left = left[~same]
+                at[left] += 1
             at = at[hit]
             code = codes[at]
             values = rows.reshape(len(rows), -1)[np.minimum(code, len(rows) - 1)].astype(np.int64)

@@ -143,6 +143,7 @@ def test_entries_are_found_again(tmp_path, shards):
     draw = np.random.default_rng(shards)
     edges = [(s << 64) // shards + d for s in range(min(shards, 8) + 1) for d in (-1, 0, 1)]
     keys = np.unique(np.concatenate([draw.integers(0, 1 << 64, 30_000, np.uint64), np.array([e for e in edges if 0 <= e < 1 << 64], np.uint64)]))
+    keys = np.unique(np.concatenate([keys, keys[:4000] ^ np.uint64(1), keys[:2000] ^ np.uint64(512)]))
     keys, others = keys[::2], keys[1::2]
     numbers = draw.integers(0, 40, (5, len(keys))) ** draw.integers(1, 7, (5, len(keys)))
     for shard, own in language_model._shards(keys, shards):
