@@ -175,8 +175,12 @@ def nearby_words(distinct: DataFrame, distance: int) -> DataFrame:
 
 
 def _close(left: DataFrame, right: DataFrame, key: str, threshold: int) -> DataFrame:
-    """Pairs ``a`` < ``b`` of fingerprints that meet at a key and differ in few bits."""
-    left, right = left.withColumnRenamed("f", "a"), right.withColumnRenamed("f", "b")
+    """Pairs ``a`` < ``b`` of fingerprints that meet at a key and differ in few bits.
+
+    Both sides hold many rows for each fingerprint, but the planner takes what Python makes of a
+    row for one row and would broadcast it: the sides are always merged.
+    """
+    left, right = left.withColumnRenamed("f", "a").hint("merge"), right.withColumnRenamed("f", "b").hint("merge")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
     return left.join(right, (left[key] == right[key]) & near).select("a", "b")
 

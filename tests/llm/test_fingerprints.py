@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 import xxhash
 from compare import compare, duck
 from llm.helpers import DOCUMENTS, LOWER, SMALL, WORDS, rows_of
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm import audit, simhash, whitening
@@ -102,6 +104,16 @@ def test_all_links(spark, threshold, crowded):
     assert sorted(map(tuple, found)) == sorted(wanted)
 
 
+@pytest.mark.parametrize("crowded", [1024, 2])
+def test_replicas_are_not_broadcast(spark, tmp_path, crowded):
+    """Every fingerprint has about 61 replicas (and up to 65 words), which the planner does not know of."""
+    spark.range(8).select(F.col("id").alias("f")).write.parquet(str(tmp_path / "prints"))
+    pairs = simhash.linked(spark.read.parquet(str(tmp_path / "prints")), simhash.Settings(crowded=crowded))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not re.search(r"BroadcastHashJoin .* Inner", plan)
+    assert pairs.count() == 28 - 4  # all pairs of three bits but the opposite ones
+
+
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("n", T.StringType())])
 
 
